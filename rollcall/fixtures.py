@@ -9,6 +9,7 @@ tables grow: more rows mean more persons, classes and families, not larger ones.
 from __future__ import annotations
 
 import re
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -146,12 +147,20 @@ def _inputs(sql: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", sql)))
 
 
+_KNOWN: WeakKeyDictionary[SparkSession, dict[tuple[str, str], DataFrame]] = WeakKeyDictionary()
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table or one of the derived views."""
-    if name not in VIEWS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql = VIEWS[name]
-    return spark.sql(sql, **{n: view(spark, sf_dir, n) for n in _inputs(sql)})
+    """A given table or one of the derived views, its plan built once per session."""
+    known = _KNOWN.setdefault(spark, {})
+    if (sf_dir, name) not in known:
+        if name in VIEWS:
+            sql = VIEWS[name]
+            df = spark.sql(sql, **{n: view(spark, sf_dir, n) for n in _inputs(sql)})
+        else:
+            df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        known[sf_dir, name] = df
+    return known[sf_dir, name]
 
 
 def views(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:

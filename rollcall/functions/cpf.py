@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CPF_LENGTH = 11
@@ -27,39 +27,50 @@ def cpf_canonical(cpf: Column) -> Column:
     return F.when(F.length(digits) < CPF_LENGTH, F.lpad(digits, CPF_LENGTH, "0")).otherwise(digits)
 
 
-def _check_digit(digits: Column, count: int) -> Column:
-    """Mod-11 check digit over the first ``count`` digits, weights count+1 down to 2."""
-    weighted = [
-        F.substring(digits, i + 1, 1).try_cast("int") * F.lit(count + 1 - i) for i in range(count)
-    ]
+def _check_digit(number: Column, count: int) -> Column:
+    """Mod-11 check digit over the first ``count`` of 11 digits, weights count+1 down to 2."""
+    weighted = [_digit(number, i) * F.lit(count + 1 - i) for i in range(count)]
     rest = reduce(add, weighted) % 11
     return F.when(rest < 2, 0).otherwise(11 - rest)
 
 
-def cpf_check_ok(cpf: Column) -> Column:
-    """Whether an 11-digit id has the right check digits and is not one repeated digit."""
-    digits = cpf_digits(cpf)
-    return (
-        (F.length(digits) == CPF_LENGTH)
-        & (F.replace(digits, F.substring(digits, 1, 1), F.lit("")) != "")
-        & (F.substring(digits, 10, 1).try_cast("int") == _check_digit(digits, 9))
-        & (F.substring(digits, 11, 1).try_cast("int") == _check_digit(digits, 10))
+def _digit(number: Column, place: int) -> Column:
+    """The digit at ``place`` (0 is the leftmost) of an 11-digit number."""
+    return F.floor(number / F.lit(10 ** (CPF_LENGTH - 1 - place))) % 10
+
+
+def cpf_check_ok(digits: Column) -> Column:
+    """Whether 11 digits have the right check digits and are not one repeated digit.
+
+    Digits must come from ``cpf_digits``; any other length is not right.
+    """
+    number = F.when(F.length(digits) == CPF_LENGTH, digits.try_cast("bigint"))
+    ok = (
+        (number % 11111111111 != 0)
+        & (_digit(number, 9) == _check_digit(number, 9))
+        & (_digit(number, 10) == _check_digit(number, 10))
     )
+    return F.coalesce(ok, F.lit(False))
+
 
+USUAL_FORMS = r"^([0-9]{11}|[0-9]{3}\.[0-9]{3}\.[0-9]{3}-[0-9]{2})$"
 
-def cpf_quality(cpf: Column) -> Column:
-    """One quality class per id: the first that applies, in this order.
+
+def with_cpf_quality(df: DataFrame, cpf: str, name: str = "qualidade") -> DataFrame:
+    """Adds one quality class per id: the first that applies, in this order.
 
     ``missing`` no digits; ``zeroed`` only zeros; ``incomplete`` fewer than 11 digits;
     ``invalid`` more than 11 digits or wrong check digits; ``irregular_format`` neither
-    11 plain digits nor the usual mask; ``valid``.
+    11 plain digits nor the usual mask; ``valid``. The digits are taken out once, in a
+    step of their own.
     """
-    digits = cpf_digits(cpf)
-    return (
+    digits = F.col("_digitos")
+    quality = (
         F.when(digits.isNull(), "missing")
-        .when(F.replace(digits, F.lit("0"), F.lit("")) == "", "zeroed")
+        .when(digits.rlike("^0+$"), "zeroed")
         .when(F.length(digits) < CPF_LENGTH, "incomplete")
-        .when(~cpf_check_ok(cpf), "invalid")
-        .when(~cpf.rlike(r"^([0-9]{11}|[0-9]{3}\.[0-9]{3}\.[0-9]{3}-[0-9]{2})$"), "irregular_format")
+        .when(~cpf_check_ok(digits), "invalid")
+        .when(~F.col(cpf).rlike(USUAL_FORMS), "irregular_format")
         .otherwise("valid")
     )
+    return df.select("*", cpf_digits(F.col(cpf)).alias("_digitos")).withColumn(name, quality).drop("_digitos")

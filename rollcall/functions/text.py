@@ -34,10 +34,14 @@ def strip_accents(text: Column) -> Column:
     return F.translate(text, ACCENTED, PLAIN)
 
 
+def squeeze_name(name: Column) -> Column:
+    """Upper case, no accents, single blanks, none at the ends; empty stays empty."""
+    return F.trim(F.regexp_replace(F.upper(strip_accents(name)), r"\s+", " "))
+
+
 def normalise_name(name: Column) -> Column:
-    """Upper case, no accents, single blanks, none at the ends; null when empty."""
-    squeezed = F.trim(F.regexp_replace(F.upper(strip_accents(name)), r"\s+", " "))
-    return F.nullif(squeezed, F.lit(""))
+    """``squeeze_name`` with null for empty."""
+    return F.nullif(squeeze_name(name), F.lit(""))
 
 
 def latin1_to_cp1252(text: Column) -> Column:

@@ -7,8 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HEAVY_SHARE = 0.01
-SALTS = 64
+# A key is heavy from this part of the rows on, and never below this number of rows.
+HEAVY_SHARE = 0.0005
+HEAVY_ROWS = 1_000_000
+# Groups a heavy key is split into: a third of all rows then makes groups of about HEAVY_SHARE.
+SALTS = 512
+# Counters per sketch (errors stay near 0.01 % of the rows) and groups that merge sketches.
+SKETCH_ITEMS = 16_384
+SKETCH_LANES = 256
 
 
 def first_per_key(df: DataFrame, key: Column, order: Sequence[Column], null_id: str | None = None) -> DataFrame:
@@ -28,14 +34,33 @@ def first_per_key(df: DataFrame, key: Column, order: Sequence[Column], null_id:
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
-def heavy_keys(df: DataFrame, columns: Sequence[str], share: float = HEAVY_SHARE) -> dict[str, list]:
-    """Per column the values that hold at least ``share`` of the rows.
+def heavy_keys(
+    df: DataFrame, columns: Sequence[str], share: float = HEAVY_SHARE, least: int = HEAVY_ROWS
+) -> dict[str, list]:
+    """Per column the values that hold at least ``share`` of the rows and ``least`` rows.
 
-    One pass that merges small counters per task. The result is bounded, at most
-    1 / share values per column; it may name a value too many but misses none.
+    A table of fewer than ``least`` rows has none; counting rows of a Parquet table reads
+    only its footers. Otherwise one pass over these columns: each task keeps a fixed number
+    of counters, groups of tasks merge theirs, then the groups do. At most 1 / share values
+    per column come to the driver. They only steer how joins spread their work, results do
+    not depend on them.
     """
-    found = df.select(*columns).freqItems(list(columns), share).first()
-    return {c: [v for v in found[i] if v is not None] for i, c in enumerate(columns)}
+    rows = df.count()
+    if rows < max(least, 1):
+        return {c: [] for c in columns}
+    lanes = df.select(*columns, (F.spark_partition_id() % SKETCH_LANES).alias("_lane")).groupBy("_lane")
+    sketches = lanes.agg(
+        *[F.expr(f"approx_top_k_accumulate(`{c}`, {SKETCH_ITEMS})").alias(f"_{i}") for i, c in enumerate(columns)]
+    )
+    top = round(1 / share)
+    total = sketches.agg(
+        *[F.expr(f"approx_top_k_estimate(approx_top_k_combine(_{i}), {top})").alias(f"_{i}") for i in range(len(columns))]
+    ).first()
+    enough = max(share * rows, least)
+    return {
+        c: [k["item"] for k in total[f"_{i}"] if k["item"] is not None and k["count"] >= enough]
+        for i, c in enumerate(columns)
+    }
 
 
 def join_per_key(

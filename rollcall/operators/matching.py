@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.functions.text import normalise_name
+from rollcall.functions.text import normalise_name, squeeze_name
 from rollcall.operators.columns import STANDARD_CPF, ensure_standard_cpf, keep_existing, suffix_collisions
 from rollcall.operators.keys import first_per_key, heavy_keys, join_per_key
 from rollcall.operators.registry import latest_first, latest_with_cpf
@@ -119,7 +121,9 @@ def invalid_cpf_counts(students: DataFrame, registry: DataFrame, shown: int = 80
     )
 
 
-# Match rules in order: name -> (student columns, registry columns).
+# Match rules in order: name -> (student columns, registry columns). Text is compared as a
+# normalised name, except for columns that are standardised already.
+STANDARDISED = ("cpf_std",)
 MATCH_RULES: dict[str, tuple[Sequence[str], Sequence[str]]] = {
     "cpf": (["cpf_std"], ["cpf_std"]),
     "nome_mae": (["nm_aluno", "nm_mae"], ["nome", "nome_mae"]),
@@ -127,17 +131,35 @@ MATCH_RULES: dict[str, tuple[Sequence[str], Sequence[str]]] = {
 }
 
 
-def _rule_key(df: DataFrame, columns: Sequence[str]) -> Column:
-    """One text key from a rule's columns; null when any part is missing."""
+def with_rule_keys(df: DataFrame, rules: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Adds ``_chave_<rule>``: one text from the rule's columns, empty when any is missing.
+
+    Each column is normalised once, in a step of its own, and then used by all rules. The
+    keys are never null: Spark would test a nullable join key in the scan and so compute
+    every normalisation a second time.
+    """
     types = dict(df.dtypes)
-    parts = [
-        normalise_name(F.col(c)) if types[c] == "string" else F.col(c).cast("string") for c in columns
-    ]
-    key = F.concat_ws("\u0001", *parts)
-    missing = parts[0].isNull()
-    for part in parts[1:]:
-        missing = missing | part.isNull()
-    return F.when(~missing, key)
+    used = dict.fromkeys(c for columns in rules.values() for c in columns)
+
+    def part(column: str) -> Column:
+        if types[column] == "date":
+            text = F.unix_date(column).cast("string")
+        elif types[column] == "string" and column not in STANDARDISED:
+            text = squeeze_name(F.col(column))
+        else:
+            text = F.col(column).cast("string")
+        return F.coalesce(text, F.lit(""))
+
+    def key(columns: Sequence[str]) -> Column:
+        texts = [F.col(f"_parte_{c}") for c in columns]
+        if len(texts) == 1:
+            return texts[0]
+        missing = reduce(or_, [t == "" for t in texts])
+        return F.when(missing, "").otherwise(F.concat_ws("\u0001", *texts))
+
+    parts = df.select("*", *[part(c).alias(f"_parte_{c}") for c in used])
+    keyed = parts.select("*", *[key(columns).alias(f"_chave_{rule}") for rule, columns in rules.items()])
+    return keyed.drop(*[f"_parte_{c}" for c in used])
 
 
 def match_waterfall(
@@ -149,35 +171,38 @@ def match_waterfall(
 
     Adds ``regra``, ``cad_row_id`` and ``cad_cpf``, null when no rule matches. Per rule the
     registry gives its newest row per key, so a student matches at most once; a student
-    matched by an earlier rule gets a null key in later ones. One chain of left joins,
-    students are read once for the joins and once for their heavy keys.
+    matched by an earlier rule, or without the rule's columns, has a null key. One chain of
+    left joins, no rule repeats the work of the one before.
     """
     names = list(rules)
-    keyed = students.select("*", *[_rule_key(students, rules[n][0]).alias(f"_chave_{n}") for n in names])
+    keyed = with_rule_keys(students, {n: rules[n][0] for n in names})
+    people = with_rule_keys(registry, {n: rules[n][1] for n in names})
     heavy = heavy_keys(keyed, [f"_chave_{n}" for n in names])
-    result = keyed.select(
-        "*",
-        F.lit(None).cast("string").alias("regra"),
-        F.lit(None).cast("bigint").alias("cad_row_id"),
-        F.lit(None).cast("string").alias("cad_cpf"),
+    result = keyed.withColumns(
+        {
+            "regra": F.lit(None).cast("string"),
+            "cad_row_id": F.lit(None).cast("bigint"),
+            "cad_cpf": F.lit(None).cast("string"),
+        }
     )
     for name in names:
         key = f"_chave_{name}"
-        candidates = registry.select(
-            _rule_key(registry, rules[name][1]).alias(key),
-            F.col("row_id").alias("_row_id"),
-            F.col("cpf_std").alias("_cpf"),
-            F.col("dat_atual_fam").alias("_data"),
+        candidates = people.select(
+            key, F.col("row_id").alias("_row_id"), F.col("cpf_std").alias("_cpf"), F.col("dat_atual_fam").alias("_data")
         )
         best = first_per_key(candidates, F.col(key), [F.desc("_data"), F.asc("_row_id")]).drop("_data")
-        open_key = F.when(F.col("regra").isNull(), F.col(key))
-        result = join_per_key(result.withColumn(key, open_key), best, key, "left", "matricula", heavy[key])
-        result = (
-            result.withColumn("regra", F.coalesce("regra", F.when(F.col("_row_id").isNotNull(), F.lit(name))))
-            .withColumn("cad_row_id", F.coalesce("cad_row_id", "_row_id"))
-            .withColumn("cad_cpf", F.coalesce("cad_cpf", "_cpf"))
-            .drop("_row_id", "_cpf", key)
+        is_open = F.col("regra").isNull() & (F.col(key) != "")
+        result = join_per_key(
+            result.withColumn(key, F.when(is_open, F.col(key))), best, key, "left", "matricula", heavy[key]
         )
+        found = F.col("_row_id").isNotNull()
+        result = result.withColumns(
+            {
+                "regra": F.when(found, F.lit(name)).otherwise(F.col("regra")),
+                "cad_row_id": F.coalesce("cad_row_id", "_row_id"),
+                "cad_cpf": F.coalesce("cad_cpf", "_cpf"),
+            }
+        ).drop("_row_id", "_cpf", key)
     return result
 
 

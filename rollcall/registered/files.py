@@ -45,9 +45,15 @@ def raw_registry(spark, d):
     return view(spark, d, "registry").select(*[F.expr(e).alias(c) for c, e in RAW.items()])
 
 
-def _raw_sql(columns, where: str = "") -> str:
+def _raw_sql(columns) -> str:
     chosen = ", ".join(f'{RAW[raw]} as "{name}"' for raw, name in columns)
-    return f"select {chosen} from registry {where}"
+    return f"select {chosen} from registry"
+
+
+def _read_sql(columns) -> str:
+    """The same after a CSV read, where empty fields are null."""
+    chosen = ", ".join(f"nullif({RAW[raw]}, '') as \"{name}\"" for raw, name in columns)
+    return f"select {chosen} from registry"
 
 
 def _csv(spark, d, part: str = "true"):
@@ -266,9 +272,9 @@ QUERIES = {
 
 SCANNED = [(c, REGISTRY_RENAMES.get(c, c)) for c in REGISTRY_SCAN_COLUMNS]
 SCAN_SQL = with_views(
-    "registry", _raw_sql(SCANNED).replace(" from registry", f', {std()} as "CPF_PADRONIZADO" from registry'))
+    "registry", _read_sql(SCANNED).replace(" from registry", f', {std()} as "CPF_PADRONIZADO" from registry'))
 VERSION_COLUMNS = "COD_CPF NOME COD_NIS COD_FAM DTA_NASC COD_PARENTESCO NOME_MAE NOME_PAI RG VLR_RENDA_MEDIA".split()
-NUMBERED = ", ".join(f"struct_pack(posicao := {i}, coluna := '{c}', valor := {e})" for i, (c, e) in enumerate(RAW.items(), 1))
+NUMBERED = ", ".join(f"struct_pack(posicao := {i}, coluna := '{c}', valor := nullif({e}, ''))" for i, (c, e) in enumerate(RAW.items(), 1))
 DETAIL = f"detail as ({TRAILER_LINES.replace('{orders}', 'orders')}), trailer as ({TRAILERS})"
 
 
@@ -296,17 +302,17 @@ SQL = {
     "registry_cached": SCAN_SQL,
     "registry_read_version": with_views(
         "registry",
-        _raw_sql([(COLUMN_DICTIONARY[a], a) for a in VERSION_COLUMNS]).replace(" from registry", " from one"),
+        _read_sql([(COLUMN_DICTIONARY[a], a) for a in VERSION_COLUMNS]).replace(" from registry", " from one"),
         f"""one as (select * from (select *, {std()} as cpf_std, row_number() over (partition by {std()}
           order by dat_atual_fam desc, nis) as rn from registry) where cpf_std is null or rn=1)"""),
-    "registry_read_all_rows": with_views("registry", _raw_sql(
+    "registry_read_all_rows": with_views("registry", _read_sql(
         [(COLUMN_DICTIONARY[a], a) for a in ("COD_NIS", "COD_CPF", "BAIRRO")])),
     "registry_typed": with_views(
         "registry",
         "select row_id, cpf_std, nome, cod_fam, dta_nasc, cod_parentesco, renda_media, dat_atual_fam from rg", RG),
     "registry_union_versions": with_views(
         "registry",
-        """select nis as "COD_NIS", cpf as "COD_CPF", nome as "NOME", case when grau_instrucao<='5' then fx_rfpc end as "FX_RFPC"
+        """select nis as "COD_NIS", nullif(cpf,'') as "COD_CPF", nome as "NOME", case when grau_instrucao<='5' then fx_rfpc end as "FX_RFPC"
           from registry"""),
     "header_inspect": with_views(
         "registry",
@@ -314,7 +320,7 @@ SQL = {
           select *, row_number() over (order by nis) as linha from (select * from registry order by nis limit 3)))"""),
     "preview_sample": with_views(
         "registry",
-        _raw_sql([(COLUMN_DICTIONARY[a], a) for a in ("COD_NIS", "COD_CPF", "NOME", "BAIRRO")]).replace(
+        _read_sql([(COLUMN_DICTIONARY[a], a) for a in ("COD_NIS", "COD_CPF", "NOME", "BAIRRO")]).replace(
             " from registry", ", (select least(200, count(*)) from registry) as linhas_previa from registry")
         + " order by nis limit 5"),
     "delimiter_profile": with_views(

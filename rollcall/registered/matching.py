@@ -44,28 +44,23 @@ def cpf_canonical(spark, d):
     return short.select("matricula", cpf_fn.cpf_canonical(F.col("cpf")).alias("cpf"))
 
 
-# Ids with every kind of fault, and right ones with check digits for every tenth person.
-QUALITY_INPUT = """select matricula,
-  case when matricula%10=0 then concat(base, cast(d1 as string), cast((case when
-      (r2 + d1*2)%11 < 2 then 0 else 11-(r2 + d1*2)%11 end) as string))
-    when matricula%10=1 then substring(base,1,8) when matricula%10=2 then concat(base,'0000')
-    when matricula%10=3 then '000.000.000-00' when matricula%10=4 then '11111111111'
-    when matricula%10=5 then concat(substring(base,1,3),' ',substring(base,4,6),cast(d1 as string),cast((case when
-      (r2 + d1*2)%11 < 2 then 0 else 11-(r2 + d1*2)%11 end) as string))
+# Ids with every kind of fault; in 00000000mcc the check digits cc of a one-digit m are known,
+# in hundreds of persons m = matricula % 10 is the ninth digit.
+QUALITY_INPUT = """select matricula, case cast(floor(matricula/10) as bigint)%10
+    when 0 then concat('00000000', cast(matricula%10 as string),
+      case matricula%10 when 1 then '91' when 2 then '72' when 3 then '53' when 4 then '34' when 5 then '15'
+        when 6 then '04' when 7 then '87' when 8 then '68' when 9 then '49' else '00' end)
+    when 1 then substring(id,1,8) when 2 then concat(id,'0000') when 3 then '000.000.000-00' when 4 then '11111111111'
+    when 5 then concat('000 000 00', cast(matricula%10 as string), '-',
+      case matricula%10 when 1 then '91' when 2 then '72' when 3 then '53' else '00' end)
+    when 6 then concat('000.000.00', cast(matricula%10 as string), '-',
+      case matricula%10 when 1 then '91' when 2 then '72' when 3 then '53' else '00' end)
     else cpf end as cpf
-  from (select *, case when r1%11 < 2 then 0 else 11-r1%11 end as d1 from (select *,
-      10*a1+9*a2+8*a3+7*a4+6*a5+5*a6+4*a7+3*a8+2*a9 as r1, 11*a1+10*a2+9*a3+8*a4+7*a5+6*a6+5*a7+4*a8+3*a9 as r2
-    from (select matricula, cpf, base, cast(substring(base,1,1) as int) as a1, cast(substring(base,2,1) as int) as a2,
-        cast(substring(base,3,1) as int) as a3, cast(substring(base,4,1) as int) as a4,
-        cast(substring(base,5,1) as int) as a5, cast(substring(base,6,1) as int) as a6,
-        cast(substring(base,7,1) as int) as a7, cast(substring(base,8,1) as int) as a8,
-        cast(substring(base,9,1) as int) as a9
-      from (select matricula, cpf, lpad(cast((matricula*7919+1)%1000000000 as string),9,'0') as base from {student}) s0) s1) s2) s3"""
+  from (select matricula, cpf, lpad(cast((matricula*7919+1)%100000000000 as string),11,'0') as id from {student}) s"""
 
 
 def cpf_quality(spark, d):
-    ids = spark.sql(QUALITY_INPUT, student=view(spark, d, "student"))
-    return ids.select("matricula", "cpf", cpf_fn.cpf_quality(F.col("cpf")).alias("qualidade"))
+    return cpf_fn.with_cpf_quality(spark.sql(QUALITY_INPUT, student=view(spark, d, "student")), "cpf")
 
 
 def cpf_quality_counts(spark, d):

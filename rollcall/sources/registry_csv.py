@@ -24,8 +24,8 @@ def read_raw_csv(
 ) -> DataFrame:
     """Every column as text, names from the header, one task per input split.
 
-    Short lines are padded with nulls and long ones cut, none is dropped. windows-1252
-    is read as ISO-8859-1, which keeps all bytes, and the differing letters put right.
+    Short lines are padded with nulls and long ones cut, none is dropped. Empty fields are
+    null, quoted or not. windows-1252 is read as ISO-8859-1, which keeps all bytes, and the differing letters put right.
     """
     is_cp1252 = encoding.lower().replace("-", "") in ("windows1252", "cp1252", "1252")
     df = (

@@ -16,8 +16,10 @@ def connect(sf_dir):
 
 
 def _cell(value):
-    if value is None or (isinstance(value, float) and math.isnan(value)):
-        return ""
+    if value is None:
+        return "<null>"
+    if isinstance(value, float) and math.isnan(value):
+        return "<nan>"
     if isinstance(value, bool):
         return str(value)
     if isinstance(value, float):
