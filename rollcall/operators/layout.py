@@ -96,8 +96,9 @@ def beneficiary_layout(
 ) -> DataFrame:
     """The final layout: one row per matched student within the income cut.
 
-    The registry is cut to the matched rows before families are looked up. No source for
-    an e-mail is known, that column is null.
+    The registry is cut to the matched rows before families are looked up, each once, and
+    only then spread over the students. ``matched`` is read twice, so pass a table (see
+    ``workdir.settle``). No source for an e-mail is known, that column is null.
     """
     wanted = matched.filter("cad_row_id is not null").select(F.col("cad_row_id").alias("row_id"))
     person = registry.filter(F.col("renda_media") <= cut).join(wanted.distinct(), "row_id", "left_semi")

@@ -235,20 +235,22 @@ def cpf_conflicts(students: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def eligibility_funnel(matched: DataFrame, registry: DataFrame, cut: float) -> DataFrame:
-    """Students read, mapped, unmapped, within the income cut and removed by it."""
+    """Students read, mapped, unmapped, within the income cut and removed by it.
+
+    Students are counted per registry row first, so ``matched`` is computed once and a
+    registry row that many students match is one row in the join.
+    """
+    per_row = matched.groupBy("cad_row_id").agg(F.count(F.lit(1)).alias("alunos"))
     income = registry.select(F.col("row_id").alias("cad_row_id"), F.col("renda_media").alias("_renda"))
-    flags = matched.select("cad_row_id").filter("cad_row_id is not null")
-    per_row = flags.groupBy("cad_row_id").agg(F.count(F.lit(1)).alias("alunos")).join(income, "cad_row_id")
-    eligible = F.sum(F.when(F.col("_renda") <= cut, F.col("alunos")))
-    kept = per_row.agg(F.coalesce(eligible, F.lit(0)).alias("elegiveis"))
-    totals = matched.agg(
-        F.count(F.lit(1)).alias("lidos"), F.count("cad_row_id").alias("mapeados")
-    )
-    elegiveis = kept.scalar()
-    return totals.select(
-        "lidos",
-        "mapeados",
-        (F.col("lidos") - F.col("mapeados")).alias("nao_mapeados"),
-        elegiveis.alias("elegiveis"),
-        (F.col("mapeados") - elegiveis).alias("removidos"),
+
+    def total(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("alunos"))), F.lit(0)).cast("bigint")
+
+    mapped, within = F.col("cad_row_id").isNotNull(), F.col("_renda") <= cut
+    return per_row.join(income, "cad_row_id", "left").agg(
+        total(F.lit(True)).alias("lidos"),
+        total(mapped).alias("mapeados"),
+        total(~mapped).alias("nao_mapeados"),
+        total(within).alias("elegiveis"),
+        total(mapped & ~F.coalesce(within, F.lit(False))).alias("removidos"),
     )

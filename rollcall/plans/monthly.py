@@ -20,7 +20,7 @@ from rollcall.operators.registry import income_filter, with_standard_cpf
 from rollcall.operators.students import eligible_students
 from rollcall.schema import INCOME_CUT
 from rollcall.sinks.files import write_csv, write_period
-from rollcall.workdir import fresh_path
+from rollcall.workdir import settle
 
 
 def run_month(
@@ -44,13 +44,8 @@ def run_month(
     documents = with_standard_cpf(tables["student"].join(eligible, "matricula", "left_semi"))
     people = income_filter(with_standard_cpf(tables["registry"]), cut)
 
-    def settled(df: DataFrame, name: str) -> DataFrame:
-        path = fresh_path(spark, name)
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
-    students = settled(documents.select("matricula", "nm_aluno", "cpf", "cpf_std"), "students")
-    registry = settled(
+    students = settle(documents.select("matricula", "nm_aluno", "cpf", "cpf_std"), "students")
+    registry = settle(
         people.select("row_id", "cpf", "cpf_std", "nome", "dta_nasc", "renda_media", "cep", "dat_atual_fam"), "registry"
     )
     metrics = require_cpfs(merge_metrics(students, registry))

@@ -8,17 +8,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rollcall.fixtures import PERIOD, REF_DATE, view, with_views
+from rollcall.fixtures import PERIOD, view, with_views
 from rollcall.operators import columns as col
 from rollcall.operators.history import union_versions
+from rollcall.plans.beneficiaries import run_beneficiaries
 from rollcall.plans.monthly import run_month
-from rollcall.registered.matching import PERSON, PERSON_SQL, SQL as MATCHING_SQL, eligible_registry, registry
-from rollcall.registered.sql import RG, ST, ctes, money, std
+from rollcall.registered.matching import CONFLICTS, PERSON, eligible_registry
+from rollcall.registered.matching import SQL as MATCHING_SQL
+from rollcall.registered.sql import LATEST, RG, ST, WATERFALL, ctes, money, std
 from rollcall.registered.students import SQL as STUDENT_SQL
 from rollcall.schema import COLUMN_DICTIONARY, REGISTRY_RENAMES, REGISTRY_SCAN_COLUMNS
 from rollcall.sinks import files as sink
 from rollcall.sources import files as src
 from rollcall.sources import registry_csv
+from rollcall.sources.roster import read_manual_roster
 from rollcall.streaming import incremental
 from rollcall.workdir import fresh_path
 
@@ -222,7 +225,7 @@ def outputs_by_period(spark, d):
         ).withColumn("mesano", F.lit(p))
         for p in ("202506", "202507")
     ]
-    return listed[0].unionByName(listed[1])
+    return listed[0].unionByName(listed[1]).select("mesano", "linhas", "no_periodo")
 
 
 # --- jobs ----------------------------------------------------------------------------
@@ -247,6 +250,25 @@ def monthly_outputs(spark, d):
     return union_versions(*counts)
 
 
+BENEFICIARY_TABLES = ("student", "registry", "enrolment", "school", "manual_roster", "previous_accumulated")
+
+
+def beneficiary_outputs(spark, d):
+    tables = {n: view(spark, d, n) for n in BENEFICIARY_TABLES}
+    paths = run_beneficiaries(spark, tables, PERIOD, fresh_path(spark, "beneficiaries"))
+    layout = paths.pop("layout")
+    frames = {n: spark.read.parquet(p) for n, p in paths.items()}
+    frames["layout"] = spark.read.csv(layout, sep=";", header=True)
+    return union_versions(
+        *[df.agg(F.count(F.lit(1)).alias("linhas")).select(F.lit(n).alias("saida"), "linhas") for n, df in frames.items()]
+    )
+
+
+def manual_roster_read(spark, d):
+    path = sink.write_csv(view(spark, d, "manual_roster"), fresh_path(spark, "manual_roster"))
+    return read_manual_roster(spark, path)
+
+
 def registry_incremental(spark, d):
     columns = ["row_id", "cpf", "nome", "dat_atual_fam", "renda_media"]
     source, base, checkpoint = (fresh_path(spark, n) for n in ("arriving", "base", "checkpoint"))
@@ -266,7 +288,7 @@ QUERIES = {
         registry_csv_scan, registry_cached, registry_read_version, registry_read_all_rows, registry_typed,
         registry_union_versions, header_inspect, preview_sample, delimiter_profile, trailer_record, trailer_check,
         sink_csv_roundtrip, sink_parquet_roundtrip, sink_bom_csv, sink_multi, outputs_by_period,
-        monthly_metrics, monthly_outputs, registry_incremental,
+        monthly_metrics, monthly_outputs, beneficiary_outputs, manual_roster_read, registry_incremental,
     )
 }
 
@@ -289,6 +311,18 @@ METRICS_BODY = """select (select count(*) from st) as alunos_total, (select coun
   (select count(*) from st join er on st.cpf_std=er.cpf_std) as merge_linhas,
   (select count(distinct st.cpf_std) from st join er on st.cpf_std=er.cpf_std) as pessoas_unicas"""
 
+BENEFICIARY_SQL = {
+    "mapeados": "select * from mapped",
+    "nao_mapeados": "select * from wf where cad_row_id is null",
+    "removidas_cpf_duplicado": "select * from gone",
+    "acumulada": "select * from acc",
+    "inativos": "select * from previous_accumulated where matricula not in (select matricula from mapped)",
+    "cpfs_unicos_mapeados": "select distinct cpf from mapped where cpf is not null",
+    "cpfs_unicos_acumulada": "select distinct cpf from acc where cpf is not null",
+    "funil": "select 1",
+    "layout": "select * from kept join rg on rg.row_id=kept.cad_row_id and rg.renda_media<=660",
+}
+
 SQL = {
     "alias_projection": with_views("registry", _raw_sql(
         [(COLUMN_DICTIONARY.get(a, a), a) for a in ALIASES if a != "nao_existe"])),
@@ -316,7 +350,7 @@ SQL = {
           from registry"""),
     "header_inspect": with_views(
         "registry",
-        f"""select linha, c.posicao, c.coluna, c.valor from (select linha, unnest([{NUMBERED}]) as c from (
+        f"""select cast(linha as int) as linha, c.posicao, c.coluna, c.valor from (select linha, unnest([{NUMBERED}]) as c from (
           select *, row_number() over (order by nis) as linha from (select * from registry order by nis limit 3)))"""),
     "preview_sample": with_views(
         "registry",
@@ -360,5 +394,19 @@ SQL = {
           union all select 'pessoas_unicas', pessoas_unicas from ({METRICS_BODY})
           union all select 'nao_mapeados', count(*) from st where not exists (select 1 from er where er.cpf_std=st.cpf_std)
           union all select 'cpf_invalidos', count(*) from er where cpf_std is null""", MONTH),
+    "beneficiary_outputs": with_views(
+        BENEFICIARY_TABLES, "\nunion all ".join(
+            f"select '{name}' as saida, count(*) as linhas from ({query})" for name, query in BENEFICIARY_SQL.items()),
+        ctes(ST, RG, WATERFALL, LATEST, CONFLICTS, """
+          gone as (select matricula from cf where nm_aluno<>nome_cad),
+          kept as (select * from wf where matricula not in (select matricula from gone)),
+          mapped as (select matricula, cpf, '202507' as mesano from (
+            select *, row_number() over (partition by matricula order by origem, cpf) as rn from (
+              select matricula, cad_cpf as cpf, 'AUTOMATICO' as origem from kept where cad_cpf is not null
+              union all select matricula, cpf, 'MANUAL' from manual_roster)) where rn=1),
+          acc as (select matricula, cpf, mesano from (
+            select *, row_number() over (partition by matricula order by mesano desc, cpf) as rn
+            from (select * from previous_accumulated union all select * from mapped)) where rn=1)""")),
+    "manual_roster_read": with_views("manual_roster", "select * from manual_roster"),
     "registry_incremental": MATCHING_SQL["registry_latest"],
 }

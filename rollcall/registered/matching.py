@@ -13,6 +13,7 @@ from rollcall.operators import registry as reg
 from rollcall.operators.columns import ensure_standard_cpf
 from rollcall.registered.sql import LATEST, RG, ST, WATERFALL, ctes, std
 from rollcall.schema import INCOME_CUT
+from rollcall.workdir import settle
 
 
 def students(spark, d):
@@ -236,7 +237,8 @@ def municipality_fix(spark, d):
 
 
 def beneficiary_layout(spark, d):
-    return layout.beneficiary_layout(waterfall(spark, d), registry(spark, d), *views(spark, d, "enrolment", "school"))
+    matched = settle(waterfall(spark, d).select("matricula", "cad_row_id"), "matched")
+    return layout.beneficiary_layout(matched, registry(spark, d), *views(spark, d, "enrolment", "school"))
 
 
 QUERIES = {

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def work_root(spark: SparkSession) -> str:
@@ -35,3 +35,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     target = jvm.org.apache.hadoop.fs.Path(path)
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     return target.getFileSystem(conf).exists(target)
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """The same rows as a table in the shared folder.
+
+    For results used more than once: they are computed once, and a lost executor costs no
+    more than its own tasks.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
