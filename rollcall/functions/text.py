@@ -31,12 +31,20 @@ LATIN1_CONTROLS, CP1252_LETTERS = _cp1252_table()
 
 
 def strip_accents(text: Column) -> Column:
-    return F.translate(text, ACCENTED, PLAIN)
+    """Accented letters as base letters; text of single-byte letters has none to look for."""
+    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(F.translate(text, ACCENTED, PLAIN))
 
 
 def squeeze_name(name: Column) -> Column:
-    """Upper case, no accents, single blanks, none at the ends; empty stays empty."""
-    return F.trim(F.regexp_replace(F.upper(strip_accents(name)), r"\s+", " "))
+    """Upper case, no accents, single blanks, none at the ends; empty stays empty.
+
+    The pattern is only applied to names that need it, most have single blanks already.
+    """
+    plain = F.upper(strip_accents(name))
+    uneven = plain.contains("  ")
+    for blank in "\t\n\v\f\r":
+        uneven = uneven | plain.contains(blank)
+    return F.trim(F.when(uneven, F.regexp_replace(plain, r"\s+", " ")).otherwise(plain))
 
 
 def normalise_name(name: Column) -> Column:

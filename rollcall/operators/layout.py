@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,22 +15,21 @@ from rollcall.schema import ACTIVE_SITUATIONS, INCOME_CUT
 REFERENCE_PERSON = 1
 
 
-def enrich_matched(matched: DataFrame, registry: DataFrame) -> DataFrame:
+MATCHED_COLUMNS = ("nome", "nome_mae", "dta_nasc", "cod_fam", "renda_media")
+
+
+def enrich_matched(
+    matched: DataFrame, registry: DataFrame, columns: Sequence[str] = MATCHED_COLUMNS
+) -> DataFrame:
     """Matched students with the personal and family data of their registry row.
 
-    Students without a match stay, with nulls. Registry columns get the prefix ``cad_``.
+    Adds ``cad_cpf`` and the given columns with the prefix ``cad_``; students without a
+    match stay, with nulls.
     """
-    columns = ["nome", "nome_mae", "dta_nasc", "cod_fam", "renda_media"]
     person = registry.select(
-        F.col("row_id").alias("cad_row_id"), *[F.col(c).alias(f"cad_{c}") for c in columns]
+        F.col("row_id").alias("_row"), F.col("cpf_std").alias("cad_cpf"), *[F.col(c).alias(f"cad_{c}") for c in columns]
     )
-    return join_per_key(
-        matched.withColumn("_row", F.col("cad_row_id")),
-        person.withColumnRenamed("cad_row_id", "_row"),
-        "_row",
-        "left",
-        "matricula",
-    ).drop("_row")
+    return join_per_key(matched.withColumn("_row", F.col("cad_row_id")), person, "_row", "left", "matricula").drop("_row")
 
 
 def family_heads(registry: DataFrame, code: int = REFERENCE_PERSON) -> DataFrame:

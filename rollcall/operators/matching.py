@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rollcall.functions.text import normalise_name, squeeze_name
 from rollcall.operators.columns import STANDARD_CPF, ensure_standard_cpf, keep_existing, suffix_collisions
-from rollcall.operators.keys import first_per_key, heavy_keys, join_per_key
+from rollcall.operators.keys import first_per_key, heavy_keys, join_per_key, newest_row_ids
 from rollcall.operators.registry import latest_first, latest_with_cpf
 
 # Columns a minimal merge keeps, where present.
@@ -169,40 +169,26 @@ def match_waterfall(
 ) -> DataFrame:
     """Each student with the first rule that finds a registry person.
 
-    Adds ``regra``, ``cad_row_id`` and ``cad_cpf``, null when no rule matches. Per rule the
-    registry gives its newest row per key, so a student matches at most once; a student
-    matched by an earlier rule, or without the rule's columns, has a null key. One chain of
-    left joins, no rule repeats the work of the one before.
+    Adds ``regra`` and ``cad_row_id``, null when no rule matches. Per rule the registry
+    gives its newest row per key, so a student matches at most once; a student matched by
+    an earlier rule, or without the rule's columns, has a null key. One chain of left joins
+    with nothing but row ids on the registry side; ``layout.enrich_matched`` adds columns of
+    the matched rows.
     """
     names = list(rules)
     keyed = with_rule_keys(students, {n: rules[n][0] for n in names})
     people = with_rule_keys(registry, {n: rules[n][1] for n in names})
     heavy = heavy_keys(keyed, [f"_chave_{n}" for n in names])
-    result = keyed.withColumns(
-        {
-            "regra": F.lit(None).cast("string"),
-            "cad_row_id": F.lit(None).cast("bigint"),
-            "cad_cpf": F.lit(None).cast("string"),
-        }
-    )
+    result = keyed.withColumns({"regra": F.lit(None).cast("string"), "cad_row_id": F.lit(None).cast("bigint")})
     for name in names:
         key = f"_chave_{name}"
-        candidates = people.select(
-            key, F.col("row_id").alias("_row_id"), F.col("cpf_std").alias("_cpf"), F.col("dat_atual_fam").alias("_data")
-        )
-        best = first_per_key(candidates, F.col(key), [F.desc("_data"), F.asc("_row_id")]).drop("_data")
+        best = newest_row_ids(people, key, "dat_atual_fam", "row_id").withColumnRenamed("row_id", "_row_id")
         is_open = F.col("regra").isNull() & (F.col(key) != "")
         result = join_per_key(
             result.withColumn(key, F.when(is_open, F.col(key))), best, key, "left", "matricula", heavy[key]
         )
-        found = F.col("_row_id").isNotNull()
-        result = result.withColumns(
-            {
-                "regra": F.when(found, F.lit(name)).otherwise(F.col("regra")),
-                "cad_row_id": F.coalesce("cad_row_id", "_row_id"),
-                "cad_cpf": F.coalesce("cad_cpf", "_cpf"),
-            }
-        ).drop("_row_id", "_cpf", key)
+        rule = F.when(F.col("_row_id").isNotNull(), F.lit(name)).otherwise(F.col("regra"))
+        result = result.withColumns({"regra": rule, "cad_row_id": F.coalesce("cad_row_id", "_row_id")}).drop("_row_id", key)
     return result
 
 

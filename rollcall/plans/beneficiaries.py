@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rollcall.functions.period import reference_date
 from rollcall.operators import history
-from rollcall.operators.layout import beneficiary_layout
+from rollcall.operators.layout import beneficiary_layout, enrich_matched
 from rollcall.operators.matching import cpf_conflicts, eligibility_funnel, match_waterfall
 from rollcall.operators.registry import with_standard_cpf
 from rollcall.schema import INCOME_CUT
@@ -35,7 +35,7 @@ def run_beneficiaries(
     students = with_standard_cpf(tables["student"]).select("matricula", "nm_aluno", "nm_mae", "dt_nascimento", "cpf_std")
     registry = with_standard_cpf(tables["registry"])
 
-    matched = settle(match_waterfall(students, registry), "matched")
+    matched = settle(enrich_matched(match_waterfall(students, registry), registry, []), "matched")
     removed = settle(
         cpf_conflicts(students, registry).filter("not manter").select("matricula", "nm_aluno", "cpf_std", "nome_cad"), "removed"
     )

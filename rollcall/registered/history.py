@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from rollcall.fixtures import view, views, with_views
 from rollcall.operators import history as his
 from rollcall.operators import reconcile as rec
-from rollcall.registered.matching import waterfall
+from rollcall.registered.matching import mapped_cpf
 from rollcall.registered.sql import RG, ST, WATERFALL, ctes
 
 COMPARED = ["cpf", "origem_cpf"]
 
 
 def manual_roster_union(spark, d):
-    automatic = waterfall(spark, d).filter("cad_cpf is not null").select("matricula", F.col("cad_cpf").alias("cpf"))
+    automatic = mapped_cpf(spark, d).filter("cad_cpf is not null").select("matricula", F.col("cad_cpf").alias("cpf"))
     return his.with_manual_roster(automatic, view(spark, d, "manual_roster"))
 
 

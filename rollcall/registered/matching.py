@@ -180,8 +180,12 @@ def waterfall(spark, d):
     )
 
 
+def mapped_cpf(spark, d):
+    return layout.enrich_matched(waterfall(spark, d), registry(spark, d), [])
+
+
 def match_waterfall(spark, d):
-    return waterfall(spark, d).select(*WF)
+    return mapped_cpf(spark, d).select(*WF)
 
 
 def match_rule_counts(spark, d):
@@ -217,7 +221,7 @@ def cpf_conflict_removed(spark, d):
 
 
 def enriched_mapped(spark, d):
-    matched = waterfall(spark, d).select("matricula", "nm_aluno", "nm_mae", "dt_nascimento", "regra", "cad_row_id", "cad_cpf")
+    matched = waterfall(spark, d).select("matricula", "nm_aluno", "nm_mae", "dt_nascimento", "regra", "cad_row_id")
     return layout.enrich_matched(matched, registry(spark, d))
 
 

@@ -80,6 +80,18 @@ def test_salted_join_spreads_a_hot_key(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_newest_row_ids(spark):
+    big = 2**63 - 1
+    rows = [("a", D1, 5), ("a", D2, 9), ("a", D2, 7), ("b", None, 3), ("b", None, 2), ("c", D1, -4), ("c", D1, 4),
+            ("d", D1, big), ("e", D1, -big), ("f", None, 1), ("f", D1, 2), (None, D1, 8), ("g", dt.date(1900, 1, 1), 0),
+            ("h", dt.date(9999, 12, 31), big), ("h", dt.date(9999, 12, 31), -big)]
+    df = spark.createDataFrame(rows, "k string, d date, row_id bigint")
+    got = {r.k: r.row_id for r in keys.newest_row_ids(df, "k", "d", "row_id").collect()}
+    assert got == {"a": 7, "b": 2, "c": -4, "d": big, "e": -big, "f": 2, None: 8, "g": 0, "h": -big}
+    plan = keys.newest_row_ids(df, "k", "d", "row_id")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.count("HashAggregate") == 2
+
+
 def test_heavy_keys_small_unique_and_empty(spark):
     assert keys.heavy_keys(spark.range(10).select(F.col("id").cast("string").alias("k")), ["k"]) == {"k": []}
     unique = spark.range(50000).select(F.col("id").cast("string").alias("k"))
@@ -113,7 +125,10 @@ def test_waterfall_rules_in_order(spark):
         (6, None, None, None, None),          # nothing to match on: nulls never match
         (7, " ", "Eva", D3, None),            # an empty name is not a name
     ]
-    got = matching.match_waterfall(students_of(spark, rows), matched_registry(spark)).orderBy("matricula").collect()
+    cad = matched_registry(spark)
+    found = matching.match_waterfall(students_of(spark, rows), cad)
+    got = layout.enrich_matched(found, cad, ["nome"]).orderBy("matricula").collect()
+    assert [r.cad_nome for r in got] == ["Ana Lima", "Bruno Sá", "Carla", "Ana Lima", None, None, None]
     assert [(r.matricula, r.regra, r.cad_row_id, r.cad_cpf) for r in got] == [
         (1, "cpf", 11, "111"), (2, "nome_mae", 12, None), (3, "nome_nascimento", 13, "333"),
         (4, "nome_mae", 11, "111"), (5, None, None, None), (6, None, None, None), (7, None, None, None),
