@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -60,6 +61,19 @@ def latin1_to_cp1252(text: Column) -> Column:
     return F.translate(text, LATIN1_CONTROLS, CP1252_LETTERS)
 
 
+def split_fields(line: Column, sep: str) -> Column:
+    """The fields of a delimited line; a quoted field may hold the delimiter and "" for one quote."""
+    literal = re.escape(sep)
+    outside_quotes = literal + '(?=(?:[^"]*"[^"]*")*[^"]*$)'
+
+    def unquoted(field: Column) -> Column:
+        inner = F.replace(F.regexp_extract(field, '(?s)^"(.*)"$', 1), F.lit('""'), F.lit('"'))
+        return F.when(field.rlike('(?s)^".*"$'), inner).otherwise(field)
+
+    quoted = F.transform(F.split(line, outside_quotes, -1), unquoted)
+    return F.when(line.contains('"'), quoted).otherwise(F.split(line, literal, -1))
+
+
 def full_address(*parts: Column) -> Column:
     """Address parts joined by a blank, missing and empty ones left out."""
     cleaned = [F.nullif(F.trim(p.cast("string")), F.lit("")) for p in parts]

@@ -28,7 +28,8 @@ def merge_on(
     """Inner join on one column; rows without a key never match.
 
     Both sides are shuffled on the key directly, so AQE can split a hot key at run time.
-    Where the result needs one registry row per person, deduplicate the registry first.
+    A key with n and m rows gives n * m: this is the merge as such, ``merge_metrics`` tells
+    its size beforehand. For one row per student use ``merge_newest``.
     """
     for side, df in (("left", left), ("right", right)):
         if key not in df.columns:
@@ -37,6 +38,18 @@ def merge_on(
     return left.join(right, key)
 
 
+def merge_newest(
+    students: DataFrame, registry: DataFrame, suffixes: tuple[str, str] = ("_ALUNO", "_CADUNICO")
+) -> DataFrame:
+    """Each student with the newest registry row of the same ``cpf_std``, one row per student.
+
+    A hot id cannot multiply: the registry has one row for it, and its students are salted.
+    """
+    heavy = heavy_keys(students, ["cpf_std"])["cpf_std"]
+    left, right = suffix_collisions(students, latest_with_cpf(registry), ["cpf_std"], suffixes)
+    return join_per_key(left, right, "cpf_std", "inner", "matricula", heavy)
+
+
 def merge_minimal(students: DataFrame, registry: DataFrame) -> DataFrame:
     """``merge_on`` the standard id with only the columns later steps use."""
     left = keep_existing(ensure_standard_cpf(students), STUDENT_MERGE_COLUMNS)

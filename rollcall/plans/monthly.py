@@ -11,6 +11,7 @@ from rollcall.functions.period import reference_date
 from rollcall.operators.matching import (
     invalid_cpf_rows,
     merge_metrics,
+    merge_newest,
     merge_on,
     require_cpfs,
     unique_persons,
@@ -29,9 +30,13 @@ def run_month(
     period: str,
     out: str,
     cut: float = INCOME_CUT,
+    all_registry_rows: bool = False,
 ) -> DataFrame:
     """Write the period's outputs under ``out`` and return the metrics row.
 
+    ``matriculas`` has one row per student, with the newest registry row of their id, or
+    with ``all_registry_rows`` one per pair of student and registry row.
+
     Eligible students with their documents and the income-filtered registry are each
     written once to the cluster's shared folder; all outputs read those tables, so nothing
     is computed twice and a lost executor costs only its own tasks.
@@ -53,7 +58,8 @@ def run_month(
     def stamped(df: DataFrame) -> DataFrame:
         return df.withColumn("mesano", F.lit(period))
 
-    write_period(stamped(merge_on(students, registry, "cpf_std")), f"{out}/matriculas")
+    merged = merge_on(students, registry, "cpf_std") if all_registry_rows else merge_newest(students, registry)
+    write_period(stamped(merged), f"{out}/matriculas")
     write_period(stamped(unique_persons(students, registry)), f"{out}/pessoas_unicas")
     write_period(stamped(unmatched(students, registry)), f"{out}/nao_mapeados")
     write_csv(invalid_cpf_rows(registry), f"{out}/cpf_invalidos/{period}", bom=True)

@@ -281,6 +281,18 @@ def registry_incremental(spark, d):
     return incremental.read_base(spark, base).select(*PERSON)
 
 
+def registry_incremental_csv(spark, d):
+    source, base, checkpoint = (fresh_path(spark, n) for n in ("arriving_csv", "base", "checkpoint"))
+    rows = raw_registry(spark, d)
+    for arrival in ("`p.grau_instrucao` <= '4'", "`p.grau_instrucao` > '4'"):
+        sink.write_csv(rows.filter(arrival), f"{source}/{'low' if '<=' in arrival else 'high'}", encoding="ISO-8859-1")
+    incremental.start_ingest(
+        spark, f"{source}/*", rows.schema, base, checkpoint, file_format="csv", prepare=registry_csv.typed_registry,
+        sep=";", header="true", encoding="ISO-8859-1", escape='"',
+    ).awaitTermination()
+    return incremental.read_base(spark, base).select(*PERSON)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -289,6 +301,7 @@ QUERIES = {
         registry_union_versions, header_inspect, preview_sample, delimiter_profile, trailer_record, trailer_check,
         sink_csv_roundtrip, sink_parquet_roundtrip, sink_bom_csv, sink_multi, outputs_by_period,
         monthly_metrics, monthly_outputs, beneficiary_outputs, manual_roster_read, registry_incremental,
+        registry_incremental_csv,
     )
 }
 
@@ -390,7 +403,7 @@ SQL = {
     "monthly_metrics": with_views(MONTH_VIEWS, METRICS_BODY, MONTH),
     "monthly_outputs": with_views(
         MONTH_VIEWS,
-        f"""select 'matriculas' as saida, merge_linhas as linhas from ({METRICS_BODY})
+        f"""select 'matriculas' as saida, count(*) as linhas from st where exists (select 1 from er where er.cpf_std=st.cpf_std)
           union all select 'pessoas_unicas', pessoas_unicas from ({METRICS_BODY})
           union all select 'nao_mapeados', count(*) from st where not exists (select 1 from er where er.cpf_std=st.cpf_std)
           union all select 'cpf_invalidos', count(*) from er where cpf_std is null""", MONTH),
@@ -409,4 +422,5 @@ SQL = {
             from (select * from previous_accumulated union all select * from mapped)) where rn=1)""")),
     "manual_roster_read": with_views("manual_roster", "select * from manual_roster"),
     "registry_incremental": MATCHING_SQL["registry_latest"],
+    "registry_incremental_csv": MATCHING_SQL["registry_latest"],
 }

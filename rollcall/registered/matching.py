@@ -119,8 +119,8 @@ def cpf_merge(spark, d):
 
 def cpf_merge_latest(spark, d):
     left = students(spark, d).select("cpf_std", "matricula", "nm_aluno")
-    right = reg.latest_with_cpf(eligible_registry(spark, d)).select("cpf_std", "row_id", "nome", "renda_media")
-    return matching.merge_on(left, right, "cpf_std")
+    right = eligible_registry(spark, d).select("cpf_std", "row_id", "nome", "renda_media", "dat_atual_fam")
+    return matching.merge_newest(left, right).drop("dat_atual_fam")
 
 
 def cpf_merge_min(spark, d):

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rollcall.functions.text import split_fields
 from rollcall.operators.columns import quoted
 from rollcall.schema import DELIMITERS
 
@@ -78,7 +79,7 @@ def trailer_records(lines: DataFrame, sep: str = ";") -> DataFrame:
     last = per_split.groupBy("arquivo").agg(F.max_by("linha", "bloco").alias("linha"))
     return (
         lines.join(last.select("linha"), "linha", "left_semi")
-        .select("arquivo", F.col("value").alias("trailer"), F.split("value", F.concat(F.lit("\\Q"), F.lit(sep), F.lit("\\E"))).alias("campos"))
+        .select("arquivo", F.col("value").alias("trailer"), split_fields(F.col("value"), sep).alias("campos"))
     )
 
 
@@ -89,11 +90,11 @@ def trailer_check(
 
     Fields count from 0; detail lines start with ``detail_mark``. Amounts are whole numbers.
     """
-    fields = F.split("value", F.concat(F.lit("\\Q"), F.lit(sep), F.lit("\\E")))
+    amount = F.get(split_fields(F.col("value"), sep), F.lit(value_field)).try_cast("bigint")
     detail = (
         lines.filter(F.col("value").startswith(detail_mark + sep))
         .groupBy("arquivo")
-        .agg(F.count(F.lit(1)).alias("linhas"), F.sum(F.try_element_at(fields, F.lit(value_field + 1)).try_cast("bigint")).alias("soma"))
+        .agg(F.count(F.lit(1)).alias("linhas"), F.sum(amount).alias("soma"))
     )
     declared = trailer_records(lines, sep).select(
         "arquivo",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -16,21 +18,25 @@ def start_ingest(
     base: str,
     checkpoint: str,
     files_per_batch: int = 1000,
+    file_format: str = "parquet",
+    prepare: Callable[[DataFrame], DataFrame] = with_standard_cpf,
+    **options: str,
 ) -> StreamingQuery:
     """Read the files not yet seen and add each batch's newest rows to ``base``.
 
-    A batch only writes its own partition, replaced when the batch is run again after a
-    failure, so every row counts once and no earlier data is rewritten. ``read_base``
-    settles which row is newest over all batches.
+    ``prepare`` makes ``row_id``, ``cpf_std`` and ``dat_atual_fam`` of the file's columns,
+    for raw CSV files ``registry_csv.typed_registry``. A batch only writes its own
+    partition, replaced when the batch is run again after a failure, so every row counts
+    once and no earlier data is rewritten. ``read_base`` settles which row is newest over
+    all batches.
     """
     def add_batch(batch: DataFrame, batch_id: int) -> None:
         latest_per_person(batch).write.mode("overwrite").parquet(f"{base}/lote={batch_id}")
 
-    arriving = (
-        spark.readStream.format("parquet").schema(schema).option("maxFilesPerTrigger", files_per_batch).load(source)
-    )
+    reader = spark.readStream.format(file_format).schema(schema).options(**options)
+    arriving = reader.option("maxFilesPerTrigger", files_per_batch).load(source)
     return (
-        with_standard_cpf(arriving)
+        prepare(arriving)
         .writeStream.foreachBatch(add_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -189,6 +189,10 @@ def test_month_can_be_run_again(spark, tmp_path):
     rows = spark.read.parquet(f"{out}/pessoas_unicas").count()
     assert rows == first[0]["pessoas_unicas"] > 0
     assert run_month(spark, tables, PERIOD, out).collect() == first
+    one_each = spark.read.parquet(f"{out}/matriculas")
+    assert one_each.count() == one_each.select("matricula").distinct().count()
+    run_month(spark, tables, PERIOD, out, all_registry_rows=True)
+    assert spark.read.parquet(f"{out}/matriculas").count() == first[0]["merge_linhas"]
     assert spark.read.parquet(f"{out}/pessoas_unicas").count() == rows
     with pytest.raises(ValueError):
         run_month(spark, tables, "2025-07", out)

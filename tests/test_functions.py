@@ -97,3 +97,10 @@ def test_rates(spark):
 def test_percent_text_rounds_up_on_doubles(spark):
     rows = [(0.07,), (0.57,), (1.0,), (0.0,), (None,)]
     assert [g[0] for g in values(spark, rows, "x double", rates.percent_text(F.col("x")))] == ["8%", "57%", "100%", "0%", None]
+
+
+def test_split_fields(spark):
+    rows = [('T;"a;b";3',), ("T;;x|y;",), ('"say ""hi""";z',), ("plain",), (None,)]
+    got = [g[0] for g in values(spark, rows, "v string", text.split_fields(F.col("v"), ";"))]
+    assert got == [["T", "a;b", "3"], ["T", "", "x|y", ""], ['say "hi"', "z"], ["plain"], None]
+    assert values(spark, [("a|b;c",)], "v string", text.split_fields(F.col("v"), "|")) == [(["a", "b;c"],)]

@@ -1,6 +1,7 @@
 """Operators on small tables: edge cases, skew, errors."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,6 +153,37 @@ def test_waterfall_with_hot_keys(spark, monkeypatch):
     assert salted == plain and len(plain) == 400
 
 
+def test_waterfall_against_brute_force(spark):
+    rng = random.Random(7)
+    names, mothers = ["ANA", "BIA", "CAIO", "", None], ["RITA", "EVA", None]
+    dates, ids = [D1, D2, D3, None], ["1", "2", "3", "", None, "9"]
+    pupils = [(i, rng.choice(names), rng.choice(mothers), rng.choice(dates), rng.choice(ids)) for i in range(300)]
+    cad = [(100 + i, rng.choice(ids[:5]), rng.choice(names), rng.choice(mothers), rng.choice(dates), rng.choice(dates[:3]))
+           for i in range(25)]
+    ddl = "row_id bigint, cpf string, nome string, nome_mae string, dta_nasc date, dat_atual_fam date"
+    got = matching.match_waterfall(students_of(spark, pupils), registry.with_standard_cpf(spark.createDataFrame(cad, ddl)))
+
+    def first(pairs):
+        hits = [c for c in cad if all(a and a == c[i] for a, i in pairs)]
+        return min(hits, key=lambda c: (-c[5].toordinal(), c[0]))[0] if hits else None
+
+    expected = {}
+    for number, name, mother, born, cpf in pupils:
+        rules = {"cpf": [(cpf, 1)], "nome_mae": [(name, 2), (mother, 3)], "nome_nascimento": [(name, 2), (born, 4)]}
+        found = ((rule, first(pairs)) for rule, pairs in rules.items())
+        expected[number] = next(((r, row) for r, row in found if row is not None), (None, None))
+    assert {r.matricula: (r.regra, r.cad_row_id) for r in got.collect()} == expected
+    assert {rule for rule, _ in expected.values()} == {"cpf", "nome_mae", "nome_nascimento", None}
+
+
+def test_merge_newest_gives_one_row_per_student(spark):
+    cad = people(spark, [(1, "1", "old", D1, 1.0), (2, "1", "new", D2, 1.0), (3, None, "x", D1, 1.0)])
+    pupils = students_of(spark, [(1, "a", "b", D1, "1"), (2, "a", "b", D1, "1"), (3, "a", "b", D1, None)])
+    got = matching.merge_newest(pupils.select("cpf_std", "matricula", "cpf"), cad)
+    assert sorted((r.matricula, r.nome) for r in got.collect()) == [(1, "new"), (2, "new")]
+    assert {"cpf_ALUNO", "cpf_CADUNICO"} <= set(got.columns)
+
+
 def test_merge_metrics_guard(spark):
     cad = people(spark, [(1, "123", "A", D1, 1.0)])
     nobody = students_of(spark, [(1, "a", "b", D1, "--"), (2, "a", "b", D1, None)])
