@@ -18,21 +18,22 @@ SKETCH_ITEMS = 16_384
 SKETCH_LANES = 256
 
 
-def first_per_key(df: DataFrame, key: Column, order: Sequence[Column], null_id: str | None = None) -> DataFrame:
-    """The first row of each key in ``order``, which must be a total order.
+def first_per_key(df: DataFrame, key: Column, order: Sequence[Column], keep_null: bool = False) -> DataFrame:
+    """The first row of each key in ``order``, which should be a total order.
 
     ``row_number() = 1`` lets Spark drop all but the first row per key before the shuffle,
-    so a hot key costs one row per map task. With ``null_id`` (a unique column) rows
-    without a key are all kept; each gets a group of its own, so they spread evenly.
-    Without it they are dropped.
+    so a hot key costs one row per map task. Rows without a key are dropped, or with
+    ``keep_null`` all kept: each gets a number and with it a group of its own, so they
+    spread evenly and none can displace another, whatever their columns hold.
     """
-    if null_id is None:
+    if not keep_null:
         df = df.filter(key.isNotNull())
         group = [key]
     else:
-        group = [key, F.when(key.isNull(), F.col(null_id))]
+        df = df.withColumn("_line", F.monotonically_increasing_id())
+        group = [key, F.when(key.isNull(), F.col("_line"))]
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank", "_line")
 
 
 def newest_row_ids(df: DataFrame, key: str, newest: str, row_id: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rollcall.functions.text import normalise_name, squeeze_name
 from rollcall.operators.columns import STANDARD_CPF, ensure_standard_cpf, keep_existing, suffix_collisions
 from rollcall.operators.keys import first_per_key, heavy_keys, join_per_key, newest_row_ids
-from rollcall.operators.registry import latest_first, latest_with_cpf
+from rollcall.operators.registry import latest_with_cpf
 
 # Columns a minimal merge keeps, where present.
 STUDENT_MERGE_COLUMNS = (STANDARD_CPF, "nm_aluno", "idt_estab", "cpf")

@@ -1,20 +1,21 @@
-"""The social registry: standard form, income rule, one row per person."""
+"""The social registry: standard form, income rule, one row per person.
+
+A registry table has ``row_id``, unique in the table, and ``dat_atual_fam``, the update date.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.cpf import cpf_digits
 from rollcall.operators.keys import first_per_key
 from rollcall.schema import INCOME_CUT
 
-LATEST_FIRST = (F.desc, "dat_atual_fam"), (F.asc, "row_id")
-
 
-def latest_first() -> list:
+def latest_first() -> list[Column]:
     """Newest update first, ties by row id."""
-    return [direction(column) for direction, column in LATEST_FIRST]
+    return [F.desc("dat_atual_fam"), F.asc("row_id")]
 
 
 def with_standard_cpf(df: DataFrame, source: str = "cpf") -> DataFrame:
@@ -45,7 +46,7 @@ def income_filter_counts(registry: DataFrame, cut: float = INCOME_CUT, column: s
 
 def latest_per_person(registry: DataFrame) -> DataFrame:
     """The newest row of each ``cpf_std``; rows without one are all kept."""
-    return first_per_key(registry, F.col("cpf_std"), latest_first(), null_id="row_id")
+    return first_per_key(registry, F.col("cpf_std"), latest_first(), keep_null=True)
 
 
 def latest_with_cpf(registry: DataFrame) -> DataFrame:

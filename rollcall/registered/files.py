@@ -113,9 +113,13 @@ def registry_read_all_rows(spark, d):
     return registry_csv.read_registry_version(spark, path, {}, ["COD_NIS", "COD_CPF", "BAIRRO"], keep_duplicates=True)
 
 
+def _typed(raw):
+    # The social number is unique in the given tables.
+    return registry_csv.typed_registry(raw, col.quoted("p.num_nis_pessoa_atual").cast("bigint"))
+
+
 def registry_typed(spark, d):
-    raw = registry_csv.read_raw_csv(spark, _csv(spark, d))
-    return registry_csv.typed_registry(raw).select(
+    return _typed(registry_csv.read_raw_csv(spark, _csv(spark, d))).select(
         "row_id", "cpf_std", "nome", "cod_fam", "dta_nasc", "cod_parentesco", "renda_media", "dat_atual_fam"
     )
 
@@ -287,7 +291,7 @@ def registry_incremental_csv(spark, d):
     for arrival in ("`p.grau_instrucao` <= '4'", "`p.grau_instrucao` > '4'"):
         sink.write_csv(rows.filter(arrival), f"{source}/{'low' if '<=' in arrival else 'high'}", encoding="ISO-8859-1")
     incremental.start_ingest(
-        spark, f"{source}/*", rows.schema, base, checkpoint, file_format="csv", prepare=registry_csv.typed_registry,
+        spark, f"{source}/*", rows.schema, base, checkpoint, file_format="csv", prepare=_typed,
         sep=";", header="true", encoding="ISO-8859-1", escape='"',
     ).awaitTermination()
     return incremental.read_base(spark, base).select(*PERSON)

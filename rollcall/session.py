@@ -15,13 +15,23 @@ DEFAULTS = {
 }
 
 
-def build_session(app_name: str = "rollcall", master: str | None = None, **conf: str) -> SparkSession:
+def shuffle_partitions(shuffle_bytes: int, target_bytes: int = 256 * 2**20, least: int = 200) -> int:
+    """Enough partitions for a shuffle of this size to fit executor memory."""
+    return max(least, -(-shuffle_bytes // target_bytes))
+
+
+def build_session(
+    app_name: str = "rollcall", master: str | None = None, shuffle_bytes: int | None = None, **conf: str
+) -> SparkSession:
     """A session with this package's defaults; ``conf`` entries win over them.
 
     Keys are passed with underscores for dots (``spark_sql_shuffle_partitions="8"``).
-    The number of shuffle partitions is left to the cluster's own setting, AQE merges
-    small ones.
+    ``shuffle_bytes`` is the largest shuffle to expect, about the size of the columns a
+    join needs of the larger table; AQE merges partitions that turn out small. Without it
+    the cluster's own setting holds.
     """
+    if shuffle_bytes is not None:
+        conf.setdefault("spark_sql_shuffle_partitions", str(shuffle_partitions(shuffle_bytes)))
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.functions.cpf import cpf_digits
@@ -77,11 +77,10 @@ def read_registry_version(
             "*",
             cpf_digits(quoted(CPF_COLUMN)).alias("_cpf"),
             F.xxhash64(*[quoted(c) for c in raw.columns]).alias("_hash"),
-            F.monotonically_increasing_id().alias("_line"),
         )
         newest = iso_date(quoted(UPDATED_COLUMN)).desc_nulls_last()
         order = [newest, quoted("p.num_nis_pessoa_atual").asc(), F.asc("_hash")]
-        raw = first_per_key(keyed, F.col("_cpf"), order, null_id="_line")
+        raw = first_per_key(keyed, F.col("_cpf"), order, keep_null=True)
     return select_aliases(raw, columns)
 
 
@@ -105,10 +104,13 @@ def cached_registry(
     return spark.read.parquet(parquet_path)
 
 
-def typed_registry(raw: DataFrame) -> DataFrame:
+def typed_registry(raw: DataFrame, row_id: Column | None = None) -> DataFrame:
     """Raw text columns as the typed columns the operators use.
 
     Income becomes a number here, once, so later income filters reach the Parquet scan.
+    ``row_id`` is a number that is unique in the file, if it has one; the social number is
+    not, a person may be there several times. By default rows are numbered as they are
+    read: write such a table before using it, so that the numbers stay.
     """
     text = {
         "cpf": CPF_COLUMN,
@@ -118,9 +120,19 @@ def typed_registry(raw: DataFrame) -> DataFrame:
         "cod_fam": "d.cod_familiar_fam",
         "cd_ibge": "d.cd_ibge",
         "cep": "d.num_cep_logradouro_fam",
+        "tipo_end": "d.nom_tip_logradouro_fam",
+        "titulo_end": "d.nom_titulo_logradouro_fam",
+        "nome_end": "d.nom_logradouro_fam",
+        "num_end": "d.num_logradouro_fam",
+        "complem_1": "d.des_complemento_fam",
+        "bairro": "d.nom_localidade_fam",
+        "ddd_contato1": "d.num_ddd_contato_1_fam",
+        "num_tel_contato1": "d.num_tel_contato_1_fam",
+        "ddd_contato2": "d.num_ddd_contato_2_fam",
+        "num_tel_contato2": "d.num_tel_contato_2_fam",
     }
     return raw.select(
-        quoted("p.num_nis_pessoa_atual").try_cast("bigint").alias("row_id"),
+        (F.monotonically_increasing_id() if row_id is None else row_id).alias("row_id"),
         *[quoted(source).alias(name) for name, source in text.items() if source in raw.columns],
         cpf_digits(quoted(CPF_COLUMN)).alias("cpf_std"),
         iso_date(quoted("p.dta_nasc_pessoa")).alias("dta_nasc"),

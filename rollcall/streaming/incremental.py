@@ -25,7 +25,8 @@ def start_ingest(
     """Read the files not yet seen and add each batch's newest rows to ``base``.
 
     ``prepare`` makes ``row_id``, ``cpf_std`` and ``dat_atual_fam`` of the file's columns,
-    for raw CSV files ``registry_csv.typed_registry``. A batch only writes its own
+    for raw CSV files with ``registry_csv.typed_registry`` and a ``row_id`` column (it only
+    settles ties of the update date here). A batch only writes its own
     partition, replaced when the batch is run again after a failure, so every row counts
     once and no earlier data is rewritten. ``read_base`` settles which row is newest over
     all batches.

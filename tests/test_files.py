@@ -9,6 +9,7 @@ from rollcall.fixtures import PERIOD, view
 from rollcall.plans.monthly import run_month
 from rollcall.registered.files import MONTH_TABLES, RAW, raw_registry
 from rollcall.schema import REGISTRY_SCAN_COLUMNS
+from rollcall.session import shuffle_partitions
 from rollcall.sinks import files as sink
 from rollcall.sources import files as src
 from rollcall.sources import lake, registry_csv
@@ -152,6 +153,56 @@ def test_jdbc_options():
         lake.jdbc_options(connection, "select a from t", "a")
 
 
+class FakeLake:
+    """A reader that remembers its options; the aggregate query answers with ``bounds``."""
+
+    def __init__(self, bounds):
+        self.bounds, self.loads, self.current = bounds, [], {}
+
+    read = property(lambda self: self)
+
+    def format(self, name):
+        assert name == "jdbc"
+        return self
+
+    def options(self, **options):
+        self.current = options
+        return self
+
+    def load(self):
+        self.loads.append(self.current)
+        return self
+
+    def first(self):
+        return self.bounds
+
+
+def test_jdbc_reads_in_ranges_between_the_bounds():
+    connection = {"url": "jdbc:db:"}
+    session = FakeLake((10, 99))
+    lake.read_jdbc(session, connection, "select a from t", "a", num_partitions=4)
+    assert "min(a)" in session.loads[0]["query"]
+    assert (session.loads[1]["lowerBound"], session.loads[1]["upperBound"]) == ("10", "100")
+    empty = FakeLake((None, None))
+    lake.read_jdbc(empty, connection, "select a from t", "a")
+    assert empty.loads[1]["query"] == "select a from t"
+    whole = FakeLake(None)
+    lake.read_jdbc(whole, connection, "select a from t")
+    assert len(whole.loads) == 1
+
+
+def test_typed_registry_numbers_rows(spark):
+    raw = raw_registry(spark, SF).limit(50).withColumn("p.num_nis_pessoa_atual", F.lit("1"))
+    typed = registry_csv.typed_registry(raw)
+    assert typed.select("row_id").distinct().count() == 50
+    assert dict(typed.dtypes)["renda_media"] == "double" and dict(typed.dtypes)["dat_atual_fam"] == "date"
+
+
+def test_shuffle_partitions():
+    assert shuffle_partitions(1) == 200
+    assert shuffle_partitions(10 * 2**40) == 40960
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert work_root(spark) == spark.conf.get("spark.checkpoint.dir")
     first, second = fresh_path(spark, "x"), fresh_path(spark, "x")

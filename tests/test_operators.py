@@ -27,6 +27,13 @@ def test_latest_per_person_ties_and_nulls(spark):
     assert [tuple(r) for r in registry.cpf_duplicates(df).orderBy("cpf_std").collect()] == [("123", 3, D2), ("9", 2, D1)]
 
 
+def test_rows_without_id_stay_whatever_their_columns(spark):
+    same = [(None, None, "N", D1, 1.0)] * 5 + [(7, "", "N", D1, 1.0)] * 3
+    df = people(spark, [*same, (1, "1", "A", D1, 1.0), (1, "1", "A", D1, 1.0)])
+    assert registry.latest_per_person(df).count() == 9
+    assert "_line" not in registry.latest_per_person(df).columns
+
+
 def test_row_number_is_limited_before_the_shuffle(spark):
     df = people(spark, [(1, "1", "A", D1, 1.0)])
     plan = registry.latest_per_person(df)._jdf.queryExecution().executedPlan().toString()

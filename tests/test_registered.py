@@ -18,18 +18,16 @@ def con():
 @pytest.mark.parametrize("name", sorted(entry_module.queries()))
 def test_query(spark, con, name):
     df = entry_module.queries()[name](spark, SF_DIR)
-    sql = entry_module.oracle_sql().get(name)
-    if sql is None:
-        assert df.columns
-        df.collect()
-        return
-    got, expected = compare(df, con, sql)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for slow in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "EvalPython", "SortAggregate"):
+        assert slow not in plan
+    got, expected = compare(df, con, entry_module.oracle_sql()[name])
     assert len(got) == len(expected)
     assert got == expected
 
 
-def test_every_sql_has_a_query():
-    assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
+def test_every_query_has_sql():
+    assert set(entry_module.oracle_sql()) == set(entry_module.queries())
 
 
 def test_entry(spark):
