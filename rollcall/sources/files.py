@@ -71,16 +71,12 @@ def preview(df: DataFrame, order: str, n: int = 200, shown: int = 5) -> DataFram
 def trailer_records(lines: DataFrame, sep: str = ";") -> DataFrame:
     """The last line of each file, also of files read in many splits, and its fields.
 
-    First only numbers are aggregated: the last line number of each split, then that of
-    the file's last split. The text is fetched by line number afterwards, so no task
-    sorts or buffers lines.
+    One pass: each task reduces its split to one line per file, the last by place, before
+    anything is shuffled. Line numbers are only compared within the scan that gave them;
+    another scan may cut the files differently.
     """
-    per_split = lines.groupBy("arquivo", "bloco").agg(F.max("linha").alias("linha"))
-    last = per_split.groupBy("arquivo").agg(F.max_by("linha", "bloco").alias("linha"))
-    return (
-        lines.join(last.select("linha"), "linha", "left_semi")
-        .select("arquivo", F.col("value").alias("trailer"), split_fields(F.col("value"), sep).alias("campos"))
-    )
+    last = lines.groupBy("arquivo").agg(F.max_by("value", F.struct("bloco", "linha")).alias("trailer"))
+    return last.withColumn("campos", split_fields(F.col("trailer"), sep))
 
 
 def trailer_check(
