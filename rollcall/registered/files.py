@@ -277,11 +277,11 @@ def registry_incremental(spark, d):
     columns = ["row_id", "cpf", "nome", "dat_atual_fam", "renda_media"]
     source, base, checkpoint = (fresh_path(spark, n) for n in ("arriving", "base", "checkpoint"))
     rows = view(spark, d, "registry").select(*columns, (F.col("row_id") % 3).alias("chegada"))
-    # Three arrivals by row id, each a file or more.
+    schema = "row_id bigint, cpf string, nome string, dat_atual_fam date, renda_media double"
+    # Three arrivals; each ingest goes on where the one before ended.
     for arrival in range(3):
         rows.filter(F.col("chegada") == arrival).drop("chegada").write.mode("append").parquet(source)
-    schema = "row_id bigint, cpf string, nome string, dat_atual_fam date, renda_media double"
-    incremental.start_ingest(spark, source, schema, base, checkpoint, files_per_batch=1).awaitTermination()
+        incremental.start_ingest(spark, source, schema, base, checkpoint).awaitTermination()
     return incremental.read_base(spark, base).select(*PERSON)
 
 
