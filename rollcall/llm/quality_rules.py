@@ -157,6 +157,11 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, also: tuple[str, ...
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with all columns, without the rows that ``judge`` rejects."""
+    """``docs`` with all columns, without the rows that ``judge`` rejects.
+
+    The verdict decides whether a row has a value to unpack. A plain filter on it would be
+    pushed below the counts and compute them once per use.
+    """
     whole = docs.select("doc_id", "text", F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
-    return judge(whole, rules, ("_row",)).filter("kept").select("_row.*")
+    kept = judge(whole, rules, ("_row",)).select(F.explode_outer(F.when(F.col("kept"), F.array("_row"))).alias("_row"))
+    return kept.filter(F.col("_row").isNotNull()).select("_row.*")

@@ -82,7 +82,7 @@ with texts as (
     select row_number() over () as r, cast(doc_id as bigint) as doc_id, coalesce(text, '') as text from documents
 ), word_lists as (
     select r, doc_id, text, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') as words,
-        list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^ \t\n\x0B\f\r]')) as lines
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) as lines
     from texts
 ), windows as (
     select r, i, words[i] as a, words[i + 1] as b, words[i + 2] as c
@@ -95,9 +95,9 @@ with texts as (
     select doc_id, len(words) as n_words, length(array_to_string(words, '')) as word_chars,
         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
         len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, len(lines) as n_lines,
-        len(list_filter(words, x -> x in ({_STOP}))) as n_stop_words,
-        len(list_filter(lines, x -> regexp_matches(x, '^\s*[-*•‣◦]\s'))) as n_bullet_lines,
-        len(list_filter(lines, x -> ends_with(rtrim(x, ' '), '...') or ends_with(rtrim(x, ' '), '…'))) as n_ellipsis_lines
+        len(list_filter(words, lambda x: x in ({_STOP}))) as n_stop_words,
+        len(list_filter(lines, lambda x: regexp_matches(x, '^\s*[-*•‣◦]\s'))) as n_bullet_lines,
+        len(list_filter(lines, lambda x: ends_with(rtrim(x, ' '), '...') or ends_with(rtrim(x, ' '), '…'))) as n_ellipsis_lines
     from word_lists left join covered using (r)
 ), judged as (
     select *, n_words < {quality_rules.LEAST_WORDS} or 100 * n_repeat_words > {quality_rules.MOST_REPEATED} * n_words as base_failed from counts
