@@ -17,6 +17,7 @@ columns are left out.
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from rollcall.llm.pieces import MARK, Memo, Vocabulary, chunks, merges, vocabulary
 
-MEMO_ENTRIES = 150_000
+MEMO_ENTRIES = 400_000
 PAIR_ENTRIES = 500_000
 ROWS_AT_A_TIME = 200
 SCHEMA = "doc_id long, n_tokens long, ids array<int>, decoded string"
@@ -40,6 +41,7 @@ class Encoder:
         for piece in words.id:
             self.automaton.add_word(piece, piece)
         self.automaton.make_automaton()
+        self.alphabet = frozenset(piece for piece in words.id if len(piece) == 1)
         self.compatible = Memo(self._compatible, PAIR_ENTRIES)
 
     def _compatible(self, pair: tuple[str, str]) -> bool:
@@ -49,41 +51,40 @@ class Encoder:
         expected = [0, len(first)] if first else [0]
         return merges(joined, self.words.rank) == expected
 
-    def last_tokens(self, chunk: str) -> list[str]:
-        """For each end position the last token of the prefix that ends there.
+    def last_tokens(self, chunk: str) -> list[str | None]:
+        """For each end position the last token of the prefix that ends there, None if no token does.
 
-        A character that is no piece is a token of its own; no merge touches it, so what
-        follows it starts afresh.
+        ``chunk`` has only characters that are pieces.
         """
-        last: list[str] = [""] * (len(chunk) + 1)
-        at = 0
+        last: list[str | None] = [""] + [None] * len(chunk)
+        compatible = self.compatible
         for end, piece in self.automaton.iter(chunk):
             end += 1
-            while at < end:
-                at += 1
-                last[at] = ""
-            if last[end]:
-                continue
-            before = last[end - len(piece)]
-            if end > len(piece) and not before:
-                before_known = chunk[end - len(piece) - 1] not in self.words.id
-                if not before_known:
-                    continue
-            if self.compatible[before, piece]:
-                last[end] = piece
+            if last[end] is None:
+                before = last[end - len(piece)]
+                if before is not None and compatible[before, piece]:
+                    last[end] = piece
         return last
 
-    def ids(self, chunk: str) -> list[int]:
+    def _known_ids(self, chunk: str) -> list[int]:
         last, found, at = self.last_tokens(chunk), [], len(chunk)
         while at:
-            if last[at]:
-                found.append(self.words.id[last[at]])
-                at -= len(last[at])
-            else:
-                found.extend(self.words.byte[b] for b in reversed(chunk[at - 1].encode()))
-                at -= 1
+            token = last[at]
+            found.append(self.words.id[token])
+            at -= len(token)
         return found[::-1]
 
+    def ids(self, chunk: str) -> list[int]:
+        """Ids of a chunk; characters that are no piece become bytes and part what is around them."""
+        if self.alphabet.issuperset(chunk):
+            return self._known_ids(chunk)
+        found, start = [], 0
+        for at, character in enumerate(chunk):
+            if character not in self.alphabet:
+                found += self._known_ids(chunk[start:at]) + [self.words.byte[b] for b in character.encode()]
+                start = at + 1
+        return found + self._known_ids(chunk[start:])
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids, byte pieces decoded together, marks as spaces (the first mark kept)."""
         out, raw = [], bytearray()
@@ -101,6 +102,18 @@ class Encoder:
         return "".join(out).replace(MARK, " ")
 
 
+@lru_cache(maxsize=2)
+def worker_codec(model_file: str) -> tuple[Encoder, Memo, Memo]:
+    """A worker's encoder, its ids by chunk, and its chunks shown as (count, decimal ids, text); kept from task to task."""
+    encoder = Encoder(vocabulary(model_file))
+
+    def shown(rest: str) -> tuple[int, str, str]:
+        ids = encoder.ids(MARK + rest)
+        return len(ids), " ".join(map(str, ids)), encoder.decode(ids)
+
+    return encoder, Memo(lambda rest: encoder.ids(MARK + rest), MEMO_ENTRIES), Memo(shown, MEMO_ENTRIES)
+
+
 def encode(text: str, encoder: Encoder) -> list[int]:
     """All ids of a text, the end id last."""
     return [i for rest in chunks(text) for i in encoder.ids(MARK + rest)] + [encoder.words.end]
@@ -119,8 +132,7 @@ def encode_documents(docs: DataFrame, model_file: str) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids`` with the end id, and the text decoded from them."""
 
     def run(batches):
-        encoder = Encoder(vocabulary(model_file))
-        known = Memo(lambda rest: encoder.ids(MARK + rest), MEMO_ENTRIES)
+        encoder, known, _ = worker_codec(model_file)
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS_AT_A_TIME):
                 part = batch.slice(start, ROWS_AT_A_TIME)
@@ -142,13 +154,8 @@ def digest_documents(docs: DataFrame, model_file: str) -> DataFrame:
     """
 
     def run(batches):
-        encoder = Encoder(vocabulary(model_file))
-
-        def shown(rest: str) -> tuple[int, str, str]:
-            ids = encoder.ids(MARK + rest)
-            return len(ids), " ".join(map(str, ids)), encoder.decode(ids)
-
-        known, end = Memo(shown, MEMO_ENTRIES), str(encoder.words.end)
+        encoder, _, known = worker_codec(model_file)
+        end = str(encoder.words.end)
         for batch in batches:
             counts, ids_sha, decoded_sha = [], [], []
             for text in batch.column(1).to_pylist():

@@ -12,18 +12,21 @@ and ``text`` are read, so further columns, whatever their names, are left out.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm.pieces import MARK, Memo, chunks, merges, vocabulary
 
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 600_000
 SCHEMA = "doc_id long, n_bytes long, n_tokens long"
 
 
+@lru_cache(maxsize=2)
 def chunk_counter(model_file: str, entries: int = MEMO_ENTRIES) -> Memo:
-    """Tokens of one chunk, by chunk without its first mark."""
+    """Tokens of one chunk, by chunk without its first mark; a worker keeps it from task to task."""
     rank = vocabulary(model_file).rank
 
     def count(rest: str) -> int:
