@@ -14,8 +14,8 @@ Links are found without writing out the pairs of a group. Equal sets are one cla
 its smallest id. Keys are reduced by partial aggregates to those with two classes or more,
 with the smallest as pivot. First each class is verified against its smallest pivot only,
 and the verified ones become components. Keys whose members are in one component are done,
-since only reachability is asked for. Of the others, a doubling number of members per key
-is compared with the members in other components, until no key is open or all its members
+since only reachability is asked for. Of the others, 32, 128, ... members per key
+are compared with the members in other components, until no key is open or all its members
 were compared. Verification compares whole sets. So no link between different components
 is missed, and the work stays near one comparison a document.
 
@@ -43,7 +43,7 @@ from rollcall.workdir import settle
 
 SPREAD = 1.5
 BITS = 1 << 26
-FIRST_PIVOTS = 8
+FIRST_PIVOTS = 32
 OUT_ROWS = 100_000
 
 
@@ -290,10 +290,10 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85) -> DataF
         links = verified(pairs, texts, words, percent)
         if not links.isEmpty():
             labels = merged(labels, links)
-        tested = settle(tested.union(pairs.select("a", "b")), "tested")
+        tested = tested.union(pairs.select("a", "b"))
         if pivots >= most:
             break
-        pivots *= 2
+        pivots *= 4
     by_head = heads.join(labels.select(F.col("node").alias("head"), "root"), "head", "left").select("n_shingles", "one", "two", F.coalesce("root", "head").alias("component"))
     of_set = sets.join(by_head, ["n_shingles", "one", "two"]).groupBy("doc_id").agg(F.min("component").alias("component"))
     return sizes.select("doc_id", "n_shingles").join(of_set, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
