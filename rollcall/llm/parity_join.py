@@ -7,8 +7,11 @@ d = (100 - p)(a + b) / (100 + p) shingles, so of d + m blocks at least m are unt
 equal. A key is a block's number, parity bits and the XOR of its shingles' hashes; documents
 that share a key are candidates. Blocks with fewer than two shingles say little and would be
 hot: they are left out unless a document has m or more of them, in which case all its blocks
-are keys. Either way two linked documents share a key. A document is in its own band and,
-where it can have partners there, in the next.
+are keys. A document that leaves out l blocks shares at least q = m - l keys with any linked
+one (the others at least one). The rarest of them is not among either document's q - 1 most
+frequent keys, so each document drops these: passages that many documents share make no
+candidates, and no link is lost. A document is in its own band and, where it can have
+partners there, in the next.
 
 Links are found without writing out the pairs of a group. Equal sets are one class, kept by
 its smallest id. Keys are reduced by partial aggregates to those with two classes or more,
@@ -35,7 +38,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.llm.shingles import mix, shingle_sets
@@ -45,6 +48,8 @@ SPREAD = 1.5
 BITS = 1 << 26
 FIRST_PIVOTS = 32
 OUT_ROWS = 100_000
+# Blocks beyond those that are needed, as a share of d; the more, the more frequent keys can be dropped.
+EXTRA = 0.35
 
 
 @lru_cache(maxsize=None)
@@ -59,7 +64,7 @@ def band(number: int, percent: int) -> tuple[int, int, int, int]:
     for _ in range(4 if d else 0):
         per_block = low / (d + spare)
         light = (d + spare) * math.exp(-per_block) * (1 + per_block)
-        spare = min(max(2, d), 1 + math.ceil(light + 3 * math.sqrt(light)))
+        spare = math.ceil(EXTRA * d) + min(max(2, d), 1 + math.ceil(light + 3 * math.sqrt(light)))
     return low, high, d, d + spare
 
 
@@ -71,8 +76,8 @@ def bands(size: int, percent: int) -> list[int]:
     return [number, number + 1] if 100 * size >= percent * band(number, percent)[1] else [number]
 
 
-def block_keys(shingles: np.ndarray, number: int, percent: int) -> np.ndarray:
-    """Keys of one document in one band."""
+def block_keys(shingles: np.ndarray, number: int, percent: int) -> tuple[np.ndarray, int]:
+    """Keys of one document in one band, and how many of them it shares with a linked one at least."""
     _, _, d, blocks = band(number, percent)
     place = mix(shingles + np.uint64(0x51ED2701)) % np.uint64(64 * blocks)
     block = (place >> np.uint64(6)).astype(np.int64)
@@ -83,14 +88,15 @@ def block_keys(shingles: np.ndarray, number: int, percent: int) -> np.ndarray:
     value = np.bitwise_xor.reduceat(hashes, starts)
     parity = np.bitwise_xor.reduceat(bits, starts)
     heavy = counts >= 2
-    if blocks - int(heavy.sum()) < blocks - d:
+    sure = int(heavy.sum()) - d
+    if sure > 0:
         numbers, value, parity = numbers[heavy], value[heavy], parity[heavy]
     else:
         every = np.zeros((2, blocks), np.uint64)
         every[0, numbers], every[1, numbers] = value, parity
         numbers, value, parity = np.arange(blocks), every[0], every[1]
     of_band = np.uint64(number * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)
-    return mix(mix(value + mix(parity)) + numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + of_band)
+    return mix(mix(value + mix(parity)) + numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + of_band), max(1, sure)
 
 
 def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -152,28 +158,35 @@ def set_sizes(rows: DataFrame, words: int) -> DataFrame:
 
 
 def keys(rows: DataFrame, words: int, percent: int, known=None) -> DataFrame:
-    """(``key``, ``doc_id``) of every document's blocks; only keys in the broadcast bit map ``known``, if given."""
+    """``key``, ``doc_id``, ``band`` and ``sure`` (see ``block_keys``) of every document's blocks.
+
+    With the broadcast bit map ``known``, only keys that may be in it.
+    """
+    names = ["key", "doc_id", "band", "sure"]
+
+    def out(held):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(column)) for column in zip(*held, strict=True)], names=names)
 
     def run(batches):
-        held, ids, n = [], [], 0
+        held, n = [], 0
         for batch in batches:
             for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), words), strict=True):
                 if doc_id is None or not len(s):
                     continue
                 for number in bands(len(s), percent):
-                    found = block_keys(s, number, percent).view(np.int64)
+                    found, sure = block_keys(s, number, percent)
+                    found = found.view(np.int64)
                     if known is not None:
                         found = found[_maybe(known.value, found)]
-                    held.append(found)
-                    ids.append(np.full(len(found), doc_id, np.int64))
+                    held.append((found, np.full(len(found), doc_id, np.int64), np.full(len(found), number, np.int32), np.full(len(found), sure, np.int32)))
                     n += len(found)
                 if n >= OUT_ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(np.concatenate(ids))], names=["key", "doc_id"])
-                    held, ids, n = [], [], 0
+                    yield out(held)
+                    held, n = [], 0
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held)), pa.array(np.concatenate(ids))], names=["key", "doc_id"])
+            yield out(held)
 
-    return rows.mapInArrow(run, "key long, doc_id long")
+    return rows.mapInArrow(run, "key long, doc_id long, band int, sure int")
 
 
 def chosen(rows: DataFrame, known) -> DataFrame:
@@ -259,14 +272,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85) -> DataF
     # one class per set, named by its smallest id
     sets = sizes.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "one", "two")
     heads = settle(sets.groupBy("n_shingles", "one", "two").agg(F.min("doc_id").alias("head")), "heads")
-    shared = settle(
-        keys(rows, words, percent).groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("top")).filter("pivot < top").select("key", "pivot"), "keys"
-    )
+    counted = keys(rows, words, percent).groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
+    shared = settle(counted.filter("low < high").select("key", "n"), "keys")
     known = spark.sparkContext.broadcast(bit_map(shared, "key"))
-    members = settle(
-        keys(rows, words, percent, known).join(shared, "key").join(heads.select(F.col("head").alias("doc_id")), "doc_id", "left_semi").distinct(), "members"
-    )
-    # a key whose members are one class has only its pivot left
+    frequent_first = Window.partitionBy("doc_id", "band").orderBy(F.desc("n"), "key")
+    ranked = keys(rows, words, percent, known).join(shared, "key").join(heads.select(F.col("head").alias("doc_id")), "doc_id", "left_semi").distinct()
+    members = settle(ranked.withColumn("place", F.row_number().over(frequent_first)).filter("place >= sure").select("key", "doc_id"), "members")
+    pivots_of = settle(members.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("high")).filter("pivot < high").select("key", "pivot"), "pivots")
+    members = settle(members.join(pivots_of, "key"), "members")
     first = settle(members.filter("pivot < doc_id").groupBy("doc_id").agg(F.min("pivot").alias("a")).select("a", F.col("doc_id").alias("b")), "pairs")
     involved = settle(first.select(F.col("a").alias("doc_id")).union(first.select("b")).distinct(), "involved")
     wanted = spark.sparkContext.broadcast(bit_map(involved, "doc_id"))
