@@ -12,6 +12,7 @@ from rollcall.functions.cpf import cpf_digits
 from rollcall.schema import COLUMN_DICTIONARY
 
 STANDARD_CPF = "CPF_PADRONIZADO"
+# Names an id column may have.
 CPF_CANDIDATES = ("cpf", "CPF", "CPF_ALUNO", "CPF_CADUNICO", "p.num_cpf_pessoa", "num_cpf_pessoa")
 
 

@@ -8,14 +8,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A key is heavy from this part of the rows on, and never below this number of rows.
-HEAVY_SHARE = 0.0005
-HEAVY_ROWS = 1_000_000
-# Groups a heavy key is split into: a third of all rows then makes groups of about HEAVY_SHARE.
-SALTS = 512
-# Counters per sketch (errors stay near 0.01 % of the rows) and groups that merge sketches.
-SKETCH_ITEMS = 16_384
-SKETCH_LANES = 256
+from rollcall.workdir import settle
 
 
 def first_per_key(df: DataFrame, key: Column, order: Sequence[Column], keep_null: bool = False) -> DataFrame:
@@ -51,65 +44,17 @@ def newest_row_ids(df: DataFrame, key: str, newest: str, row_id: str) -> DataFra
     return df.groupBy(key).agg(F.max(order).alias("_order")).select(key, signed.cast("bigint").alias(row_id))
 
 
-def heavy_keys(
-    df: DataFrame, columns: Sequence[str], share: float = HEAVY_SHARE, least: int = HEAVY_ROWS
-) -> dict[str, list]:
-    """Per column the values that hold at least ``share`` of the rows and ``least`` rows.
-
-    A table of fewer than ``least`` rows has none; counting rows of a Parquet table reads
-    only its footers. Otherwise one pass over these columns: each task keeps a fixed number
-    of counters, groups of tasks merge theirs, then the groups do. At most 1 / share values
-    per column come to the driver. They only steer how joins spread their work, results do
-    not depend on them.
-    """
-    rows = df.count()
-    if rows < max(least, 1):
-        return {c: [] for c in columns}
-    lanes = df.select(*columns, (F.spark_partition_id() % SKETCH_LANES).alias("_lane")).groupBy("_lane")
-    sketches = lanes.agg(
-        *[F.expr(f"approx_top_k_accumulate(`{c}`, {SKETCH_ITEMS})").alias(f"_{i}") for i, c in enumerate(columns)]
-    )
-    top = round(1 / share)
-    total = sketches.agg(
-        *[F.expr(f"approx_top_k_estimate(approx_top_k_combine(_{i}), {top})").alias(f"_{i}") for i in range(len(columns))]
-    ).first()
-    enough = max(share * rows, least)
-    return {
-        c: [k["item"] for k in total[f"_{i}"] if k["item"] is not None and k["count"] >= enough]
-        for i, c in enumerate(columns)
-    }
-
-
-def join_per_key(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    how: str,
-    row_id: str,
-    heavy: Sequence = (),
-) -> DataFrame:
+def join_per_key(left: DataFrame, right: DataFrame, key: str, how: str, row_id: str) -> DataFrame:
     """Join on ``key``, compared as text; ``right`` has at most one row per key, ``left`` many.
 
-    In outer and anti joins left rows without a key would all meet in one task; here each
-    gets a key of its own made from the unique column ``row_id``, which matches nothing.
-
-    AQE splits a hot key by itself where ``right`` is read and shuffled for this join. It
-    does not where ``right`` comes out of an aggregate or window on the key, so there pass
-    ``heavy`` (from ``heavy_keys``). Those values are salted: their left rows go to
-    ``SALTS`` groups by the hash of ``row_id`` and their one right row is copied to each
-    group, at most SALTS / share copies in all.
+    ``right`` is written to the shared folder first. Both sides are then read and shuffled
+    for this join alone, and AQE splits a key with many left rows by its size; after an
+    aggregate or window on the key it would not. In outer and anti joins left rows without a
+    key would all meet in one task; here each gets a key of its own made from the unique
+    column ``row_id``, which matches nothing.
     """
     join_key = F.col(key).cast("string")
-    right = right.withColumn("_key", join_key).drop(key)
+    right = settle(right, "per-key").withColumn("_key", join_key).drop(key)
     if how in ("left", "left_anti"):
         join_key = F.coalesce(join_key, F.concat(F.lit("\u0000"), F.col(row_id).cast("string")))
-    left = left.withColumn("_key", join_key)
-    on = ["_key"]
-    if heavy:
-        is_heavy = F.col("_key").isin(list(heavy))
-        group = F.pmod(F.xxhash64(F.col(row_id)), F.lit(SALTS)).cast("int")
-        copies = F.when(is_heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-        left = left.withColumn("_salt", F.when(is_heavy, group).otherwise(F.lit(0)))
-        right = right.withColumn("_salt", F.explode(copies))
-        on.append("_salt")
-    return left.join(right, on, how).drop(*on)
+    return left.withColumn("_key", join_key).join(right, "_key", how).drop("_key")

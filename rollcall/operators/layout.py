@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.text import full_address, phone
-from rollcall.operators.keys import first_per_key, heavy_keys, join_per_key
+from rollcall.operators.keys import first_per_key, join_per_key
 from rollcall.operators.registry import latest_first
 from rollcall.schema import ACTIVE_SITUATIONS, INCOME_CUT
 
@@ -46,14 +46,12 @@ def with_responsible(persons: DataFrame, registry: DataFrame, code: int = REFERE
     ``origem_cpf`` is ``PROPRIO`` with an own id, else ``RESPONSAVEL`` when the family has
     one, else ``NENHUM``.
     """
-    heavy = heavy_keys(registry, ["cod_fam"])["cod_fam"]
     joined = join_per_key(
         persons.withColumn("_fam", F.col("cod_fam")),
         family_heads(registry, code).withColumnRenamed("cod_fam", "_fam"),
         "_fam",
         "left",
         "row_id",
-        heavy,
     ).drop("_fam")
     origin = (
         F.when(F.col("cpf_std").isNotNull(), "PROPRIO")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rollcall.functions.text import normalise_name, squeeze_name
 from rollcall.operators.columns import STANDARD_CPF, ensure_standard_cpf, keep_existing, suffix_collisions
-from rollcall.operators.keys import first_per_key, heavy_keys, join_per_key, newest_row_ids
+from rollcall.operators.keys import first_per_key, join_per_key, newest_row_ids
 from rollcall.operators.registry import latest_with_cpf
 
 # Columns a minimal merge keeps, where present.
@@ -43,11 +43,10 @@ def merge_newest(
 ) -> DataFrame:
     """Each student with the newest registry row of the same ``cpf_std``, one row per student.
 
-    A hot id cannot multiply: the registry has one row for it, and its students are salted.
+    A hot id cannot multiply: the registry has one row for it, and AQE splits its students.
     """
-    heavy = heavy_keys(students, ["cpf_std"])["cpf_std"]
     left, right = suffix_collisions(students, latest_with_cpf(registry), ["cpf_std"], suffixes)
-    return join_per_key(left, right, "cpf_std", "inner", "matricula", heavy)
+    return join_per_key(left, right, "cpf_std", "inner", "matricula")
 
 
 def merge_minimal(students: DataFrame, registry: DataFrame) -> DataFrame:
@@ -137,6 +136,8 @@ def invalid_cpf_counts(students: DataFrame, registry: DataFrame, shown: int = 80
 # Match rules in order: name -> (student columns, registry columns). Text is compared as a
 # normalised name, except for columns that are standardised already.
 STANDARDISED = ("cpf_std",)
+# Ids that stand for no person: only zeros, or one digit eleven times. They match nobody.
+NO_ID = r"^(0+|([0-9])\2{10})$"
 MATCH_RULES: dict[str, tuple[Sequence[str], Sequence[str]]] = {
     "cpf": (["cpf_std"], ["cpf_std"]),
     "nome_mae": (["nm_aluno", "nm_mae"], ["nome", "nome_mae"]),
@@ -159,6 +160,8 @@ def with_rule_keys(df: DataFrame, rules: Mapping[str, Sequence[str]]) -> DataFra
             text = F.unix_date(column).cast("string")
         elif types[column] == "string" and column not in STANDARDISED:
             text = squeeze_name(F.col(column))
+        elif column in STANDARDISED:
+            text = F.when(~F.col(column).cast("string").rlike(NO_ID), F.col(column).cast("string"))
         else:
             text = F.col(column).cast("string")
         return F.coalesce(text, F.lit(""))
@@ -191,14 +194,13 @@ def match_waterfall(
     names = list(rules)
     keyed = with_rule_keys(students, {n: rules[n][0] for n in names})
     people = with_rule_keys(registry, {n: rules[n][1] for n in names})
-    heavy = heavy_keys(keyed, [f"_chave_{n}" for n in names])
     result = keyed.withColumns({"regra": F.lit(None).cast("string"), "cad_row_id": F.lit(None).cast("bigint")})
     for name in names:
         key = f"_chave_{name}"
         best = newest_row_ids(people, key, "dat_atual_fam", "row_id").withColumnRenamed("row_id", "_row_id")
         is_open = F.col("regra").isNull() & (F.col(key) != "")
         result = join_per_key(
-            result.withColumn(key, F.when(is_open, F.col(key))), best, key, "left", "matricula", heavy[key]
+            result.withColumn(key, F.when(is_open, F.col(key))), best, key, "left", "matricula"
         )
         rule = F.when(F.col("_row_id").isNotNull(), F.lit(name)).otherwise(F.col("regra"))
         result = result.withColumns({"regra": rule, "cad_row_id": F.coalesce("cad_row_id", "_row_id")}).drop("_row_id", key)
@@ -208,8 +210,7 @@ def match_waterfall(
 def unmatched(students: DataFrame, registry: DataFrame) -> DataFrame:
     """Students whose id is not in the registry, including those without one."""
     known = registry.select("cpf_std").filter("cpf_std is not null").distinct()
-    heavy = heavy_keys(students, ["cpf_std"])["cpf_std"]
-    return join_per_key(students, known, "cpf_std", "left_anti", "matricula", heavy)
+    return join_per_key(students, known, "cpf_std", "left_anti", "matricula")
 
 
 def cpf_conflicts(students: DataFrame, registry: DataFrame) -> DataFrame:
@@ -227,8 +228,7 @@ def cpf_conflicts(students: DataFrame, registry: DataFrame) -> DataFrame:
     )
     person = latest_with_cpf(registry).select("cpf_std", F.col("nome").alias("nome_cad"))
     shared = names.join(person, "cpf_std")
-    heavy = heavy_keys(students, ["cpf_std"])["cpf_std"]
-    rows = join_per_key(students, shared, "cpf_std", "inner", "matricula", heavy)
+    rows = join_per_key(students, shared, "cpf_std", "inner", "matricula")
     same = normalise_name(F.col("nm_aluno")) == normalise_name(F.col("nome_cad"))
     return rows.withColumn("manter", F.coalesce(same, F.lit(False)))
 

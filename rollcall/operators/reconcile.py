@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.functions.cpf import cpf_digits
+
 
 def compare_rows(a: DataFrame, b: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """One row per key with ``status`` and, per column, whether the two sides differ.
@@ -45,10 +47,13 @@ def compare_columns(a: DataFrame, b: DataFrame, key: str, columns: Sequence[str]
 
 
 def compare_key_sets(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """How many distinct keys are in both, only in A and only in B, and the agreement.
+    """How many distinct ids are in both, only in A and only in B, and the agreement.
+
+    Ids are compared by their digits; those without any are left out.
 
     Each side is reduced to its distinct keys before the shuffle.
     """
+    a, b = (side.select(cpf_digits(F.col(key).cast("string")).alias(key)) for side in (a, b))
     sides = a.select(key, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(
         b.select(key, F.lit(0).alias("a"), F.lit(1).alias("b"))
     )

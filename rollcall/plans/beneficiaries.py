@@ -57,7 +57,7 @@ def run_beneficiaries(
             "inativos": history.inactive(tables["previous_accumulated"], base),
             "cpfs_unicos_mapeados": history.unique_cpf(base),
             "cpfs_unicos_acumulada": history.unique_cpf(accumulated),
-            "funil": eligibility_funnel(kept, registry, cut),
+            "funil": eligibility_funnel(matched, registry, cut),
         }.items()
     }
     layout = beneficiary_layout(kept, registry, tables["enrolment"], tables["school"], cut)

@@ -59,9 +59,9 @@ def run_month(
         return df.withColumn("mesano", F.lit(period))
 
     merged = merge_on(students, registry, "cpf_std") if all_registry_rows else merge_newest(students, registry)
-    write_period(stamped(merged), f"{out}/matriculas")
-    write_period(stamped(unique_persons(students, registry)), f"{out}/pessoas_unicas")
-    write_period(stamped(unmatched(students, registry)), f"{out}/nao_mapeados")
+    write_period(stamped(merged), f"{out}/matriculas", period=period)
+    write_period(stamped(unique_persons(students, registry)), f"{out}/pessoas_unicas", period=period)
+    write_period(stamped(unmatched(students, registry)), f"{out}/nao_mapeados", period=period)
     write_csv(invalid_cpf_rows(registry), f"{out}/cpf_invalidos/{period}", bom=True)
-    write_period(stamped(metrics), f"{out}/metricas")
+    write_period(stamped(metrics), f"{out}/metricas", period=period)
     return spark.read.parquet(f"{out}/metricas").filter(F.col("mesano") == period)

@@ -60,7 +60,9 @@ QUERIES = {
     )
 }
 
-ACCUMULATED = """acc as (select * from (select *, row_number() over (partition by matricula order by mesano desc, cpf) as rn
+DIGITS = "nullif(regexp_replace(cpf, '[^0-9]', '', 'g'), '')"
+ACCUMULATED = f"""acc as (select * from (select *, row_number() over (partition by matricula
+    order by {DIGITS} is null, mesano desc, cpf) as rn
   from (select * from previous_accumulated union all select * from current_active)) where rn=1)"""
 COMPARISON = """cmp as (select coalesce(a.matricula, b.matricula) as matricula,
     case when b.matricula is null then 'only_a' when a.matricula is null then 'only_b'
@@ -71,8 +73,8 @@ COMPARISON = """cmp as (select coalesce(a.matricula, b.matricula) as matricula,
 
 
 def _unique(source: str) -> str:
-    return f"""select matricula, cpf, mesano from (select *, row_number() over (partition by cpf order by mesano desc, matricula) as k
-      from {source} where cpf is not null) where k=1"""
+    return f"""select matricula, cpf, mesano from (select *, row_number() over (partition by {DIGITS} order by mesano desc, matricula) as k
+      from {source} where {DIGITS} is not null) where k=1"""
 
 
 SQL = {
@@ -104,6 +106,6 @@ SQL = {
           select (select count(*) from (select cpf from a intersect select cpf from b)) as em_comum,
             (select count(*) from (select cpf from a except select cpf from b)) as somente_a,
             (select count(*) from (select cpf from b except select cpf from a)) as somente_b)""",
-        """a as (select distinct cpf from previous_accumulated where cpf is not null),
-          b as (select distinct cpf from current_active where cpf is not null)"""),
+        f"""a as (select distinct {DIGITS} as cpf from previous_accumulated where {DIGITS} is not null),
+          b as (select distinct {DIGITS} as cpf from current_active where {DIGITS} is not null)"""),
 }

@@ -38,11 +38,6 @@ def student_base_minimal(spark, d):
     return stu.student_base(*views(spark, d, *BASE_VIEWS), columns=MINIMAL_COLUMNS)
 
 
-def student_base_limit(spark, d):
-    columns = ["chave_contagem_matricula", *MINIMAL_COLUMNS]
-    return stu.first_rows(stu.student_base(*views(spark, d, *BASE_VIEWS), columns=columns), 1000, columns[0])
-
-
 def _eligible(spark, d, ref_date):
     names = ("enrolment", "school_class", "school_calendar", "school", "student")
     return stu.eligible_students(*views(spark, d, *names), ref_date)
@@ -143,7 +138,6 @@ QUERIES = {
     "student_base": student_base,
     "student_base_narrow": student_base_narrow,
     "student_base_minimal": student_base_minimal,
-    "student_base_limit": student_base_limit,
     "eligible_students": eligible_students,
     "eligible_students_param": eligible_students_param,
     "students_per_school": students_per_school,
@@ -162,9 +156,6 @@ SQL = {
     "student_base": _base_sql(ENROLMENT_FACT_COLUMNS),
     "student_base_narrow": _base_sql(NARROW_COLUMNS),
     "student_base_minimal": _base_sql(MINIMAL_COLUMNS),
-    "student_base_limit": _base_sql(
-        ["chave_contagem_matricula", *MINIMAL_COLUMNS], "order by b.chave_contagem_matricula limit 1000"
-    ),
     "eligible_students": _ELIGIBLE,
     "eligible_students_param": _eligible_sql(
         "(select cast(max(dt_inicio) - 60 as date) from school_calendar)"

@@ -36,8 +36,15 @@ def write_parquet(df: DataFrame, path: str) -> str:
     return path
 
 
-def write_period(df: DataFrame, path: str, period_column: str = "mesano") -> str:
-    """Parquet partitioned by run period; a rerun replaces only its own periods."""
+def write_period(df: DataFrame, path: str, period_column: str = "mesano", period: str | None = None) -> str:
+    """Parquet partitioned by run period; a rerun replaces only its own periods.
+
+    With ``period`` all rows are of that one period and its folder is written as a whole, so
+    a result without rows leaves an empty period, readable with its columns.
+    """
+    if period is not None:
+        df.drop(period_column).write.mode("overwrite").parquet(f"{path}/{period_column}={period}")
+        return path
     (
         df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -53,7 +53,7 @@ def test_income_filter_reaches_the_scan(spark, tmp_path):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_anti"])
-def test_salted_join_equals_plain_join(spark, how):
+def test_join_per_key_equals_plain_join(spark, how):
     # One key holds a third of the rows, another third has no key.
     left = spark.range(3000).select(
         F.col("id").alias("row"),
@@ -62,32 +62,12 @@ def test_salted_join_equals_plain_join(spark, how):
     right = spark.range(0, 3000, 2).select(F.col("id").cast("string").alias("k"), F.col("id").alias("v")).unionByName(
         spark.createDataFrame([("hot", -1)], "k string, v bigint")
     )
-    heavy = keys.heavy_keys(left, ["k"], share=0.1, least=100)["k"]
-    assert heavy == ["hot"]
     plain = left.join(right, "k", how)
-    salted = keys.join_per_key(left, right, "k", how, "row", heavy)
+    salted = keys.join_per_key(left, right, "k", how, "row")
     assert sorted(salted.columns) == sorted(plain.columns)
     assert sorted(map(tuple, salted.select(plain.columns).collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
 
 
-def test_salted_join_spreads_a_hot_key(spark):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        left = spark.range(8000).select(F.col("id").alias("row"), F.lit("hot").alias("k"))
-        right = spark.createDataFrame([("hot", 1)], "k string, v int")
-        joined = keys.join_per_key(left, right, "k", "inner", "row", ["hot"])
-        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
-        assert sum(sizes) == 8000 and len(sizes) == 8 and max(sizes) < 2000
-        missing = left.withColumn("k", F.lit(None).cast("string"))
-        joined = keys.join_per_key(missing, right, "k", "left", "row")
-        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
-        assert sum(sizes) == 8000 and len(sizes) == 8 and max(sizes) < 2000
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-
-
 def test_newest_row_ids(spark):
     big = 2**63 - 1
     rows = [("a", D1, 5), ("a", D2, 9), ("a", D2, 7), ("b", None, 3), ("b", None, 2), ("c", D1, -4), ("c", D1, 4),
@@ -100,13 +80,6 @@ def test_newest_row_ids(spark):
     assert "SortAggregate" not in plan and plan.count("HashAggregate") == 2
 
 
-def test_heavy_keys_small_unique_and_empty(spark):
-    assert keys.heavy_keys(spark.range(10).select(F.col("id").cast("string").alias("k")), ["k"]) == {"k": []}
-    unique = spark.range(50000).select(F.col("id").cast("string").alias("k"))
-    assert keys.heavy_keys(unique, ["k"], share=0.001, least=1)["k"] == []
-    assert keys.heavy_keys(unique.limit(0), ["k"], least=0)["k"] == []
-
-
 STUDENT = "matricula bigint, nm_aluno string, nm_mae string, dt_nascimento date, cpf string"
 
 
@@ -143,21 +116,21 @@ def test_waterfall_rules_in_order(spark):
     ]
 
 
-def test_waterfall_with_hot_keys(spark, monkeypatch):
-    rows = [(i, "Ana Lima", "Rita", D1, "111" if i % 2 else None) for i in range(400)]
-    df, cad = students_of(spark, rows), matched_registry(spark)
-    plain = sorted(map(tuple, matching.match_waterfall(df, cad).collect()), key=str)
-    find = keys.heavy_keys
-    found = {}
+def test_zeroed_ids_match_nobody(spark):
+    rows = [(1, "Zoe", "Um", D1, "000.000.000-00"), (2, "Yan", "Dois", D2, "111.111.111-11"), (3, "Ana", "Rita", D1, None)]
+    ddl = "row_id bigint, cpf string, nome string, nome_mae string, dta_nasc date, dat_atual_fam date"
+    cad = spark.createDataFrame([(10, "00000000000", "Outro", "Alguem", D3, D1), (11, "11111111111", "Mais", "Um", D3, D1)], ddl)
+    got = matching.match_waterfall(students_of(spark, rows), registry.with_standard_cpf(cad))
+    assert [r.cad_row_id for r in got.collect()] == [None, None, None]
 
-    def eager(table, columns):
-        found.update(find(table, columns, share=0.1, least=10))
-        return found
 
-    monkeypatch.setattr(matching, "heavy_keys", eager)
-    salted = sorted(map(tuple, matching.match_waterfall(df, cad).collect()), key=str)
-    assert found["_chave_cpf"] and found["_chave_nome_mae"]
-    assert salted == plain and len(plain) == 400
+def test_newest_known_id_wins_and_masks_do_not_count(spark):
+    ddl = "matricula bigint, cpf string, mesano string"
+    old = spark.createDataFrame([(1, "111", "202506"), (2, "22-2", "202506")], ddl)
+    new = spark.createDataFrame([(1, None, "202507"), (2, "", "202507"), (3, "222", "202507")], ddl)
+    base = history.accumulate(old, new)
+    assert {r.matricula: r.cpf for r in base.collect()} == {1: "111", 2: "22-2", 3: "222"}
+    assert [r.matricula for r in history.unique_cpf(base).orderBy("matricula").collect()] == [1, 3]
 
 
 def test_waterfall_against_brute_force(spark):
@@ -258,12 +231,12 @@ def test_cpf_conflicts(spark):
 
 def test_history(spark):
     ddl = "matricula bigint, cpf string, mesano string"
-    before = spark.createDataFrame([(1, "a", "202506"), (2, "b", "202506"), (3, "c", "202506")], ddl)
-    now = spark.createDataFrame([(2, "x", "202507"), (4, "a", "202507")], ddl)
+    before = spark.createDataFrame([(1, "11", "202506"), (2, "22", "202506"), (3, "33", "202506")], ddl)
+    now = spark.createDataFrame([(2, "44", "202507"), (4, "11", "202507")], ddl)
     total = history.accumulate(before, now)
-    assert sorted(map(tuple, total.select("matricula", "cpf").collect())) == [(1, "a"), (2, "x"), (3, "c"), (4, "a")]
+    assert sorted(map(tuple, total.select("matricula", "cpf").collect())) == [(1, "11"), (2, "44"), (3, "33"), (4, "11")]
     assert sorted(r.matricula for r in history.inactive(total, now).collect()) == [1, 3]
-    assert sorted((r.cpf, r.matricula) for r in history.unique_cpf(total).collect()) == [("a", 4), ("c", 3), ("x", 2)]
+    assert sorted((r.cpf, r.matricula) for r in history.unique_cpf(total).collect()) == [("11", 4), ("33", 3), ("44", 2)]
 
 
 def test_manual_roster_yields_to_automatic(spark):
