@@ -11,7 +11,7 @@ short paragraphs, belong to it unless they are mostly links.
 
 Every page is read whole, in its task; nothing is shuffled. Null, empty and text-free pages
 give an empty text. Broken markup never fails: unknown end tags are ignored, open elements
-end with the page. Repeated rows give repeated rows, an empty table an empty one; only
+end with the page, a tag that the page's end cuts off is no text. Repeated rows give repeated rows, an empty table an empty one; only
 ``page_id``, ``url`` and ``html`` are read, so further columns are left out.
 """
 
@@ -52,7 +52,7 @@ PAGE = ("", "html", "body", "html/body")
 GENERIC_STEP = re.compile(r"/(?:div|section|td)\b")
 KEPT = frozenset("html body main".split())
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)>", re.S
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)>|<[a-zA-Z/][^<>]*+\Z", re.S
 )
 NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s/]|$)|hidden\s*=|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)

@@ -125,7 +125,9 @@ def _repeat_words(w: Column, n: Column) -> Column:
 def measures(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id`` and every count the rules use, and the columns ``also`` as they are."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *also).withColumn("words", words(F.col("text"))).withColumn("n", F.size("words"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *also)
+    # unpacked from an array of one, so that no later filter is pushed below and splits the text once per use
+    rows = rows.select("*", F.explode(F.array(words(F.col("text")))).alias("words")).withColumn("n", F.size("words"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(SPACE)) != "")
 
     def lines_where(test) -> Column:
