@@ -209,8 +209,8 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
         for batch in batches:
             keep = []
             for i in range(batch.num_rows):
-                if (a := batch.column(0)[i].as_py()) != last:
-                    last, (first,) = a, list(shingle_sets([batch.column(2)[i].as_py()], words))
+                if (text := batch.column(2)[i].as_py()) != last:
+                    last, (first,) = text, list(shingle_sets([text], words))
                 (second,) = shingle_sets([batch.column(3)[i].as_py()], words)
                 keep.append(alike(first, second, percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
