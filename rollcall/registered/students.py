@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 from rollcall.fixtures import ATTENDANCE_YEARS, REF_DATE, SCHOOL_IDS, view, views, with_views
 from rollcall.operators import attendance as att
 from rollcall.operators import students as stu
-from rollcall.schema import ENROLMENT_FACT_COLUMNS
+from rollcall.schema import (
+    ACTIVE_SITUATION_NAMES,
+    ACTIVE_SITUATIONS,
+    AGE_LIMITS,
+    ENROLMENT_FACT_COLUMNS,
+    EXCLUDED_DESIGNATIONS,
+    HIGH_SCHOOL_TYPES,
+)
 from rollcall.sources.lake import lake_query
 
 # Columns of the two narrower student extracts.
@@ -17,13 +24,23 @@ NARROW_COLUMNS = [
 ]
 MINIMAL_COLUMNS = ["idt_estab", "in_bolsa_familia"]
 BASE_VIEWS = ("enrolment_fact", "school_class", "student")
-BASE_FROM = """from enrolment_fact b join school_class t on t.nro_int_turma=b.nro_int_turma
-  join student a on a.matricula=b.chave_contagem_aluno where t.cd_tipo_ensino in ('R2','I2','E2')"""
 
 
-def _base_sql(columns: list[str], tail: str = "") -> str:
-    chosen = ", ".join(f"b.{c}" for c in columns)
-    return with_views("enrolment_fact school_class student", f"select a.cpf, a.nm_aluno, {chosen} {BASE_FROM} {tail}")
+def _listed(values) -> str:
+    return ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values)
+
+
+HIGH_SCHOOL_CLASSES = f"(select nro_int_turma from school_class where cd_tipo_ensino in ({_listed(HIGH_SCHOOL_TYPES)}))"
+
+
+def _base_sql(columns: list[str]) -> str:
+    facts = ", ".join(f"f.{c}" for c in columns)
+    return with_views(
+        "enrolment_fact school_class student",
+        f"""select person.cpf, person.nm_aluno, {facts}
+          from student person, enrolment_fact f
+          where f.chave_contagem_aluno = person.matricula and f.nro_int_turma in {HIGH_SCHOOL_CLASSES}""",
+    )
 
 
 def student_base(spark, d):
@@ -54,19 +71,22 @@ def eligible_students_param(spark, d):
 
 
 def _eligible_sql(ref_date: str) -> str:
+    limits = ", ".join(f"('{kind}', {age})" for kind, age in AGE_LIMITS.items())
     return with_views(
         "enrolment school_class school_calendar school student",
-        """select distinct e.matricula from enrolment e
-          join school_class t on t.nro_int_turma=e.nro_int_turma
-          join school_calendar c on c.nro_int_calend_estab=e.nro_int_calend_estab
-          join school s on s.idt_estab=e.idt_estab and s.in_esc_prisional<>'S' and s.nro_int_designacao not in (10,489)
-          join student a on a.matricula=e.matricula cross join param p
-          where e.nro_int_situacao in (1,8) and p.ref_date between c.dt_inicio and c.dt_fim
-            and ((t.cd_tipo_ensino in ('I2','E2','R2')
-                  and trunc(date_diff('day', a.dt_nascimento, p.ref_date)/365.25) <= 21)
-              or (t.cd_tipo_ensino in ('S2','E9')
-                  and trunc(date_diff('day', a.dt_nascimento, p.ref_date)/365.25) <= 29))""",
-        f"param as (select {ref_date} as ref_date)",
+        f"""select matricula from student natural join highest
+          where trunc(date_diff('day', dt_nascimento, {ref_date}) / 365.25) <= idade_maxima""",
+        f"""limits(tipo, idade) as (values {limits}),
+          highest as (
+            select x.matricula, max(limits.idade) as idade_maxima
+            from limits, school_class k, enrolment x
+            where k.cd_tipo_ensino = limits.tipo and x.nro_int_turma = k.nro_int_turma
+              and x.nro_int_situacao in ({_listed(ACTIVE_SITUATIONS)})
+              and exists (from school_calendar where nro_int_calend_estab = x.nro_int_calend_estab
+                          and dt_inicio <= {ref_date} and dt_fim >= {ref_date})
+              and exists (from school where idt_estab = x.idt_estab and in_esc_prisional != 'S'
+                          and nro_int_designacao not in ({_listed(EXCLUDED_DESIGNATIONS)}))
+            group by x.matricula)""",
     )
 
 
@@ -113,14 +133,18 @@ def attendance_percent(spark, d):
     return att.format_attendance(attendance_monthly(spark, d), as_percent=True)
 
 
-MONTHLY = """monthly as (select *, round(1 - (faltas_totais-faltas_justificadas_totais)/nullif(cast(aulas_totais as double),0), 7)
-    as freq_datalake
-  from (select a.matricula, a.ano, a.mes, cast(sum(aulas) as bigint) as aulas_totais,
-          cast(sum(faltas) as bigint) as faltas_totais, cast(sum(faltas_justificadas) as bigint) as faltas_justificadas_totais
-        from attendance a left join school_class b on a.nro_int_turma=b.nro_int_turma
-        where b.cd_tipo_ensino in ('I2','E2','R2') and %s
-        group by a.matricula, a.ano, a.mes))"""
-SELECTED_YEARS = MONTHLY % f"a.ano in {ATTENDANCE_YEARS}"
+def _monthly_sql(condition: str) -> str:
+    return f"""counted as (
+        select matricula, ano, mes, sum(aulas) as dadas, sum(faltas) as perdidas, sum(faltas_justificadas) as justificadas
+        from attendance where nro_int_turma in {HIGH_SCHOOL_CLASSES} and {condition} group by all),
+      monthly as (
+        select matricula, ano, mes, dadas::bigint as aulas_totais, perdidas::bigint as faltas_totais,
+          justificadas::bigint as faltas_justificadas_totais,
+          round(1 - (perdidas - justificadas) / nullif(dadas, 0)::double, 7) as freq_datalake
+        from counted)"""
+
+
+SELECTED_YEARS = _monthly_sql(f"ano in ({_listed(ATTENDANCE_YEARS)})")
 
 
 def _formatted_sql(value: str) -> str:
@@ -162,14 +186,16 @@ SQL = {
     ),
     "students_per_school": with_views(
         "school_class enrolment school situation school_calendar",
-        f"""select e.idt_estab, e.denominacao, count(distinct a.matricula) as qtd_alunos
-          from school_class t left join enrolment a on t.nro_int_turma=a.nro_int_turma
-          left join school e on t.idt_estab=e.idt_estab
-          join situation s on a.nro_int_situacao=s.nro_int_situacao
-          join school_calendar c on c.nro_int_calend_estab=t.nro_int_calend_estab
-            and date '{REF_DATE}' between c.dt_inicio and c.dt_fim
-          where t.idt_estab in {SCHOOL_IDS} and s.ds_situacao in ('Matriculado','Infrequente')
-          group by e.idt_estab, e.denominacao order by qtd_alunos desc, e.idt_estab""",
+        """select school.idt_estab, denominacao, count(distinct matricula) as qtd_alunos
+          from pupils left join school on school.idt_estab = pupils.estab
+          group by all order by qtd_alunos desc, school.idt_estab""",
+        f"""pupils as (
+            select distinct k.idt_estab as estab, x.matricula from enrolment x, school_class k
+            where x.nro_int_turma = k.nro_int_turma and k.idt_estab in ({_listed(SCHOOL_IDS)})
+              and exists (from situation where nro_int_situacao = x.nro_int_situacao
+                          and ds_situacao in ({_listed(ACTIVE_SITUATION_NAMES)}))
+              and exists (from school_calendar where nro_int_calend_estab = k.nro_int_calend_estab
+                          and dt_inicio <= date '{REF_DATE}' and dt_fim >= date '{REF_DATE}'))""",
     ),
     "student_documents": with_views(
         "enrolment school_class school_calendar school student",
@@ -185,7 +211,7 @@ SQL = {
           from enrolment e join school_class t on t.nro_int_turma=e.nro_int_turma group by t.cd_tipo_ensino""",
     ),
     "attendance_monthly": with_views("attendance school_class", "select * from monthly", SELECTED_YEARS),
-    "attendance_all_years": with_views("attendance school_class", "select * from monthly", MONTHLY % "true"),
+    "attendance_all_years": with_views("attendance school_class", "select * from monthly", _monthly_sql("true")),
     "attendance_formatted": _formatted_sql("f"),
     "attendance_percent": _formatted_sql(
         "case when f is not null then concat(cast(cast(ceil(100*f) as bigint) as string),'%') end"
