@@ -19,8 +19,10 @@ with the smallest as pivot. First each class is verified against its smallest pi
 and the verified ones become components. Keys whose members are in one component are done,
 since only reachability is asked for. Of the others, 32, 128, ... members per key
 are compared with the members in other components, until no key is open or all its members
-were compared. Verification compares whole sets. So no link between different components
-is missed, and the work stays near one comparison a document.
+were compared. The comparing join itself sets sizes and ``SKETCH``-bit parity sketches of
+whole sets against the bound d, so members of a key that only share a passage make no row;
+what is left is verified on whole sets. So no link between different components is missed.
+A key that stays open costs a comparison of sketches for each two of its members.
 
 The only collected data are two bit maps of fixed size (``BITS``) that spare shuffling keys
 and texts without any partner; they are exact in what they let through later, as joins follow.
@@ -38,7 +40,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.llm.shingles import mix, shingle_sets
@@ -48,6 +50,8 @@ SPREAD = 1.5
 BITS = 1 << 26
 FIRST_PIVOTS = 32
 OUT_ROWS = 100_000
+# Bits of a whole set's sketch, in words of 64. More bits only spare comparisons of sets with more than about 3,000 shingles.
+SKETCH = 1024
 # Blocks beyond those that are needed, as a share of d; the more, the more frequent keys can be dropped.
 EXTRA = 0.35
 
@@ -139,22 +143,39 @@ def _maybe(known: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (known[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
+def whole_sketch(shingles: np.ndarray) -> np.ndarray:
+    """Parity bits of a whole set as ``SKETCH`` / 64 numbers."""
+    counts = np.bincount((mix(shingles + np.uint64(0x3C6EF372)) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
+def may_link(x: str, y: str, percent: int) -> Column:
+    """Whether sizes and sketches (columns named with the prefixes) allow a link: no linked pair fails."""
+    small, large = F.least(f"{x}_n", f"{y}_n"), F.greatest(f"{x}_n", f"{y}_n")
+    differing = sum((F.bit_count(F.get(f"{x}_sketch", i).bitwiseXOR(F.get(f"{y}_sketch", i))) for i in range(SKETCH // 64)), F.lit(0))
+    return (100 * small >= percent * large) & ((100 + percent) * differing <= (100 - percent) * (small + large))
+
+
 def set_sizes(rows: DataFrame, words: int) -> DataFrame:
-    """``doc_id``, ``n_shingles``, and two sums of hashes that tell sets apart (128 bits)."""
+    """``doc_id``, ``n_shingles``, two sums of hashes that tell sets apart (128 bits), and the set's ``sketch``."""
 
     def run(batches):
         for batch in batches:
-            sizes, one, two = [], [], []
+            sizes, one, two, sketches = [], [], [], [np.zeros(0, np.int64)]
             for s in shingle_sets(batch.column(1).to_pylist(), words):
                 sizes.append(len(s))
+                sketches.append(whole_sketch(s))
                 one.append(int(mix(s).sum(dtype=np.uint64)))
                 two.append(int(mix(s + np.uint64(0x2545F4914F6CDD1D)).sum(dtype=np.uint64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64))],
-                names=["doc_id", "n_shingles", "one", "two"],
+                [
+                    batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * (SKETCH // 64)), pa.array(np.concatenate(sketches))),
+                ],
+                names=["doc_id", "n_shingles", "one", "two", "sketch"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, one long, two long")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, one long, two long, sketch array<long>")
 
 
 def keys(rows: DataFrame, words: int, percent: int, known=None) -> DataFrame:
@@ -294,10 +315,16 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85) -> DataF
         most = open_keys.agg(F.max("n")).first()[0]
         if most is None:
             break
-        members_open = settle(placed.join(open_keys, "key"), "candidates")
+        sketches = sizes.filter("n_shingles > 0").select("doc_id", "n_shingles", "sketch")
+        members_open = settle(placed.join(open_keys, "key").join(sketches, "doc_id"), "candidates")
         share = F.pmod(F.xxhash64("key", "doc_id"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * pivots / F.col("n")
-        left = members_open.filter((F.col("n") <= pivots) | share).select("key", F.col("doc_id").alias("x"), F.col("root").alias("x_root"))
-        met = left.join(members_open.select("key", F.col("doc_id").alias("y"), F.col("root").alias("y_root")), "key").filter("x_root <> y_root")
+
+        def side(rows: DataFrame, x: str) -> DataFrame:
+            return rows.select("key", F.col("doc_id").alias(x), *[F.col(c).alias(f"{x}_{name}") for c, name in (("root", "root"), ("n_shingles", "n"), ("sketch", "sketch"))])
+
+        left = side(members_open.filter((F.col("n") <= pivots) | share), "x").withColumnRenamed("key", "x_key")
+        apart = (F.col("x_key") == F.col("key")) & (F.col("x_root") != F.col("y_root"))
+        met = left.join(side(members_open, "y"), apart & may_link("x", "y", percent))
         pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         pairs = settle(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         links = verified(pairs, texts, words, percent)
