@@ -17,7 +17,7 @@ from rollcall.registered.matching import CONFLICTS, PERSON, eligible_registry
 from rollcall.registered.matching import SQL as MATCHING_SQL
 from rollcall.registered.sql import LATEST, RG, ST, WATERFALL, ctes, money, std
 from rollcall.registered.students import SQL as STUDENT_SQL
-from rollcall.schema import COLUMN_DICTIONARY, REGISTRY_RENAMES, REGISTRY_SCAN_COLUMNS
+from rollcall.schema import COLUMN_DICTIONARY, DELIMITERS, REGISTRY_DEFAULT_COLUMNS, REGISTRY_RENAMES, REGISTRY_SCAN_COLUMNS
 from rollcall.sinks import files as sink
 from rollcall.sources import files as src
 from rollcall.sources import registry_csv
@@ -312,7 +312,6 @@ QUERIES = {
 SCANNED = [(c, REGISTRY_RENAMES.get(c, c)) for c in REGISTRY_SCAN_COLUMNS]
 SCAN_SQL = with_views(
     "registry", _read_sql(SCANNED).replace(" from registry", f', {std()} as "CPF_PADRONIZADO" from registry'))
-VERSION_COLUMNS = "COD_CPF NOME COD_NIS COD_FAM DTA_NASC COD_PARENTESCO NOME_MAE NOME_PAI RG VLR_RENDA_MEDIA".split()
 NUMBERED = ", ".join(f"struct_pack(posicao := {i}, coluna := '{c}', valor := nullif({e}, ''))" for i, (c, e) in enumerate(RAW.items(), 1))
 DETAIL = f"detail as ({TRAILER_LINES.replace('{orders}', 'orders')}), trailer as ({TRAILERS})"
 
@@ -353,7 +352,7 @@ SQL = {
     "registry_cached": SCAN_SQL,
     "registry_read_version": with_views(
         "registry",
-        _read_sql([(COLUMN_DICTIONARY[a], a) for a in VERSION_COLUMNS]).replace(" from registry", " from one"),
+        _read_sql([(COLUMN_DICTIONARY[a], a) for a in REGISTRY_DEFAULT_COLUMNS]).replace(" from registry", " from one"),
         f"""one as (select * from (select *, {std()} as cpf_std, row_number() over (partition by {std()}
           order by dat_atual_fam desc, nis) as rn from registry) where cpf_std is null or rn=1)"""),
     "registry_read_all_rows": with_views("registry", _read_sql(
@@ -376,14 +375,10 @@ SQL = {
         + " order by nis limit 5"),
     "delimiter_profile": with_views(
         "registry",
-        """select chr(d) as delimitador, n as ocorrencias,
-          cast(n = max(n) over () as int) as escolhido
-          from (select unnest([44, 59, 124, 9]) as d, unnest([a, b, c, e]) as n from (select """
-        + ", ".join(
-            f"cast(sum(length(v) - length(replace(v, chr({code}), ''))) as bigint) as {name}"
-            for name, code in zip("abce", (44, 59, 124, 9))
-        )
-        + f" from (select {LINE} as v from registry)))"),
+        f"""select delimitador, ocorrencias, cast(ocorrencias = max(ocorrencias) over () as int) as escolhido from (
+          select delimitador, cast(sum(len(string_split(linha, delimitador)) - 1) as bigint) as ocorrencias
+          from (select {LINE} as linha from registry), (values {", ".join(f"('{c}')" for c in DELIMITERS)}) as d(delimitador)
+          group by delimitador)"""),
     "trailer_record": with_views(
         [], """select lote, value as trailer, split_part(value,';',1) as marca, split_part(value,';',2) as linhas,
           split_part(value,';',3) as soma from trailer""", DETAIL),
