@@ -113,6 +113,7 @@ VIEWS = {
           case when o_orderkey%7=0 then 'DOUTOR' else null end as titulo_end,
           o_orderpriority as nome_end, cast(o_orderkey%999 as string) as num_end,
           case when o_orderkey%4=0 then concat('APTO ',cast(o_orderkey%50 as string)) else null end as complem_1,
+          case when o_orderkey%6=0 then concat('BLOCO ',cast(o_orderkey%7 as string)) else null end as complem_2,
           lpad(cast((o_orderkey*7)%100000000 as string),8,'0') as cep,
           cast(4300000+o_custkey%500 as string) as cd_ibge, '51' as ddd_contato1,
           lpad(cast((o_orderkey*13)%1000000000 as string),9,'0') as num_tel_contato1,

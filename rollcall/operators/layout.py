@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.functions.cpf import cpf_digits
 from rollcall.functions.text import full_address, phone
 from rollcall.operators.keys import first_per_key, join_per_key
-from rollcall.operators.registry import latest_first
+from rollcall.operators.registry import latest_first, latest_with_cpf
 from rollcall.schema import ACTIVE_SITUATIONS, INCOME_CUT
 
 REFERENCE_PERSON = 1
@@ -86,6 +87,19 @@ def fix_municipality(students: DataFrame, enrolments: DataFrame, schools: DataFr
     )
 
 
+def with_manual_rows(kept: DataFrame, mapped: DataFrame, registry: DataFrame) -> DataFrame:
+    """``matricula``, ``cad_row_id`` and ``manual_cpf`` of matched students and of the manual roster.
+
+    A manual id stands for its newest registry row; where the registry has none, the row that
+    the match found stays. The registry is cut to the manual ids before any of its rows is ranked.
+    """
+    manual = mapped.filter("origem = 'MANUAL'").select("matricula", F.col("cpf").alias("manual_cpf"), cpf_digits(F.col("cpf")).alias("cpf_std"))
+    known = registry.join(manual.select("cpf_std").distinct(), "cpf_std", "left_semi").select("cpf_std", "row_id", "dat_atual_fam")
+    found = join_per_key(manual, latest_with_cpf(known).select("cpf_std", "row_id"), "cpf_std", "left", "matricula")
+    both = kept.select("matricula", "cad_row_id").join(found.select("matricula", "manual_cpf", "row_id"), "matricula", "full")
+    return both.select("matricula", F.coalesce("row_id", "cad_row_id").alias("cad_row_id"), "manual_cpf")
+
+
 def beneficiary_layout(
     matched: DataFrame,
     registry: DataFrame,
@@ -97,27 +111,30 @@ def beneficiary_layout(
 
     The registry is cut to the matched rows before families are looked up, each once, and
     only then spread over the students. ``matched`` is read twice, so pass a table (see
-    ``workdir.settle``). No source for an e-mail is known, that column is null.
+    ``workdir.settle``). With a column ``manual_cpf`` such an id is the student's own. No
+    source for an e-mail is known, that column is null.
     """
+    if "manual_cpf" not in matched.columns:
+        matched = matched.withColumn("manual_cpf", F.lit(None).cast("string"))
     wanted = matched.filter("cad_row_id is not null").select(F.col("cad_row_id").alias("row_id"))
     person = registry.filter(F.col("renda_media") <= cut).join(wanted.distinct(), "row_id", "left_semi")
     person = with_responsible(person, registry).withColumnRenamed("row_id", "cad_row_id").drop("cpf")
-    rows = matched.select("matricula", "cad_row_id").join(person, "cad_row_id")
+    rows = matched.select("matricula", "cad_row_id", "manual_cpf").join(person, "cad_row_id")
     rows = fix_municipality(rows, enrolments, schools)
     return rows.select(
         F.col("matricula").alias("MATRICULA"),
-        F.coalesce("cpf_std", "cpf_resp").alias("COD_CPF"),
+        F.coalesce("manual_cpf", "cpf_std", "cpf_resp").alias("COD_CPF"),
         F.col("nome").alias("NOME_BENEFICIARIO"),
         F.col("dta_nasc").alias("DT_NASC_BENEFICIARIO"),
         F.col("nome_mae").alias("NOME_MAE_BENEFICIARIO"),
         F.col("cod_munic_ibge").alias("COD_MUNIC_IBGE"),
         full_address(F.col("tipo_end"), F.col("titulo_end"), F.col("nome_end"), F.col("num_end"),
-                     F.col("complem_1"), F.col("bairro")).alias("ENDERECO"),
+                     F.col("complem_1"), F.col("complem_2"), F.col("bairro")).alias("ENDERECO"),
         F.col("cep").alias("CEP"),
         phone(F.col("ddd_contato1"), F.col("num_tel_contato1")).alias("TELEFONE_1"),
         phone(F.col("ddd_contato2"), F.col("num_tel_contato2")).alias("TELEFONE_2"),
         F.lit(None).cast("string").alias("EMAIL"),
         F.col("renda_media").alias("VLR_RENDA_MEDIA"),
-        F.col("origem_cpf").alias("ORIGEM_CPF"),
+        F.when(F.col("manual_cpf").isNotNull(), "PROPRIO").otherwise(F.col("origem_cpf")).alias("ORIGEM_CPF"),
         F.col("cpf_resp").alias("CPF_RESP"),
     )

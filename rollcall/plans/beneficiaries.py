@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from rollcall.functions.period import reference_date
 from rollcall.operators import history
-from rollcall.operators.layout import beneficiary_layout, enrich_matched
+from rollcall.operators.layout import beneficiary_layout, enrich_matched, with_manual_rows
 from rollcall.operators.matching import cpf_conflicts, eligibility_funnel, match_waterfall
 from rollcall.operators.registry import with_standard_cpf
+from rollcall.operators.students import eligible_students
 from rollcall.schema import INCOME_CUT
 from rollcall.sinks.files import write_csv, write_parquet
 from rollcall.workdir import settle
@@ -26,13 +27,18 @@ def run_beneficiaries(
 ) -> dict[str, str]:
     """Write the outputs of one period and return their paths by name.
 
-    ``tables`` holds student, registry, enrolment, school, manual_roster and
-    previous_accumulated. The steps come in a fixed order: students are matched to the
-    registry, wrong owners of a shared id are taken out, the manual roster fills what the
-    automatic match left, and only then the accumulated bases and the layout follow.
+    ``tables`` holds student, registry, enrolment, school, school_class, school_calendar,
+    manual_roster and previous_accumulated. The steps come in a fixed order: eligible
+    students are matched to the registry, wrong owners of a shared id are taken out, the
+    manual roster fills what the automatic match left, and only then the accumulated bases
+    and the layout follow, with the registry looked up again for manual ids.
     """
-    reference_date(period)
-    students = with_standard_cpf(tables["student"]).select("matricula", "nm_aluno", "nm_mae", "dt_nascimento", "cpf_std")
+    eligible = eligible_students(
+        tables["enrolment"], tables["school_class"], tables["school_calendar"], tables["school"],
+        tables["student"], F.lit(reference_date(period)),
+    )
+    people = with_standard_cpf(tables["student"].join(eligible, "matricula", "left_semi"))
+    students = settle(people.select("matricula", "nm_aluno", "nm_mae", "dt_nascimento", "cpf_std"), "eligible")
     registry = with_standard_cpf(tables["registry"])
 
     matched = settle(enrich_matched(match_waterfall(students, registry), registry, []), "matched")
@@ -60,6 +66,7 @@ def run_beneficiaries(
             "funil": eligibility_funnel(matched, registry, cut),
         }.items()
     }
-    layout = beneficiary_layout(kept, registry, tables["enrolment"], tables["school"], cut)
+    rows = settle(with_manual_rows(kept, mapped, registry), "rows")
+    layout = beneficiary_layout(rows, registry, tables["enrolment"], tables["school"], cut)
     paths["layout"] = write_csv(layout, f"{out}/{period}/layout", bom=True)
     return paths

@@ -13,7 +13,7 @@ from rollcall.operators import columns as col
 from rollcall.operators.history import union_versions
 from rollcall.plans.beneficiaries import run_beneficiaries
 from rollcall.plans.monthly import run_month
-from rollcall.registered.matching import CONFLICTS, PERSON, eligible_registry
+from rollcall.registered.matching import ADDRESS, CONFLICTS, HEADS, LOCATED, PERSON, eligible_registry
 from rollcall.registered.matching import SQL as MATCHING_SQL
 from rollcall.registered.sql import LATEST, RG, ST, WATERFALL, ctes, money, std
 from rollcall.registered.students import SQL as STUDENT_SQL
@@ -30,7 +30,7 @@ RAW = {
     "d.cd_ibge": "cd_ibge", "d.cod_familiar_fam": "cod_fam", "d.nom_localidade_fam": "bairro",
     "d.nom_tip_logradouro_fam": "tipo_end", "d.nom_titulo_logradouro_fam": "titulo_end",
     "d.nom_logradouro_fam": "nome_end", "d.num_logradouro_fam": "num_end", "d.des_complemento_fam": "complem_1",
-    "d.des_complemento_adic_fam": "cast(null as string)", "d.num_cep_logradouro_fam": "cep",
+    "d.des_complemento_adic_fam": "complem_2", "d.num_cep_logradouro_fam": "cep",
     "d.vlr_renda_media_fam": money("renda_centavos"), "d.fx_rfpc": "fx_rfpc",
     "d.vlr_renda_total_fam": money("(renda_centavos*3)"), "d.marc_pbf": "marc_pbf",
     "d.num_ddd_contato_1_fam": "ddd_contato1", "d.num_tel_contato_1_fam": "num_tel_contato1",
@@ -254,12 +254,16 @@ def monthly_outputs(spark, d):
     return union_versions(*counts)
 
 
-BENEFICIARY_TABLES = ("student", "registry", "enrolment", "school", "manual_roster", "previous_accumulated")
+BENEFICIARY_TABLES = ("student", "registry", "enrolment", "school", "school_class", "school_calendar", "manual_roster", "previous_accumulated")
 
 
-def beneficiary_outputs(spark, d):
+def _beneficiaries(spark, d):
     tables = {n: view(spark, d, n) for n in BENEFICIARY_TABLES}
-    paths = run_beneficiaries(spark, tables, PERIOD, fresh_path(spark, "beneficiaries"))
+    return run_beneficiaries(spark, tables, PERIOD, fresh_path(spark, "beneficiaries"))
+
+
+def beneficiary_outputs(spark, d):
+    paths = _beneficiaries(spark, d)
     layout = paths.pop("layout")
     frames = {n: spark.read.parquet(p) for n, p in paths.items()}
     frames["layout"] = spark.read.csv(layout, sep=";", header=True)
@@ -268,6 +272,16 @@ def beneficiary_outputs(spark, d):
     )
 
 
+def beneficiaries_mapped(spark, d):
+    return spark.read.parquet(_beneficiaries(spark, d)["mapeados"])
+
+
+def beneficiaries_layout(spark, d):
+    rows = spark.read.csv(_beneficiaries(spark, d)["layout"], sep=";", header=True, escape='"')
+    typed = {"MATRICULA": "bigint", "DT_NASC_BENEFICIARIO": "date", "VLR_RENDA_MEDIA": "double"}
+    return rows.select(*[F.col(c).cast(typed.get(c, "string")).alias(c) for c in (n.removeprefix("\ufeff") for n in rows.columns)])
+
+
 def manual_roster_read(spark, d):
     path = sink.write_csv(view(spark, d, "manual_roster"), fresh_path(spark, "manual_roster"))
     return read_manual_roster(spark, path)
@@ -304,7 +318,7 @@ QUERIES = {
         registry_csv_scan, registry_cached, registry_read_version, registry_read_all_rows, registry_typed,
         registry_union_versions, header_inspect, preview_sample, delimiter_profile, trailer_record, trailer_check,
         sink_csv_roundtrip, sink_parquet_roundtrip, sink_bom_csv, sink_multi, outputs_by_period,
-        monthly_metrics, monthly_outputs, beneficiary_outputs, manual_roster_read, registry_incremental,
+        monthly_metrics, monthly_outputs, beneficiary_outputs, beneficiaries_mapped, beneficiaries_layout, manual_roster_read, registry_incremental,
         registry_incremental_csv,
     )
 }
@@ -336,8 +350,33 @@ BENEFICIARY_SQL = {
     "cpfs_unicos_mapeados": "select distinct cpf from mapped where cpf is not null",
     "cpfs_unicos_acumulada": "select distinct cpf from acc where cpf is not null",
     "funil": "select 1",
-    "layout": "select * from kept join rg on rg.row_id=kept.cad_row_id and rg.renda_media<=660",
+    "layout": "select * from wanted join rg on rg.row_id=wanted.cad_row_id and rg.renda_media<=660",
 }
+ELIGIBLE_ST = f"""ids as ({STUDENT_SQL['eligible_students']}),
+  st as (select *, {std()} as cpf_std from student where matricula in (select matricula from ids))"""
+BENEFICIARY_CTES = ctes(ELIGIBLE_ST, RG, WATERFALL, LATEST, CONFLICTS, f"""
+  gone as (select matricula from cf where nm_aluno<>nome_cad),
+  kept as (select * from wf where matricula not in (select matricula from gone)),
+  mapped as (select matricula, cpf, origem, '202507' as mesano from (
+    select *, row_number() over (partition by matricula order by origem, cpf) as rn from (
+      select matricula, cad_cpf as cpf, 'AUTOMATICO' as origem from kept where cad_cpf is not null
+      union all select matricula, cpf, 'MANUAL' from manual_roster)) where rn=1),
+  acc as (select matricula, cpf, mesano from (
+    select *, row_number() over (partition by matricula order by mesano desc, cpf) as rn
+    from (select * from previous_accumulated union all select matricula, cpf, mesano from mapped)) where rn=1),
+  manual as (select m.matricula, m.cpf as manual_cpf, latest.row_id from mapped m
+    left join latest on latest.cpf_std = {std("m.cpf")} where origem = 'MANUAL'),
+  wanted as (select matricula, coalesce(manual.row_id, kept.cad_row_id) as cad_row_id, manual_cpf
+    from kept full join manual using (matricula))""")
+RUN_LAYOUT = f"""select wanted.matricula as "MATRICULA", coalesce(manual_cpf, rg.cpf_std, heads.cpf_resp) as "COD_CPF", rg.nome as "NOME_BENEFICIARIO",
+  rg.dta_nasc as "DT_NASC_BENEFICIARIO", rg.nome_mae as "NOME_MAE_BENEFICIARIO",
+  coalesce(located.cd_ibge_escola, rg.cd_ibge) as "COD_MUNIC_IBGE", {ADDRESS} as "ENDERECO", rg.cep as "CEP",
+  ddd_contato1||num_tel_contato1 as "TELEFONE_1", ddd_contato2||num_tel_contato2 as "TELEFONE_2",
+  cast(null as string) as "EMAIL", rg.renda_media as "VLR_RENDA_MEDIA",
+  case when manual_cpf is not null or rg.cpf_std is not null then 'PROPRIO' when cpf_resp is not null then 'RESPONSAVEL'
+    else 'NENHUM' end as "ORIGEM_CPF", cpf_resp as "CPF_RESP"
+  from wanted join rg on rg.row_id = wanted.cad_row_id and rg.renda_media <= 660
+  left join heads on heads.cod_fam = rg.cod_fam left join located on located.matricula = wanted.matricula"""
 
 SQL = {
     "alias_projection": with_views("registry", _raw_sql(
@@ -409,16 +448,9 @@ SQL = {
     "beneficiary_outputs": with_views(
         BENEFICIARY_TABLES, "\nunion all ".join(
             f"select '{name}' as saida, count(*) as linhas from ({query})" for name, query in BENEFICIARY_SQL.items()),
-        ctes(ST, RG, WATERFALL, LATEST, CONFLICTS, """
-          gone as (select matricula from cf where nm_aluno<>nome_cad),
-          kept as (select * from wf where matricula not in (select matricula from gone)),
-          mapped as (select matricula, cpf, '202507' as mesano from (
-            select *, row_number() over (partition by matricula order by origem, cpf) as rn from (
-              select matricula, cad_cpf as cpf, 'AUTOMATICO' as origem from kept where cad_cpf is not null
-              union all select matricula, cpf, 'MANUAL' from manual_roster)) where rn=1),
-          acc as (select matricula, cpf, mesano from (
-            select *, row_number() over (partition by matricula order by mesano desc, cpf) as rn
-            from (select * from previous_accumulated union all select * from mapped)) where rn=1)""")),
+        BENEFICIARY_CTES),
+    "beneficiaries_mapped": with_views(BENEFICIARY_TABLES, "select matricula, cpf, origem, mesano from mapped", BENEFICIARY_CTES),
+    "beneficiaries_layout": with_views(BENEFICIARY_TABLES, RUN_LAYOUT, ctes(BENEFICIARY_CTES, HEADS, LOCATED)),
     "manual_roster_read": with_views("manual_roster", "select * from manual_roster"),
     "registry_incremental": MATCHING_SQL["registry_latest"],
     "registry_incremental_csv": MATCHING_SQL["registry_latest"],

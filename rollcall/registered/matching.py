@@ -287,7 +287,7 @@ LOCATED = """located as (select x.matricula, cast(s.cd_munic_ibge as string) as
     qualify row_number() over (partition by matricula order by (nro_int_situacao in (1,8)) desc, nro_int_turma, idt_estab, nro_int_situacao)=1) x
   join school s on s.idt_estab=x.idt_estab)"""
 ADDRESS = ("concat_ws(' ', nullif(tipo_end,''), nullif(titulo_end,''), nullif(nome_end,''), nullif(num_end,''), "
-           "nullif(complem_1,''), nullif(bairro,''))")
+           "nullif(complem_1,''), nullif(complem_2,''), nullif(bairro,''))")
 
 SQL = {
     "cpf_digits": with_views("student", f"select matricula, {std()} as cpf_std from student"),

@@ -125,6 +125,7 @@ def typed_registry(raw: DataFrame, row_id: Column | None = None) -> DataFrame:
         "nome_end": "d.nom_logradouro_fam",
         "num_end": "d.num_logradouro_fam",
         "complem_1": "d.des_complemento_fam",
+        "complem_2": "d.des_complemento_adic_fam",
         "bairro": "d.nom_localidade_fam",
         "ddd_contato1": "d.num_ddd_contato_1_fam",
         "num_tel_contato1": "d.num_tel_contato_1_fam",
