@@ -24,7 +24,9 @@ def read_raw_csv(
 ) -> DataFrame:
     """Every column as text, names from the header, one task per input split.
 
-    Short lines are padded with nulls and long ones cut, none is dropped. Empty fields are
+    All files must have the same columns in the same order: a file whose header differs is an
+    error, never read by position (read such files one by one and put them together with
+    ``history.union_versions``). Short lines are padded with nulls and long ones cut, none is dropped. Empty fields are
     null, quoted or not. windows-1252 is read as ISO-8859-1, which keeps all bytes, and the differing letters put right.
     """
     is_cp1252 = encoding.lower().replace("-", "") in ("windows1252", "cp1252", "1252")
@@ -33,6 +35,7 @@ def read_raw_csv(
         .option("header", True)
         .option("encoding", "ISO-8859-1" if is_cp1252 else encoding)
         .option("mode", "PERMISSIVE")
+        .option("enforceSchema", False)
         .option("escape", '"')
         .csv(path)
     )

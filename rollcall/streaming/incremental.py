@@ -34,7 +34,8 @@ def start_ingest(
     def add_batch(batch: DataFrame, batch_id: int) -> None:
         latest_per_person(batch).write.mode("overwrite").parquet(f"{base}/lote={batch_id}")
 
-    reader = spark.readStream.format(file_format).schema(schema).options(**options)
+    # a CSV file whose header differs from the schema is an error, never read by position
+    reader = spark.readStream.format(file_format).schema(schema).options(enforceSchema=False, **options)
     arriving = reader.option("maxFilesPerTrigger", files_per_batch).load(source)
     return (
         prepare(arriving)

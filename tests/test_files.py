@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollcall.fixtures import PERIOD, view
+from rollcall.operators.history import union_versions
 from rollcall.plans.monthly import run_month
 from rollcall.registered.files import MONTH_TABLES, RAW, raw_registry
 from rollcall.schema import REGISTRY_SCAN_COLUMNS
@@ -247,3 +248,14 @@ def test_month_can_be_run_again(spark, tmp_path):
     assert spark.read.parquet(f"{out}/pessoas_unicas").count() == rows
     with pytest.raises(ValueError):
         run_month(spark, tables, "2025-07", out)
+
+
+def test_files_with_columns_in_another_order_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("p.num_cpf_pessoa;p.nom_pessoa\n111;ANA\n")
+    (tmp_path / "b.csv").write_text("p.nom_pessoa;p.num_cpf_pessoa\nBIA;222\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        registry_csv.read_raw_csv(spark, str(tmp_path)).collect()
+    parts = [registry_csv.read_raw_csv(spark, str(tmp_path / name)) for name in ("a.csv", "b.csv")]
+    both = union_versions(*parts)
+    assert sorted(map(tuple, both.select("`p.num_cpf_pessoa`", "`p.nom_pessoa`").collect())) == [("111", "ANA"), ("222", "BIA")]
+    assert both.count() == 2
