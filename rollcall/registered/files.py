@@ -21,7 +21,7 @@ from rollcall.schema import COLUMN_DICTIONARY, DELIMITERS, REGISTRY_DEFAULT_COLU
 from rollcall.sinks import files as sink
 from rollcall.sources import files as src
 from rollcall.sources import registry_csv
-from rollcall.sources.roster import read_manual_roster
+from rollcall.sources.roster import manual_roster_rejects, read_manual_roster
 from rollcall.streaming import incremental
 from rollcall.workdir import fresh_path
 
@@ -287,6 +287,12 @@ def manual_roster_read(spark, d):
     return read_manual_roster(spark, path)
 
 
+def manual_roster_rejected(spark, d):
+    shown = F.when(F.col("matricula") % 3 == 0, F.concat(F.lit("M-"), F.col("matricula"))).otherwise(F.col("matricula").cast("string"))
+    path = sink.write_csv(view(spark, d, "manual_roster").withColumn("matricula", shown), fresh_path(spark, "manual_roster"))
+    return manual_roster_rejects(spark, path)
+
+
 def registry_incremental(spark, d):
     columns = ["row_id", "cpf", "nome", "dat_atual_fam", "renda_media"]
     source, base, checkpoint = (fresh_path(spark, n) for n in ("arriving", "base", "checkpoint"))
@@ -318,7 +324,7 @@ QUERIES = {
         registry_csv_scan, registry_cached, registry_read_version, registry_read_all_rows, registry_typed,
         registry_union_versions, header_inspect, preview_sample, delimiter_profile, trailer_record, trailer_check,
         sink_csv_roundtrip, sink_parquet_roundtrip, sink_bom_csv, sink_multi, outputs_by_period,
-        monthly_metrics, monthly_outputs, beneficiary_outputs, beneficiaries_mapped, beneficiaries_layout, manual_roster_read, registry_incremental,
+        monthly_metrics, monthly_outputs, beneficiary_outputs, beneficiaries_mapped, beneficiaries_layout, manual_roster_read, manual_roster_rejected, registry_incremental,
         registry_incremental_csv,
     )
 }
@@ -452,6 +458,8 @@ SQL = {
     "beneficiaries_mapped": with_views(BENEFICIARY_TABLES, "select matricula, cpf, origem, mesano from mapped", BENEFICIARY_CTES),
     "beneficiaries_layout": with_views(BENEFICIARY_TABLES, RUN_LAYOUT, ctes(BENEFICIARY_CTES, HEADS, LOCATED)),
     "manual_roster_read": with_views("manual_roster", "select * from manual_roster"),
+    "manual_roster_rejected": with_views(
+        "manual_roster", "select 'M-' || matricula as matricula, cpf from manual_roster where matricula % 3 = 0"),
     "registry_incremental": MATCHING_SQL["registry_latest"],
     "registry_incremental_csv": MATCHING_SQL["registry_latest"],
 }

@@ -84,13 +84,14 @@ def trailer_check(
 ) -> DataFrame:
     """Per file the trailer's declared count and sum against its detail lines.
 
-    Fields count from 0; detail lines start with ``detail_mark``. Amounts are whole numbers.
+    Fields count from 0; detail lines start with ``detail_mark``. Amounts are whole numbers; a
+    file with an amount that is none (``valores_ilegiveis`` counts them) does not agree.
     """
     amount = F.get(split_fields(F.col("value"), sep), F.lit(value_field)).try_cast("bigint")
     detail = (
         lines.filter(F.col("value").startswith(detail_mark + sep))
         .groupBy("arquivo")
-        .agg(F.count(F.lit(1)).alias("linhas"), F.sum(amount).alias("soma"))
+        .agg(F.count(F.lit(1)).alias("linhas"), F.sum(amount).alias("soma"), F.count_if(amount.isNull()).alias("valores_ilegiveis"))
     )
     declared = trailer_records(lines, sep).select(
         "arquivo",
@@ -98,4 +99,5 @@ def trailer_check(
         F.get("campos", F.lit(sum_field)).try_cast("bigint").alias("soma_declarada"),
     )
     ok = F.col("linhas").eqNullSafe(F.col("linhas_declaradas")) & F.col("soma").eqNullSafe(F.col("soma_declarada"))
+    ok = ok & F.coalesce(F.col("valores_ilegiveis") == 0, F.lit(True))
     return declared.join(detail, "arquivo", "left").withColumn("confere", ok.cast("int"))

@@ -87,6 +87,7 @@ def test_trailer_over_many_splits(spark, tmp_path):
     (tmp_path / "in").mkdir()
     write(tmp_path / "in" / "big.txt", big)
     write(tmp_path / "in" / "small.txt", "D;1;5\nT;2;5")
+    write(tmp_path / "in" / "unreadable.txt", "D;1;5\nD;2;x\nT;2;5")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
     try:
         lines = src.read_lines(spark, str(tmp_path / "in"))
@@ -95,7 +96,7 @@ def test_trailer_over_many_splits(spark, tmp_path):
         assert found["small.txt"] == ("T;2;5", ["T", "2", "5"])
         assert found["big.txt"][0] == big.rstrip("\n").rsplit("\n", 1)[1]
         checked = {r.arquivo.rsplit("/", 1)[1]: r.confere for r in src.trailer_check(lines, "D", 2, 1, 2).collect()}
-        assert checked == {"big.txt": 1, "small.txt": 0}
+        assert checked == {"big.txt": 1, "small.txt": 0, "unreadable.txt": 0}
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
