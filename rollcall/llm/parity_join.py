@@ -302,7 +302,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85) -> DataF
     pivots_of = settle(members.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("high")).filter("pivot < high").select("key", "pivot"), "pivots")
     members = settle(members.join(pivots_of, "key"), "members")
     first = settle(members.filter("pivot < doc_id").groupBy("doc_id").agg(F.min("pivot").alias("a")).select("a", F.col("doc_id").alias("b")), "pairs")
-    involved = settle(first.select(F.col("a").alias("doc_id")).union(first.select("b")).distinct(), "involved")
+    # every member, not only those of ``first``: a pivot of all its keys may meet a partner in a later round only
+    involved = settle(members.select("doc_id").distinct(), "involved")
     wanted = spark.sparkContext.broadcast(bit_map(involved, "doc_id"))
     texts = settle(chosen(rows, wanted).join(involved, "doc_id", "left_semi"), "texts")
     labels = components(verified(first, texts, words, percent))

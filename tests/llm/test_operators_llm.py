@@ -135,6 +135,28 @@ def test_near_duplicates_by_brute_force(docs):
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, [None, *{find(i) for i in ids}]))
 
 
+def test_near_duplicates_of_a_pivot_of_all_its_keys(spark):
+    # of ids a < b < c, b is like c and has keys with it alone; c also has keys with a, by a common passage or as a's near copy
+    def held(text):
+        (s,) = parity_join.shingle_sets([text], 4)
+        return s, {int(k) for number in parity_join.bands(len(s), 85) for k in parity_join.block_keys(s, number, 85)[0]}
+
+    rows, expected, linked = [], [], []
+    for seed in range(200):
+        n, front, place = ((16, 1, 15), (60, 36, random.Random(seed).randrange(40, 60)))[seed % 2]
+        c = [f"w{seed}x{i}" for i in range(n)]
+        texts = [" ".join([f"a{seed}x{i}" for i in range(front)] + c[front:]), " ".join(c[:place] + ["other"] + c[place + 1 :]), " ".join(c)]
+        (sa, ka), (sb, kb), (sc, kc) = map(held, texts)
+        if ka & kc and kb & kc and not ka & kb and parity_join.alike(sb, sc, 85) and not parity_join.alike(sa, sb, 85):
+            linked.append(parity_join.alike(sa, sc, 85))
+            at = 3 * seed
+            rows += [(at + i, t) for i, t in enumerate(texts)]
+            expected += [(at, at), *[(at + i, at if linked[-1] else at + 1) for i in (1, 2)]]
+    assert True in linked and False in linked
+    got = parity_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).select("doc_id", "component_id")
+    assert rows_of(got) == sorted(expected, key=str)
+
+
 def test_bands_keep_every_linked_pair():
     import numpy as np
 
