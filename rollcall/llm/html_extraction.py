@@ -5,9 +5,12 @@ to it. Elements that are never article text (scripts, navigation, forms, element
 adverts, comments, notices and the like) are left out as they are read. For every path the
 text length and punctuation of all its blocks are aggregated; the ratios per block are
 smoothed over neighbouring blocks, fused into one score, and paths whose score reaches half
-a standard deviation of the page's scores are content. The element that holds most content
-text bounds the article; blocks under the parents of content paths, such as headings and
-short paragraphs, belong to it unless they are mostly links.
+a standard deviation of the page's scores are content. The smallest element around all
+content blocks that is no mere part (list, quote, section) bounds the article, or the
+outermost article or main element around them;
+blocks under the parents of content paths or of the bounding element, such as headings and
+short paragraphs, belong to it unless they are mostly links. No content block is left out,
+except those outside main elements that hold ``HOLDS`` of the content text.
 
 Every page is read whole, in its task; nothing is shuffled. Null, empty and text-free pages
 give an empty text. Broken markup never fails: unknown end tags are ignored, open elements
@@ -51,6 +54,9 @@ PAGE_HEAD = frozenset("header topbar".split())
 PAGE = ("", "html", "body", "html/body")
 GENERIC_STEP = re.compile(r"/(?:div|section|td)\b")
 KEPT = frozenset("html body main".split())
+# Elements that are a whole article, and such that are only a part of one.
+WHOLE = frozenset("article main".split())
+PARTS = frozenset("p pre ul ol li dl dt dd blockquote figure figcaption section h1 h2 h3 h4 h5 h6".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)>|<[a-zA-Z/][^<>]*+\Z", re.S
 )
@@ -199,6 +205,19 @@ def scores(found: list[tuple[tuple[int, ...], str, str, int]]) -> dict[str, floa
     return {p: math.sqrt(t * sum(smooth[p]) / len(smooth[p])) * math.log(2 + mark) * math.log(2 + length[p]) * unlinked for p, (t, mark, unlinked) in ratio.items()}
 
 
+def _bound(around: tuple[int, ...], tags: list[str], every: list[tuple[int, ...]]) -> int:
+    """How many of the elements ``around`` one block lead to the one that bounds the article."""
+    depth = min(next((i for i, (a, b) in enumerate(zip(around, other, strict=False)) if a != b), min(len(around), len(other))) for other in every)
+    for i, tag in enumerate(tags[:depth]):
+        if tag in WHOLE:
+            return i + 1
+    if depth == max(map(len, every)):
+        depth -= depth > 0  # one element's own text
+    while depth and tags[depth - 1].partition(".")[0] in PARTS:
+        depth -= 1
+    return depth
+
+
 def main_blocks(found: list[tuple[tuple[int, ...], str, str, int]]) -> list[str]:
     """Texts of the article's blocks, in page order."""
     if not found:
@@ -207,20 +226,23 @@ def main_blocks(found: list[tuple[tuple[int, ...], str, str, int]]) -> list[str]
     mean = sum(score.values()) / len(score)
     deviation = math.sqrt(sum((s - mean) ** 2 for s in score.values()) / len(score))
     content = {p for p, s in score.items() if s >= min(max(score.values()), THRESHOLD * deviation + 0.25 * max(score.values())) and s > 0}
-    inside = defaultdict(int)
-    total = 0
-    for elements, path, text, _ in found:
-        if path in content:
-            total += len(text)
-            for depth, element in enumerate(elements[:-1]):
-                inside[depth, element] += len(text)
-    article = max((k for k, n in inside.items() if n >= HOLDS * total), default=(-1, 0))
-    parents = tuple({path.rpartition("/")[0] for path in content})
+    within = [(elements, path.split("/"), len(text)) for elements, path, text, _ in found if path in content]
+    if not within:
+        return []
+    # a page that names its main part says that the rest is none
+    of_main = [block for block in within if "main" in block[1]]
+    if sum(n for *_, n in of_main) >= HOLDS * sum(n for *_, n in within):
+        within = of_main
+    around, tags, _ = within[0]
+    depth = _bound(around, tags, [elements for elements, *_ in within])
+    bound = "/".join(tags[:depth])
+    parents = {path.rpartition("/")[0]: path.rpartition("/")[0] in PAGE for path in content}
+    parents.setdefault(bound, not depth or tags[depth - 1] not in WHOLE)
     kept = []
     for elements, path, text, linked in found:
-        if article[0] >= 0 and (len(elements) <= article[0] or elements[article[0]] != article[1]):
+        if elements[:depth] != around[:depth]:
             continue
-        beside = any(path == p or path.startswith(f"{p}/") and not (p in PAGE and GENERIC_STEP.search(path, len(p))) for p in parents)
+        beside = any(path == p or path.startswith(f"{p}/") and not (flat and GENERIC_STEP.search(path, len(p))) for p, flat in parents.items())
         if path in content or (beside and linked < 0.5 * len(text)):
             kept.append(text)
     return kept

@@ -297,3 +297,27 @@ def test_pages(spark):
     assert got[1].text == "Head & line One paragraph with italics, and links, quite long to be seen, yes. Short. Item one Item two"
     assert (got[2].text, got[3].text, got[4].text, got[2].url) == ("", "", "plain <text>", None)
     assert got[5].text.startswith("ac d") and got[6].n_chars == len(("long text, " * 20_000).strip())
+
+
+def test_pages_with_large_parts():
+    def text(name, n):
+        return " ".join(f"{name} {i}, said so." for i in range(n))
+
+    h, a, b = "A heading", text("first", 65), text("second", 35)
+    nested = [
+        f"<article><h1>{h}</h1><section><p>{a}</p></section><section><p>{b}</p></section></article>",
+        f"<article><h1>{h}</h1><section><h2>Part</h2><p>{a}</p></section><p>{b}</p></article>",
+        f"<article><h1>{h}</h1><ul>{''.join(f'<li>{text(str(i), 9)}</li>' for i in range(8))}</ul><p>{b}</p></article>",
+        f"<div class=wide><h1>{h}</h1><blockquote><p>{a}</p></blockquote><p>{b}</p></div>",
+        f"<div class=wide><h1>{h}</h1><div class=one><p>{a}</p></div><div class=two><p>{b}</p></div></div>",
+        f"<h1>{h}</h1><section><p>{a}</p></section><section class=more><p>{b}</p></section>",
+        f"<main><h1>{h}</h1><article><p>{a}</p></article><article><p>{b}</p></article></main>",
+        f"<article><h1>{h}</h1><section><p>{a}</p><p>{b}</p></section></article>",
+    ]
+    for body in nested:
+        found = html_extraction.blocks(f"<html><body><nav>Home</nav>{body}<div class=sidebar><p>{b}</p></div><footer>Foot</footer></body></html>")
+        assert html_extraction.main_blocks(found) == [x for _, _, x, _ in found] and h in found[0][2], body
+    links = "".join(f"<li><a href=x>link {i}</a></li>" for i in range(20))
+    found = html_extraction.blocks(f"<body><main><p>{a}</p><ul>{links}</ul></main><div class=x><p>{b}</p></div></body>")
+    assert html_extraction.main_blocks(found) == [a]
+    assert html_extraction.main_blocks(html_extraction.blocks("<p><a href=x>only a link</a></p>")) == []
