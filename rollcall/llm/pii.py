@@ -1,17 +1,21 @@
 """Personal data: exact kinds by pattern, and terms that give protected entities away.
 
 Emails, IP addresses, card and phone numbers are found by pattern, with offsets in code
-points. Every such value is a protected entity. Names near an entity (capitalised words
-within ``WINDOW`` characters that do not open a sentence) are terms. Over the whole corpus
+points. Every such value is a protected entity. Names anywhere in a document that holds an
+entity (capitalised words that do not only open sentences) are terms. Over the whole corpus
 the number of documents of entity e, of term t and of both give the term's disclosure:
 the pointwise mutual information of e and t over the information of e, which is 1 when t
-occurs only with e. Terms seen with e in at least ``SUPPORT`` different texts and in half of
-e's documents are removed from ``REMOVE`` on and generalised from ``GENERALISE`` on, in the
-documents that hold e. Documents without an entity never change.
-
-One pass reads the texts and writes spans and (entity, term) links, a small table; counts
-are Spark aggregates with partial sums, so a value in a third of all rows is no hot spot.
-Spans depend on the text alone, so equal texts share one row of term spans.
+occurs only with e. Terms seen with e, and not only opening a sentence, in at least
+``SUPPORT`` different texts and in half of e's documents are removed from ``REMOVE`` on and
+generalised from ``GENERALISE`` on, at every place in the documents that hold e. Documents
+without an entity never change. An entity of fewer texts has no terms: with one text every
+rare word of it would be one, and two are mostly near copies.
+
+One pass reads the texts and writes spans, entities and, of texts with an entity, the terms
+with their places. Entities and terms of fewer texts than ``SUPPORT`` fall out before terms
+meet entities; counts are Spark aggregates with partial sums, and the tables that are joined
+are written first, so AQE splits a value in a third of all rows. Spans depend on the text
+alone, so equal texts share one row of terms.
 
 Null text counts as empty and has no spans; redaction leaves it null. Repeated rows give
 repeated rows, an empty table an empty one. Only ``doc_id`` and ``text`` are read; redaction
@@ -30,7 +34,6 @@ from pyspark.sql import functions as F
 from rollcall.workdir import settle
 
 KINDS = ("email", "ip", "card", "phone", "term")
-WINDOW = 200
 SUPPORT = 3
 SHARE = 0.5
 GENERALISE = 0.75
@@ -45,8 +48,8 @@ NOT_DIGIT = re.compile("[^0-9]+")
 TERM = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
 OPENING = re.compile(r"(?:^|[.!?:;|\n\"'(«¿¡-])\s*$")
 SPAN = "struct<start:int,kind:int,end:int>"
-LINK = "struct<entity:string,term:string,start:int,end:int>"
-SCHEMA = f"doc_id long, text_key string, spans array<{SPAN}>, entities array<string>, links array<{LINK}>"
+TERMS = "struct<term:string,named:boolean,starts:array<int>>"
+SCHEMA = f"doc_id long, text_key string, spans array<{SPAN}>, entities array<string>, terms array<{TERMS}>"
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -92,60 +95,71 @@ def entity(text: str, span: tuple[int, int, int]) -> str:
     return f"{KINDS[kind]}:{NOT_DIGIT.sub('', value) if kind > 1 else value}"
 
 
-def links(text: str, spans: list[tuple[int, int, int]], term) -> list[tuple[str, str, int, int]]:
-    """(entity, term, start, end) for the terms around each entity; ``term`` is the compiled pattern."""
-    found = set()
-    for start, kind, end in spans:
-        name = entity(text, (start, kind, end))
-        for m in term.finditer(text, max(0, start - WINDOW), min(len(text), end + WINDOW)):
-            a, b = m.span()
-            if (b <= start or a >= end) and not OPENING.search(text[max(0, a - 8) : a]) and not any(s < b and a < e for s, _, e in spans):
-                found.add((name, m[0], a, b))
-    return sorted(found)
+def terms_of(text: str, spans: list[tuple[int, int, int]], term) -> list[dict]:
+    """Every term outside the spans with its places, and whether one does not open a sentence; ``term`` is the compiled pattern."""
+    found: dict[str, dict] = {}
+    taken, at = [], -1
+    for start, _, end in spans:
+        if end > at:
+            taken.append((max(start, at), end))
+            at = end
+    i = 0
+    for m in term.finditer(text):
+        a, b = m.span()
+        while i < len(taken) and taken[i][1] <= a:
+            i += 1
+        if i < len(taken) and taken[i][0] < b:
+            continue
+        of_term = found.setdefault(m[0], {"term": m[0], "named": False, "starts": []})
+        of_term["starts"].append(a)
+        of_term["named"] = of_term["named"] or not OPENING.search(text[max(0, a - 8) : a])
+    return list(found.values())
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Base spans, entities and links of every row; ``text_key`` stands for the text."""
+    """Base spans, entities and, where there are entities, terms of every row; ``text_key`` stands for the text."""
 
     def run(batches):
         import regex
 
         term = regex.compile(TERM)
         for batch in batches:
-            keys, spans, entities, near = [], [], [], []
+            keys, spans, entities, terms = [], [], [], []
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 keys.append(hashlib.md5(text.encode()).hexdigest())
                 found = base_spans(text)
                 spans.append([{"start": a, "kind": k, "end": b} for a, k, b in found])
                 entities.append(sorted({entity(text, s) for s in found}))
-                near.append([{"entity": e, "term": t, "start": a, "end": b} for e, t, a, b in links(text, found, term)] if found else [])
+                terms.append(terms_of(text, found, term) if found else [])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).cast(pa.int64()),
                     pa.array(keys, pa.string()),
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))),
                     pa.array(entities, pa.list_(pa.string())),
-                    pa.array(near, pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))),
+                    pa.array(terms, pa.list_(pa.struct([("term", pa.string()), ("named", pa.bool_()), ("starts", pa.list_(pa.int32()))]))),
                 ],
-                names=["doc_id", "text_key", "spans", "entities", "links"],
+                names=["doc_id", "text_key", "spans", "entities", "terms"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
-def disclosing_terms(docs: DataFrame, scanned: DataFrame) -> DataFrame:
-    """(entity, term, disclosure, action) of the terms that give an entity away."""
+def disclosing_terms(docs: DataFrame, scanned: DataFrame, entities: DataFrame, terms: DataFrame) -> DataFrame:
+    """(entity, term, disclosure, action) of the terms that give an entity away.
+
+    ``entities`` (``text_key``, ``copies``, ``entity``) and ``terms`` (``text_key``, ``term``, ``named``) are written tables.
+    """
     n = scanned.count()
-    per_entity = (
-        scanned.select("text_key", F.explode("entities").alias("entity")).groupBy("entity", "text_key").count()
-        .groupBy("entity").agg(F.sum("count").alias("n_entity"), F.count("*").alias("texts")).filter(F.col("texts") >= SUPPORT).drop("texts")
-    )
-    pairs = F.array_distinct(F.transform("links", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))
+    enough = F.count("*") >= SUPPORT
+    per_entity = settle(entities.groupBy("entity").agg(F.sum("copies").alias("n_entity"), enough.alias("enough")).filter("enough").drop("enough"), "entities")
+    candidates = settle(terms.filter("named").groupBy("term").agg(enough.alias("enough")).filter("enough").select("term"), "candidates")
+    held = settle(entities.join(per_entity, "entity").select("text_key", "copies", "entity"), "held")
+    said = settle(terms.join(candidates, "term").select("text_key", "term", "named"), "said")
     per_pair = (
-        scanned.filter(F.size("links") > 0).select("text_key", F.explode(pairs).alias("pair")).select("text_key", "pair.*")
-        .groupBy("entity", "term", "text_key").count()
-        .groupBy("entity", "term").agg(F.sum("count").alias("n_pair"), F.count("*").alias("texts")).filter(F.col("texts") >= SUPPORT)
+        held.join(said, "text_key").groupBy("entity", "term")
+        .agg(F.sum("copies").alias("n_pair"), (F.count_if("named") >= SUPPORT).alias("enough")).filter("enough").drop("enough")
     )
     per_term = (
         docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.col("text").cast("string"), F.lit(TERM), F.lit(0)))).alias("term"))
@@ -163,12 +177,16 @@ def disclosing_terms(docs: DataFrame, scanned: DataFrame) -> DataFrame:
 
 def term_spans(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """One row per text with disclosing terms: ``text_key`` and their spans with the action."""
-    flagged = settle(disclosing_terms(docs, scanned), "terms")
-    places = scanned.filter(F.size("links") > 0).select("text_key", F.explode("links").alias("link")).select("text_key", "link.*").distinct()
+    counted = scanned.filter(F.size("entities") > 0).select("text_key", F.explode("entities").alias("entity")).groupBy("text_key", "entity").agg(F.count("*").alias("copies"))
+    entities = settle(counted, "held")
+    places = settle(scanned.filter(F.size("terms") > 0).dropDuplicates(["text_key"]).select("text_key", F.explode("terms").alias("t")).select("text_key", "t.*"), "places")
+    flagged = settle(disclosing_terms(docs, scanned, entities, places.drop("starts")), "terms")
+    wanted = settle(entities.join(flagged, "entity").groupBy("text_key", "term").agg(F.max("action").alias("action")), "wanted")
     return (
-        places.join(flagged, ["entity", "term"])
-        .groupBy("text_key", "start", "end").agg(F.max("action").alias("action"))
-        .groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(KINDS.index("term")).alias("kind"), "end", "action"))).alias("terms"))
+        places.join(wanted, ["text_key", "term"]).select("text_key", "term", "action", F.explode("starts").alias("start"))
+        .groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct(
+            "start", F.lit(KINDS.index("term")).alias("kind"), (F.col("start") + F.length("term")).cast("int").alias("end"), "action"
+        ))).alias("terms"))
     )
 
 

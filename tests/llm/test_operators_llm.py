@@ -260,6 +260,21 @@ def test_disclosing_terms(spark):
     assert all(got[i].spans == "" for i in range(100, 140)) and "term" not in got[200].spans
 
 
+def test_disclosing_terms_of_the_whole_text(spark):
+    # the name stands only far from the number, opens a sentence in some texts, and is of another's text too
+    rows = [(i, f"{prose(i, 150)} met Zorro there {prose(i + 500, 150)} call +1 (017) 555-7713 {prose(i + 600, 150)}. Zorro left") for i in range(4)]
+    rows += [(4, f"Zorro came {prose(5, 100)} +1 (017) 555-7713"), (5, f"{prose(6, 30)} but +1 (017) 555-7713"), (6, None)]
+    rows += [(100 + i, f"{prose(900 + i, 40)} some Common name {i}") for i in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    texts, got = dict(rows), {r.doc_id: r.spans for r in pii.report(frame).collect()}
+    for i in range(6):
+        terms = [(int(a), int(b)) for k, a, b in (s.split(":") for s in got[i].split(",")) if k == "term"]
+        assert terms == [m.span() for m in re.finditer("Zorro", texts[i])]
+    assert all(got[i] == "" for i in range(100, 140))
+    clean = {r.doc_id: r.text for r in pii.redact(frame).collect()}
+    assert not any("Zorro" in clean[i] for i in range(6)) and clean[6] is None and clean[100] == texts[100]
+
+
 def test_base_patterns_by_brute_force():
     kinds = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
     digits = lambda s: re.sub("[^0-9]", "", s)
