@@ -6,7 +6,9 @@ draw b; with weight w, t = floor(ln w / r + b) and ln a = ln c - r (t + 1 - b).
 the smallest a, with its t, is the sample. Two documents agree in a sample with the
 probability of their generalised Jaccard similarity, the sum of the smaller over the sum of
 the larger weights. ln a in fixed point and 32 bits of hash of (term, t) make one number, so
-a sample is a plain minimum, aggregated where the document is.
+a sample is a plain minimum, aggregated where the document is, ``BLOCK`` samples at a time so
+that the generated code stays small. The share of samples that agree has a standard error of
+at most 0.045 with 128 samples (0.035 at 0.8).
 
 Successors by descending id are found without sorting all rows in one task: bucket bounds
 come from approximate quantiles of the ids (at most ``BUCKETS`` numbers), each bucket is
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 from rollcall.llm.quality_rules import let, words
 from rollcall.workdir import settle
 
-SAMPLES = 32
+SAMPLES = 128
+BLOCK = 32
 BUCKETS = 1024
 FINE = 32
 SCALE = 1 << 23
@@ -103,8 +106,8 @@ def uniform(bits: Column, part: int) -> Column:
 
 
 def draw(i: int) -> Column:
-    """Sample ``i`` of a term as one number: ln a in fixed point, then 32 bits for (term, t)."""
-    one = F.xxhash64(F.col("term"), F.lit(i))
+    """Sample ``i`` of the column ``block`` of a term as one number: ln a in fixed point, then 32 bits for (term, t)."""
+    one = F.xxhash64(F.col("term"), F.col("block") * BLOCK + i)
     two = F.xxhash64(one)
     r = -F.ln(uniform(one, 0) * uniform(one, 1))
     ln_c = F.ln(-F.ln(uniform(one, 2) * uniform(two, 0)))
@@ -121,8 +124,11 @@ def fingerprint(rows: DataFrame, keys: list[str], samples: int = SAMPLES) -> Dat
     -1 stands for every sample of a text without words.
     """
     each = rows.select(*keys, F.explode_outer(terms(F.col("text"))).alias("t")).select(*keys, F.col("t.term").alias("term"), F.ln(F.col("t.count").cast("double")).alias("ln_w"))
-    least = each.groupBy(*keys).agg(*[F.min(draw(i)).alias(f"s{i}") for i in range(samples)])
-    return least.select(*keys, F.array(*[F.coalesce(F.col(f"s{i}").bitwiseAND(0xFFFFFFFF), F.lit(-1).cast("long")) for i in range(samples)]).alias("signature"))
+    blocks = each.select("*", F.explode(F.array(*[F.lit(b) for b in range(-(-samples // BLOCK))])).alias("block"))
+    least = blocks.groupBy(*keys, "block").agg(*[F.min(draw(i)).alias(f"s{i}") for i in range(BLOCK)])
+    part = F.array(*[F.coalesce(F.col(f"s{i}").bitwiseAND(0xFFFFFFFF), F.lit(-1).cast("long")) for i in range(BLOCK)])
+    parts = least.select(*keys, F.struct("block", part.alias("part")).alias("p")).groupBy(*keys).agg(F.array_sort(F.collect_list("p")).alias("parts"))
+    return parts.select(*keys, F.slice(F.flatten(F.transform("parts", lambda p: p["part"])), 1, samples).alias("signature"))
 
 
 def likeness(a: Column, b: Column) -> Column:

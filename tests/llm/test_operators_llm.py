@@ -200,6 +200,18 @@ def test_sampling_estimates_weighted_jaccard(spark):
     assert abs(sum(error) / len(error)) < 0.06 and max(map(abs, error)) < 0.3
 
 
+def test_sampling_error_of_the_registered_query(spark):
+    pairs = [(2 * i, prose(i, 80)) for i in range(100)]
+    pairs += [(i + 1, edited(t, i, 5 + 5 * (i % 5))) for i, t in pairs]
+    prints = {r.doc_id: r.signature for r in fingerprints.fingerprint(spark.createDataFrame(pairs, "doc_id long, text string"), ["doc_id"]).collect()}
+    texts, error = dict(pairs), []
+    for i in range(0, 200, 2):
+        a, b = collections.Counter(texts[i].split()), collections.Counter(texts[i + 1].split())
+        assert len(prints[i]) == fingerprints.SAMPLES
+        error.append(sum(x == y for x, y in zip(prints[i], prints[i + 1], strict=True)) / len(prints[i]) - sum((a & b).values()) / sum((a | b).values()))
+    assert abs(sum(error) / len(error)) < 0.02 and (sum(e * e for e in error) / len(error)) ** 0.5 < 0.05 and max(map(abs, error)) < 0.18
+
+
 def test_shards(docs):
     got = sharding.assign_shards(docs).collect()
     counts = collections.Counter(r.shard for r in got)
