@@ -101,11 +101,15 @@ class Scanner:
                 else:
                     merged.append([a, b])
             for a, b in merged:
-                while a < b and (m := pattern.search(text, a, b)):
-                    first, last = m.span()
-                    if self._whole(text, first, last):
-                        found.append((first, last, sum(m.fuzzy_counts), index))
-                    a = max(last, first + 1)
+                # the best place first, then what lies before and behind it
+                parts = [(a, b)]
+                while parts:
+                    a, b = parts.pop()
+                    if a < b and (m := pattern.search(text, a, b)):
+                        first, last = m.span()
+                        if self._whole(text, first, last):
+                            found.append((first, last, sum(m.fuzzy_counts), index))
+                        parts += [(a, first - 1), (max(last, first + 1), b)]
         return sorted(set(found))
 
     @staticmethod

@@ -308,6 +308,13 @@ def test_licences(spark):
     assert got[0].score == 0 and got[2].score == 1 and 0.9 < got[5].score < 1
 
 
+def test_worse_licence_before_a_better_one():
+    scanner = license_scan.Scanner(phrases=())
+    places = [(a, b, e) for a, b, e, _ in scanner.places("mozila public license mozilla public license mozilla publc licence")]
+    assert places == [(0, 21, 1), (22, 44, 0), (45, 66, 2)]
+    assert [p[:3] for p in scanner.places("a mozila publc license mozilla public license b")] == [(2, 22, 2), (23, 45, 0)]
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header class="site"><h1>Site</h1></header>
 <div id="cookie-notice">We use cookies, accept.</div><nav><ul><li><a href=x>Home</a></ul></nav>
 <div class="content"><h2>Head &amp; line</h2><div class="ad">Buy now, cheap things, here and there.</div>
