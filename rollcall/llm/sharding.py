@@ -4,8 +4,9 @@ Documents are linked through hubs (here: equal texts). Linked documents start in
 hash; in each round every hub counts its documents per shard, and its documents elsewhere
 want to move to its fullest shard. Wishes from shard i to j are granted up to what moves
 from j to i at the same time plus the room that j has left, whole hubs first. Rounds end
-when no wish is granted. Documents without links have no wishes; they, and what exceeds a
-shard's share, fill the shards to counts that are at most one apart.
+when no wish is granted, or the wishes (a document outside its hub's fullest shard has one) no
+longer get fewer; the placement with the fewest holds. Documents without links have no wishes;
+they, and what exceeds a shard's share, fill the shards to counts that are at most one apart.
 
 Hub counts are partial sums and a hub's counts are one row, so a hub with a third of all
 rows costs no more than its join, which AQE splits; it spans as many shards as it must. The
@@ -28,7 +29,6 @@ from rollcall.llm.order import running_start, shuffled
 from rollcall.workdir import settle
 
 SHARDS = 8
-ROUNDS = 6
 SEED = 50
 
 
@@ -63,11 +63,12 @@ def lookup(values: dict, key: Column, default: int = 0) -> Column:
     return out
 
 
-def propagate(links: DataFrame, share: list[int], rounds: int = ROUNDS) -> DataFrame:
+def propagate(links: DataFrame, share: list[int]) -> DataFrame:
     """``uid``, ``hub``, ``shard`` of linked documents after the last round; ``links`` has ``uid`` and ``hub``."""
     shards = len(share)
     placed = settle(links.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int")), "shards")
-    for _ in range(rounds):
+    least, best_placed = None, placed
+    while True:
         counts = placed.groupBy("hub").agg(*[F.sum((F.col("shard") == s).cast("long")).alias(f"n{s}") for s in range(shards)])
         # the fullest shard; ties turn with the hub so that no shard is preferred
         votes = F.array(*[F.struct(F.col(f"n{s}").alias("n"), (-F.pmod(F.lit(s) - F.xxhash64("hub"), F.lit(shards))).alias("tie"), F.lit(s).alias("shard")) for s in range(shards)])
@@ -78,17 +79,19 @@ def propagate(links: DataFrame, share: list[int], rounds: int = ROUNDS) -> DataF
             "wishes",
         )
         wanted = {(r.shard, r.wish): r["count"] for r in wishes.groupBy("shard", "wish").count().collect()}
+        if least is not None and sum(wanted.values()) >= least:
+            return best_placed
+        least, best_placed = sum(wanted.values()), placed
         moves = {k: n for k, n in granted(wanted, per_shard(placed, shards), share).items() if n}
         if not moves:
-            break
+            return placed
         bucket, order = hub_order("uid")
         ranked = running_start(wishes, ["shard", "wish"], F.lit(1), "rank", bucket, order)
         pair = F.col("shard") * shards + F.col("wish")
         moved = ranked.filter(F.col("rank") < lookup({i * shards + j: n for (i, j), n in moves.items()}, pair)).select("uid", "wish")
         placed = settle(placed.join(moved, "uid", "left").select("uid", "hub", F.coalesce("wish", "shard").alias("shard")), "shards")
         if sum(moves.values()) == sum(wanted.values()):
-            break
-    return placed
+            return placed
 
 
 def assign_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
