@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import fingerprints, html_extraction, license_scan, parity_join, pii, quality_rules, sentencepiece_codec, sharding, source_mix, token_counts
+from rollcall.llm import fingerprints, html_extraction, lexical_search, license_scan, parity_join, pii, quality_rules, sentencepiece_codec, sharding, source_mix, token_counts, whitening
 
 MODEL = "piece_bpe_32k.model"
 
@@ -55,6 +55,14 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_documents(spark, sf_dir))
 
 
+def op11_chebyshev_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_best_position_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -65,7 +73,8 @@ QUERIES = {
     query.__name__: query
     for query in (
         op1_tag_path_ratios, op2_consistent_weighted_sampling, op3_quality_rules, op4_parity_sketch_join, op5_balanced_label_propagation,
-        op6_token_counts, op7_license_scan, op8_sentencepiece_codec, op9_source_mix, op10_personal_data, pipeline,
+        op6_token_counts, op7_license_scan, op8_sentencepiece_codec, op9_source_mix, op10_personal_data,
+        op11_chebyshev_whitening, op12_best_position_search, pipeline,
     )
 }
 
@@ -107,4 +116,35 @@ select doc_id, cast(n_words as bigint) as n_words, cast(coalesce(word_chars, 0)
     not base_failed and {" and ".join(_rule_sql(rule) for rule in quality_rules.RULES)} as kept
 from judged
 """
-SQL = {"op3_quality_rules": QUALITY_SQL}
+SEARCH_SQL = r"""
+with doc_terms as (
+    select r, doc_id, unnest(terms) as term, len(terms) as n from (
+        select row_number() over () as r, doc_id,
+            regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+        from documents
+    )
+), item_terms as (
+    select q, item_id, term, count(*) as times from (
+        select q, item_id, unnest(terms) as term from (
+            select row_number() over () as q, item_id,
+                regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+            from benchmark
+        )
+    ) group by all
+), totals as (
+    select count(distinct r) as big_n, count(*) as big_l from doc_terms
+), held as (
+    select r, doc_id, n, term, count(*) as tf from doc_terms where term in (select term from item_terms) group by all
+), weights as (
+    select term, cast(floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1))) as bigint) as w from held, totals group by term, big_n
+), impacts as (
+    select r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * big_n) // big_l)))) as impact
+    from held join weights using (term), totals
+), scored as (
+    select q, item_id, r, doc_id, sum(times * impact) as score from impacts join item_terms using (term) group by all
+)
+select item_id, cast(rank as integer) as rank, doc_id, cast(score as bigint) as score
+from (select *, row_number() over (partition by q order by score desc, doc_id nulls last) as rank from scored where score > 0)
+where rank <= 10
+"""
+SQL = {"op3_quality_rules": QUALITY_SQL, "op12_best_position_search": SEARCH_SQL}
