@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import fingerprints, html_extraction, lexical_search, license_scan, parity_join, pii, quality_rules, sentencepiece_codec, sharding, source_mix, token_counts, whitening
+from rollcall.llm import class_ngrams, fingerprints, html_extraction, lexical_search, license_scan, parity_join, pii, quality_rules, sentencepiece_codec, sharding, source_mix, token_counts, whitening
 
 MODEL = "piece_bpe_32k.model"
 
@@ -63,6 +63,10 @@ def op12_best_position_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_ngrams.score_documents(_documents(spark, sf_dir))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +78,7 @@ QUERIES = {
     for query in (
         op1_tag_path_ratios, op2_consistent_weighted_sampling, op3_quality_rules, op4_parity_sketch_join, op5_balanced_label_propagation,
         op6_token_counts, op7_license_scan, op8_sentencepiece_codec, op9_source_mix, op10_personal_data,
-        op11_chebyshev_whitening, op12_best_position_search, pipeline,
+        op11_chebyshev_whitening, op12_best_position_search, op13_class_ngrams, pipeline,
     )
 }
 
