@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def work_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
@@ -41,8 +43,22 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """The same rows as a table in the shared folder.
 
     For results used more than once: they are computed once, and a lost executor costs no
-    more than its own tasks.
+    more than its own tasks. The shuffle files of the write are deleted with its end, so a
+    job of many steps holds those of one step at a time.
     """
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    spark = df.sparkSession
+    path, before = fresh_path(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    table = spark.read.parquet(path)
+    table.settled_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``settle`` wrote, once nothing reads it any more."""
+    target = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table.settled_path)
+    target.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
