@@ -40,12 +40,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm.shingles import word_hashes
-from rollcall.workdir import settle
+from rollcall.workdir import discard, settle
 
 CLASSES = 64
 FREQUENT = 16
 ROUNDS = 3
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 16 << 20
+PART_BYTES = 2 << 20
 PRIOR = 0.1
 SMOOTHING = 4.0
 END, OTHER, FIRST = 0, 1, 2  # class of the end, of words without a class (later: unknown ones), first class of words
@@ -58,30 +59,43 @@ SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def _parts(data: bytes) -> Iterator[bytes]:
-    """The text in parts of about a slice, cut at white space."""
+    """A text in parts of about ``PART_BYTES``, cut at white space."""
     at = 0
-    while len(data) - at > SLICE_BYTES and (cut := SPACE.search(data, at + SLICE_BYTES)):
+    while len(data) - at > PART_BYTES and (cut := SPACE.search(data, at + PART_BYTES)):
         yield data[at : cut.end()]
         at = cut.end()
     yield data[at:]
 
 
+def _hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and the number of words of each text, about ``PART_BYTES`` at a time."""
+    parts = [(i, part) for i, text in enumerate(texts) for part in _parts(text)]
+    group = np.cumsum([len(part) + 1 for _, part in parts]) // PART_BYTES
+    hashes, counts = [], np.zeros(len(texts), np.int64)
+    for number in np.unique(group):
+        some = [parts[j] for j in np.flatnonzero(group == number)]
+        found, n = word_hashes([part for _, part in some])
+        hashes.append(found)
+        np.add.at(counts, [i for i, _ in some], n)
+    return np.concatenate(hashes), counts
+
+
 def _encoded(number: int, ids: list, held: list, texts: list[bytes]) -> pa.RecordBatch:
-    """One slice: its different words, how often training has each, and all tokens as places in them."""
-    if len(texts) == 1:
-        hashes = np.concatenate([word_hashes([part])[0] for part in _parts(texts[0])])
-        counts = np.array([len(hashes)])
-    else:
-        hashes, counts = word_hashes(texts)
+    """One slice: its different words, how often training has each, and all tokens as places in them, byte by byte."""
+    hashes, counts = _hashes(texts)
     sizes = counts + 1
     is_end = np.zeros(int(sizes.sum()), bool)
     is_end[np.cumsum(sizes) - 1] = True
     tokens = np.full(len(is_end), END_HASH, np.int64)
     tokens[~is_end] = hashes.view(np.int64)
-    words, places = np.unique(tokens, return_inverse=True)
+    words, places, often = np.unique(tokens, return_inverse=True, return_counts=True)
+    order = np.argsort(-often, kind="stable")  # frequent words get small numbers, which compress
+    rank = np.empty(len(words), np.int32)
+    rank[order] = np.arange(len(words), dtype=np.int32)
+    words, places = words[order], rank[places]
     training = np.bincount(places[np.repeat(~np.array(held, bool), sizes)], minlength=len(words))
     return pa.RecordBatch.from_pylist([{
-        "slice": number, "words": words, "counts": training, "tokens": places.astype(np.int32).tobytes(), "sizes": sizes, "ids": ids, "held": held,
+        "slice": number, "words": words, "counts": training, "tokens": places.view(np.uint8).reshape(-1, 4).T.tobytes(), "sizes": sizes, "ids": ids, "held": held,
     }], schema=pa.schema([
         ("slice", pa.int64()), ("words", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("tokens", pa.binary()),
         ("sizes", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
@@ -117,7 +131,7 @@ class Slice:
         row = left.slice(0, 1)
         flat = lambda name: row.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
         self.words, self.sizes, self.held = flat("words"), flat("sizes"), flat("held").astype(bool)
-        self.tokens = np.frombuffer(row.column("tokens")[0].as_buffer(), np.int32)
+        self.tokens = np.frombuffer(row.column("tokens")[0].as_buffer(), np.uint8).reshape(4, -1).T.copy().view(np.int32)[:, 0]
         self.at = right.column("at").to_numpy()
         self.known = np.zeros(len(self.words), bool)
         self.known[self.at] = True
@@ -226,11 +240,15 @@ def learnt(slices: DataFrame, places: DataFrame, vocabulary: DataFrame, n_classe
         summed = each.groupBy("word", F.col("p.codes").alias("code")).agg(F.sum("p.times").alias("times"))
         gathered = summed.groupBy("word").agg(F.collect_list(entry).alias("contexts"))
         classes = settle(moved(gathered.join(classes, "word"), matrix(contexts, total)), "classes")
+        discard(contexts)
     contexts = around(False)
     each = F.arrays_zip(F.col("codes").alias("code"), F.col("times").alias("times"))
     gathered = contexts.filter("word is not null").groupBy("word").agg(F.flatten(F.collect_list(each)).alias("contexts"))
     rare = gathered.withColumn("n", F.aggregate(F.filter("contexts", lambda c: c["code"] < total), F.lit(0).cast("long"), lambda s, c: s + c["times"]))
-    return settle(classes.unionByName(moved(rare.withColumn("class", F.lit(OTHER)), matrix(contexts, total))), "classes")
+    every = settle(classes.unionByName(moved(rare.withColumn("class", F.lit(OTHER)), matrix(contexts, total))), "classes")
+    discard(contexts)
+    discard(known)
+    return every
 
 
 def unknown_share(train_tokens: int, singles: int) -> float:
@@ -269,8 +287,10 @@ def score_documents(docs: DataFrame, n_classes: int = CLASSES, frequent: int = F
             "classes": pa.array([classes[a : a + m].tobytes() for a, m in zip(first, part.sizes, strict=True)], pa.binary()),
         })
 
-    classed = places.select("slice", "at", "word").join(classes, "word").select("slice", "at", "n", "class")
+    classed = settle(places.select("slice", "at", "word").join(classes, "word").select("slice", "at", "n", "class"), "classed")
     resolved = settle(grouped(slices.drop("counts"), classed, resolve, RESOLVED), "resolved")
+    discard(slices)
+    discard(classed)
     steps = log_transitions(transitions(resolved.filter("not held_out"), total), of_class, unknown)
 
     def run(batches):

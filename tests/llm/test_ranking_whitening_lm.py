@@ -192,7 +192,7 @@ def plain_base(rows):
     return sorted(((i, held[i], len(ts), sum(t in counts for t in ts), n, round(sum(math.log10((counts[t] + 0.1) / (n + 0.1 * (v + 1))) for t in ts), 4)) for i, ts in tokens), key=str)
 
 
-@pytest.mark.parametrize("settings", [{}, {"SLICE_BYTES": 700, "GAIN_ROWS": 50}])
+@pytest.mark.parametrize("settings", [{}, {"SLICE_BYTES": 700, "PART_BYTES": 300, "GAIN_ROWS": 50}])
 def test_base_score_and_held_out_perplexity(spark, monkeypatch, settings):
     rows = texts_of_two_kinds()
     for name, value in settings.items():
