@@ -29,6 +29,8 @@ VIEWS = {
         select matricula, nm_aluno, nm_mae, dt_nascimento, cd_munic,
           case when matricula%11=0 then null
                when matricula%13=0 then '---'
+               when matricula%37=0 then '000.000.000-00'
+               when matricula%41=0 then '11111111111'
                when matricula%3=0 then concat(substring(id,1,9),'-',substring(id,10,2))
                else id end as cpf,
           case when matricula%4=0 then null else lpad(cast(matricula+700 as string),11,'0') end as cpf_pai,
@@ -95,7 +97,7 @@ VIEWS = {
         from {lineitem}""",
     "registry": f"""
         select o_orderkey as row_id,
-          case when o_custkey%19=0 then '' else {_cpf('o_custkey')} end as cpf,
+          case when o_custkey%19=0 then '' when o_custkey%37=0 then '00000000000' else {_cpf('o_custkey')} end as cpf,
           concat('CUSTOMER#',lpad(cast(o_custkey as string),9,'0')) as nome,
           lpad(cast(o_orderkey as string),11,'0') as nis,
           case when o_custkey%5=0 then 'MAE X' else concat('MAE ',cast(o_custkey%97 as string)) end as nome_mae,
@@ -129,7 +131,8 @@ VIEWS = {
         from {customer} where c_custkey%7=0""",
     "previous_accumulated": """
         select o_custkey as matricula,
-          lpad(cast(cast(floor(max(o_orderkey)/10) as bigint) as string),11,'0') as cpf, '202506' as mesano
+          case when o_custkey%29=0 then null else lpad(cast(cast(floor(max(o_orderkey)/10) as bigint) as string),11,'0') end as cpf,
+          '202506' as mesano
         from {orders} where cast(o_orderdate as date) < date '1999-01-01' group by o_custkey""",
     "current_active": """
         select matricula, replace(cpf,'-','') as cpf, '202507' as mesano

@@ -16,6 +16,16 @@ def cpf_digits(cpf: Column) -> Column:
     return F.nullif(F.regexp_replace(cpf.cast("string"), "[^0-9]", ""), F.lit(""))
 
 
+# Ids that stand for no person: only zeros, or one digit eleven times.
+NO_PERSON = r"^(0+|([0-9])\2{10})$"
+
+
+def person_cpf(cpf: Column) -> Column:
+    """The digits of an id that can stand for one person, else null: it then matches and merges nobody."""
+    digits = cpf_digits(cpf)
+    return F.when(~digits.rlike(NO_PERSON), digits)
+
+
 def cpf_trimmed(cpf: Column) -> Column:
     """The text without surrounding blanks, mask kept."""
     return F.trim(cpf.cast("string"))

@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.functions.cpf import cpf_digits
+from rollcall.functions.cpf import person_cpf
 from rollcall.schema import COLUMN_DICTIONARY
 
 STANDARD_CPF = "CPF_PADRONIZADO"
@@ -70,9 +70,9 @@ def find_cpf_column(columns: Sequence[str], candidates: Sequence[str] = CPF_CAND
 
 
 def ensure_standard_cpf(df: DataFrame, candidates: Sequence[str] = CPF_CANDIDATES) -> DataFrame:
-    """The table with ``CPF_PADRONIZADO``: digits only, null when there are none."""
+    """The table with ``CPF_PADRONIZADO``: digits only, null when there are none or the id stands for no person."""
     source = STANDARD_CPF if STANDARD_CPF in df.columns else find_cpf_column(df.columns, candidates)
-    return df.withColumn(STANDARD_CPF, cpf_digits(quoted(source)))
+    return df.withColumn(STANDARD_CPF, person_cpf(quoted(source)))
 
 
 def suffix_collisions(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.functions.cpf import cpf_digits
+from rollcall.functions.cpf import person_cpf
 from rollcall.operators.keys import first_per_key
 
 
@@ -20,7 +20,7 @@ def with_manual_roster(automatic: DataFrame, manual: DataFrame) -> DataFrame:
 def accumulate(previous: DataFrame, current: DataFrame) -> DataFrame:
     """One row per enrolment over both bases: the newest period that has an id wins."""
     both = previous.unionByName(current, allowMissingColumns=True)
-    return first_per_key(both, F.col("matricula"), [cpf_digits(F.col("cpf")).isNull(), F.desc("mesano"), F.asc_nulls_last("cpf")])
+    return first_per_key(both, F.col("matricula"), [person_cpf(F.col("cpf")).isNull(), F.desc("mesano"), F.asc_nulls_last("cpf")])
 
 
 def inactive(accumulated: DataFrame, active: DataFrame) -> DataFrame:
@@ -29,8 +29,8 @@ def inactive(accumulated: DataFrame, active: DataFrame) -> DataFrame:
 
 
 def unique_cpf(base: DataFrame) -> DataFrame:
-    """One row per id, whatever its punctuation: newest period, then lowest enrolment."""
-    return first_per_key(base, cpf_digits(F.col("cpf")), [F.desc("mesano"), F.asc("matricula")])
+    """One row per person id, whatever its punctuation: newest period, then lowest enrolment."""
+    return first_per_key(base, person_cpf(F.col("cpf")), [F.desc("mesano"), F.asc("matricula")])
 
 
 def union_versions(*versions: DataFrame) -> DataFrame:

@@ -44,17 +44,47 @@ def newest_row_ids(df: DataFrame, key: str, newest: str, row_id: str) -> DataFra
     return df.groupBy(key).agg(F.max(order).alias("_order")).select(key, signed.cast("bigint").alias(row_id))
 
 
+# Distinct keys, 8 bytes each, that a join sends to every task; more are shuffled.
+MOST_SENT_KEYS = 4_000_000
+
+
+def wanted_keys(df: DataFrame, *columns: str) -> DataFrame:
+    """Hashes of the distinct keys of a small table, written; for ``cut_to``."""
+    keyed = df.dropna(subset=list(columns)).select(F.xxhash64(*columns).alias("_wanted"))
+    return settle(keyed.distinct(), "wanted")
+
+
+def cut_to(big: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
+    """The rows of ``big`` whose key is among ``wanted_keys``, before anything ranks or shuffles them.
+
+    Up to ``MOST_SENT_KEYS`` keys are counted and sent to the tasks that scan ``big``, which is
+    then read once and not shuffled; with more of them the semi join shuffles the columns of
+    ``big`` that are in use. Types of the key must be the same on both sides. A row with another
+    key of the same 64-bit hash stays: the join on the key itself that follows drops it.
+    """
+    few = wanted.count() <= MOST_SENT_KEYS
+    hashed = big.dropna(subset=list(columns)).withColumn("_wanted", F.xxhash64(*columns))
+    return hashed.join(F.broadcast(wanted) if few else wanted, "_wanted", "left_semi").drop("_wanted")
+
+
 def join_per_key(left: DataFrame, right: DataFrame, key: str, how: str, row_id: str) -> DataFrame:
     """Join on ``key``, compared as text; ``right`` has at most one row per key, ``left`` many.
 
-    ``right`` is written to the shared folder first. Both sides are then read and shuffled
-    for this join alone, and AQE splits a key with many left rows by its size; after an
-    aggregate or window on the key it would not. In outer and anti joins left rows without a
-    key would all meet in one task; here each gets a key of its own made from the unique
-    column ``row_id``, which matches nothing.
+    ``right`` is written to the shared folder first, so cut it to the keys of ``left`` before
+    (``cut_to``). Both sides are then read and shuffled for this join alone, and AQE splits a
+    key with many left rows by its size; after an aggregate or window on the key it would not.
+    """
+    return join_written(left, settle(right, "per-key"), key, how, row_id)
+
+
+def join_written(left: DataFrame, right: DataFrame, key: str, how: str, row_id: str) -> DataFrame:
+    """``join_per_key`` with a ``right`` that is a written table, or a scan without aggregates.
+
+    In outer and anti joins left rows without a key would all meet in one task; here each
+    gets a key of its own made from the unique column ``row_id``, which matches nothing.
     """
     join_key = F.col(key).cast("string")
-    right = settle(right, "per-key").withColumn("_key", join_key).drop(key)
+    right = right.withColumn("_key", join_key).drop(key)
     if how in ("left", "left_anti"):
         join_key = F.coalesce(join_key, F.concat(F.lit("\u0000"), F.col(row_id).cast("string")))
     return left.withColumn("_key", join_key).join(right, "_key", how).drop("_key")

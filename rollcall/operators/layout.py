@@ -7,11 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.functions.cpf import cpf_digits
+from rollcall.functions.cpf import person_cpf
 from rollcall.functions.text import full_address, phone
-from rollcall.operators.keys import first_per_key, join_per_key
+from rollcall.operators.keys import cut_to, first_per_key, join_per_key, join_written, wanted_keys
 from rollcall.operators.registry import latest_first, latest_with_cpf
 from rollcall.schema import ACTIVE_SITUATIONS, INCOME_CUT
+from rollcall.workdir import settle
 
 REFERENCE_PERSON = 1
 
@@ -25,12 +26,14 @@ def enrich_matched(
     """Matched students with the personal and family data of their registry row.
 
     Adds ``cad_cpf`` and the given columns with the prefix ``cad_``; students without a
-    match stay, with nulls.
+    match stay, with nulls. ``matched`` is written, and only registry rows that it has are joined.
     """
+    matched = settle(matched, "matched")
     person = registry.select(
         F.col("row_id").alias("_row"), F.col("cpf_std").alias("cad_cpf"), *[F.col(c).alias(f"cad_{c}") for c in columns]
     )
-    return join_per_key(matched.withColumn("_row", F.col("cad_row_id")), person, "_row", "left", "matricula").drop("_row")
+    person = cut_to(person, wanted_keys(matched.filter("cad_row_id is not null").select(F.col("cad_row_id").alias("_row")), "_row"), "_row")
+    return join_written(matched.withColumn("_row", F.col("cad_row_id")), person, "_row", "left", "matricula").drop("_row")
 
 
 def family_heads(registry: DataFrame, code: int = REFERENCE_PERSON) -> DataFrame:
@@ -93,8 +96,8 @@ def with_manual_rows(kept: DataFrame, mapped: DataFrame, registry: DataFrame) ->
     A manual id stands for its newest registry row; where the registry has none, the row that
     the match found stays. The registry is cut to the manual ids before any of its rows is ranked.
     """
-    manual = mapped.filter("origem = 'MANUAL'").select("matricula", F.col("cpf").alias("manual_cpf"), cpf_digits(F.col("cpf")).alias("cpf_std"))
-    known = registry.join(manual.select("cpf_std").distinct(), "cpf_std", "left_semi").select("cpf_std", "row_id", "dat_atual_fam")
+    manual = mapped.filter("origem = 'MANUAL'").select("matricula", F.col("cpf").alias("manual_cpf"), person_cpf(F.col("cpf")).alias("cpf_std"))
+    known = cut_to(registry.select("cpf_std", "row_id", "dat_atual_fam"), wanted_keys(manual, "cpf_std"), "cpf_std")
     found = join_per_key(manual, latest_with_cpf(known).select("cpf_std", "row_id"), "cpf_std", "left", "matricula")
     both = kept.select("matricula", "cad_row_id").join(found.select("matricula", "manual_cpf", "row_id"), "matricula", "full")
     return both.select("matricula", F.coalesce("row_id", "cad_row_id").alias("cad_row_id"), "manual_cpf")
@@ -109,16 +112,17 @@ def beneficiary_layout(
 ) -> DataFrame:
     """The final layout: one row per matched student within the income cut.
 
-    The registry is cut to the matched rows before families are looked up, each once, and
-    only then spread over the students. ``matched`` is read twice, so pass a table (see
+    The registry is cut to the matched rows, and for the responsible to these rows' families;
+    both are only then spread over the students. ``matched`` is read twice, so pass a table (see
     ``workdir.settle``). With a column ``manual_cpf`` such an id is the student's own. No
     source for an e-mail is known, that column is null.
     """
     if "manual_cpf" not in matched.columns:
         matched = matched.withColumn("manual_cpf", F.lit(None).cast("string"))
     wanted = matched.filter("cad_row_id is not null").select(F.col("cad_row_id").alias("row_id"))
-    person = registry.filter(F.col("renda_media") <= cut).join(wanted.distinct(), "row_id", "left_semi")
-    person = with_responsible(person, registry).withColumnRenamed("row_id", "cad_row_id").drop("cpf")
+    person = settle(cut_to(registry.filter(F.col("renda_media") <= cut), wanted_keys(wanted, "row_id"), "row_id"), "person")
+    families = cut_to(registry, wanted_keys(person, "cod_fam"), "cod_fam")
+    person = with_responsible(person, families).withColumnRenamed("row_id", "cad_row_id").drop("cpf")
     rows = matched.select("matricula", "cad_row_id", "manual_cpf").join(person, "cad_row_id")
     rows = fix_municipality(rows, enrolments, schools)
     return rows.select(

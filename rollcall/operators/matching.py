@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from rollcall.functions.text import normalise_name, squeeze_name
 from rollcall.operators.columns import STANDARD_CPF, ensure_standard_cpf, keep_existing, suffix_collisions
-from rollcall.operators.keys import first_per_key, join_per_key, newest_row_ids
+from rollcall.operators.keys import cut_to, first_per_key, join_per_key, join_written, newest_row_ids, wanted_keys
 from rollcall.operators.registry import latest_with_cpf
+from rollcall.workdir import settle
 
 # Columns a minimal merge keeps, where present.
 STUDENT_MERGE_COLUMNS = (STANDARD_CPF, "nm_aluno", "idt_estab", "cpf")
@@ -44,8 +45,10 @@ def merge_newest(
     """Each student with the newest registry row of the same ``cpf_std``, one row per student.
 
     A hot id cannot multiply: the registry has one row for it, and AQE splits its students.
+    Registry rows of other ids are left out before any is ranked.
     """
-    left, right = suffix_collisions(students, latest_with_cpf(registry), ["cpf_std"], suffixes)
+    known = cut_to(registry, wanted_keys(students, "cpf_std"), "cpf_std")
+    left, right = suffix_collisions(students, latest_with_cpf(known), ["cpf_std"], suffixes)
     return join_per_key(left, right, "cpf_std", "inner", "matricula")
 
 
@@ -71,7 +74,9 @@ def unique_persons(students: DataFrame, registry: DataFrame) -> DataFrame:
 
     The first row of each side is chosen before the join. That gives the first row of the
     full merge in (registry order, enrolment order) without producing its other rows.
+    Registry rows of ids that no student has are left out before any is ranked.
     """
+    registry = cut_to(registry, wanted_keys(students, "cpf_std"), "cpf_std")
     person = first_per_key(students, F.col("cpf_std"), [F.asc("matricula")])
     left, right = suffix_collisions(person, latest_with_cpf(registry), ["cpf_std"], ("_ALUNO", "_CADUNICO"))
     return left.join(right, "cpf_std")
@@ -136,8 +141,6 @@ def invalid_cpf_counts(students: DataFrame, registry: DataFrame, shown: int = 80
 # Match rules in order: name -> (student columns, registry columns). Text is compared as a
 # normalised name, except for columns that are standardised already.
 STANDARDISED = ("cpf_std",)
-# Ids that stand for no person: only zeros, or one digit eleven times. They match nobody.
-NO_ID = r"^(0+|([0-9])\2{10})$"
 MATCH_RULES: dict[str, tuple[Sequence[str], Sequence[str]]] = {
     "cpf": (["cpf_std"], ["cpf_std"]),
     "nome_mae": (["nm_aluno", "nm_mae"], ["nome", "nome_mae"]),
@@ -160,8 +163,6 @@ def with_rule_keys(df: DataFrame, rules: Mapping[str, Sequence[str]]) -> DataFra
             text = F.unix_date(column).cast("string")
         elif types[column] == "string" and column not in STANDARDISED:
             text = squeeze_name(F.col(column))
-        elif column in STANDARDISED:
-            text = F.when(~F.col(column).cast("string").rlike(NO_ID), F.col(column).cast("string"))
         else:
             text = F.col(column).cast("string")
         return F.coalesce(text, F.lit(""))
@@ -178,6 +179,31 @@ def with_rule_keys(df: DataFrame, rules: Mapping[str, Sequence[str]]) -> DataFra
     return keyed.drop(*[f"_parte_{c}" for c in used])
 
 
+def rule_rows(df: DataFrame, rules: Mapping[str, Sequence[str]], *columns: str) -> DataFrame:
+    """``columns`` and ``_chave`` (place of the rule and its key) for each rule that a row has a key for."""
+    keyed = with_rule_keys(df, rules)
+    keys = [F.when(F.col(f"_chave_{name}") != "", rule_key(i, name)) for i, name in enumerate(rules)]
+    return keyed.select(*columns, F.explode(F.array_compact(F.array(*keys))).alias("_chave"))
+
+
+def rule_key(place: int, rule: str) -> Column:
+    return F.concat(F.lit(f"{place}\u0001"), F.col(f"_chave_{rule}"))
+
+
+def newest_by_rule(
+    students: DataFrame, registry: DataFrame, rules: Mapping[str, tuple[Sequence[str], Sequence[str]]]
+) -> DataFrame:
+    """``_chave`` and ``_row_id`` of the newest registry row per rule and key that a student has; a written table.
+
+    The registry is scanned once for all rules. Its rows become one row per rule, and of these
+    only those with a key of a student go on to be grouped.
+    """
+    wanted = wanted_keys(rule_rows(students, {n: own for n, (own, _) in rules.items()}), "_chave")
+    people = rule_rows(registry, {n: theirs for n, (_, theirs) in rules.items()}, "row_id", "dat_atual_fam")
+    best = newest_row_ids(cut_to(people, wanted, "_chave"), "_chave", "dat_atual_fam", "row_id")
+    return settle(best.withColumnRenamed("row_id", "_row_id"), "matches")
+
+
 def match_waterfall(
     students: DataFrame,
     registry: DataFrame,
@@ -188,20 +214,18 @@ def match_waterfall(
     Adds ``regra`` and ``cad_row_id``, null when no rule matches. Per rule the registry
     gives its newest row per key, so a student matches at most once; a student matched by
     an earlier rule, or without the rule's columns, has a null key. One chain of left joins
-    with nothing but row ids on the registry side; ``layout.enrich_matched`` adds columns of
-    the matched rows.
+    with the few matched keys and row ids (``newest_by_rule``); ``layout.enrich_matched``
+    adds columns of the matched rows.
     """
-    names = list(rules)
-    keyed = with_rule_keys(students, {n: rules[n][0] for n in names})
-    people = with_rule_keys(registry, {n: rules[n][1] for n in names})
+    best = newest_by_rule(students, registry, rules)
+    keyed = with_rule_keys(students, {n: own for n, (own, _) in rules.items()})
     result = keyed.withColumns({"regra": F.lit(None).cast("string"), "cad_row_id": F.lit(None).cast("bigint")})
-    for name in names:
+    for place, name in enumerate(rules):
         key = f"_chave_{name}"
-        best = newest_row_ids(people, key, "dat_atual_fam", "row_id").withColumnRenamed("row_id", "_row_id")
         is_open = F.col("regra").isNull() & (F.col(key) != "")
-        result = join_per_key(
-            result.withColumn(key, F.when(is_open, F.col(key))), best, key, "left", "matricula"
-        )
+        found = best.filter(F.col("_chave").startswith(f"{place}\u0001"))
+        waiting = result.withColumn("_chave", F.when(is_open, rule_key(place, name)))
+        result = join_written(waiting, found, "_chave", "left", "matricula").drop("_chave")
         rule = F.when(F.col("_row_id").isNotNull(), F.lit(name)).otherwise(F.col("regra"))
         result = result.withColumns({"regra": rule, "cad_row_id": F.coalesce("cad_row_id", "_row_id")}).drop("_row_id", key)
     return result
@@ -209,7 +233,7 @@ def match_waterfall(
 
 def unmatched(students: DataFrame, registry: DataFrame) -> DataFrame:
     """Students whose id is not in the registry, including those without one."""
-    known = registry.select("cpf_std").filter("cpf_std is not null").distinct()
+    known = cut_to(registry.select("cpf_std"), wanted_keys(students, "cpf_std"), "cpf_std").distinct()
     return join_per_key(students, known, "cpf_std", "left_anti", "matricula")
 
 
@@ -218,17 +242,18 @@ def cpf_conflicts(students: DataFrame, registry: DataFrame) -> DataFrame:
 
     ``manter`` says whether the student's name is the one the registry has for the id.
     """
-    names = (
+    shared = settle(
         students.filter(F.col("cpf_std").isNotNull())
         .select("cpf_std", normalise_name(F.col("nm_aluno")).alias("nome_norm"))
         .groupBy("cpf_std")
         .agg(F.countDistinct("nome_norm").alias("nomes"))
         .filter("nomes > 1")
-        .select("cpf_std")
+        .select("cpf_std"),
+        "shared",
     )
-    person = latest_with_cpf(registry).select("cpf_std", F.col("nome").alias("nome_cad"))
-    shared = names.join(person, "cpf_std")
-    rows = join_per_key(students, shared, "cpf_std", "inner", "matricula")
+    known = cut_to(registry.select("cpf_std", "nome", "dat_atual_fam", "row_id"), wanted_keys(shared, "cpf_std"), "cpf_std")
+    person = shared.join(latest_with_cpf(known).select("cpf_std", F.col("nome").alias("nome_cad")), "cpf_std")
+    rows = join_per_key(students, person, "cpf_std", "inner", "matricula")
     same = normalise_name(F.col("nm_aluno")) == normalise_name(F.col("nome_cad"))
     return rows.withColumn("manter", F.coalesce(same, F.lit(False)))
 
@@ -236,20 +261,20 @@ def cpf_conflicts(students: DataFrame, registry: DataFrame) -> DataFrame:
 def eligibility_funnel(matched: DataFrame, registry: DataFrame, cut: float) -> DataFrame:
     """Students read, mapped, unmapped, within the income cut and removed by it.
 
-    Students are counted per registry row first, so ``matched`` is computed once and a
-    registry row that many students match is one row in the join.
+    Students are counted per registry row first; the counts are a written table, so
+    ``matched`` is computed once, and only registry rows with a student are looked up.
     """
-    per_row = matched.groupBy("cad_row_id").agg(F.count(F.lit(1)).alias("alunos"))
+    per_row = settle(matched.groupBy("cad_row_id").agg(F.count(F.lit(1)).alias("alunos")), "per-row")
     income = registry.select(F.col("row_id").alias("cad_row_id"), F.col("renda_media").alias("_renda"))
+    within = cut_to(income, wanted_keys(per_row, "cad_row_id"), "cad_row_id").filter(F.col("_renda") <= cut)
 
     def total(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, F.col("alunos"))), F.lit(0)).cast("bigint")
 
-    mapped, within = F.col("cad_row_id").isNotNull(), F.col("_renda") <= cut
-    return per_row.join(income, "cad_row_id", "left").agg(
+    mapped = F.col("cad_row_id").isNotNull()
+    eligible = per_row.join(within, "cad_row_id").agg(total(F.lit(True))).scalar()
+    return per_row.agg(
         total(F.lit(True)).alias("lidos"),
         total(mapped).alias("mapeados"),
         total(~mapped).alias("nao_mapeados"),
-        total(within).alias("elegiveis"),
-        total(mapped & ~F.coalesce(within, F.lit(False))).alias("removidos"),
-    )
+    ).select("*", eligible.alias("elegiveis"), (F.col("mapeados") - eligible).alias("removidos"))

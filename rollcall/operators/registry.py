@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.functions.cpf import cpf_digits
+from rollcall.functions.cpf import person_cpf
 from rollcall.operators.keys import first_per_key
 from rollcall.schema import INCOME_CUT
 
@@ -19,8 +19,8 @@ def latest_first() -> list[Column]:
 
 
 def with_standard_cpf(df: DataFrame, source: str = "cpf") -> DataFrame:
-    """``cpf_std``: digits only, null when there are none."""
-    return df.withColumn("cpf_std", cpf_digits(F.col(source)))
+    """``cpf_std``: digits only, null when there are none or the id stands for no person."""
+    return df.withColumn("cpf_std", person_cpf(F.col(source)))
 
 
 def income_filter(registry: DataFrame, cut: float = INCOME_CUT, column: str = "renda_media") -> DataFrame:

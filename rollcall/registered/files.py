@@ -15,7 +15,7 @@ from rollcall.plans.beneficiaries import run_beneficiaries
 from rollcall.plans.monthly import run_month
 from rollcall.registered.matching import ADDRESS, CONFLICTS, HEADS, LOCATED, PERSON, eligible_registry
 from rollcall.registered.matching import SQL as MATCHING_SQL
-from rollcall.registered.sql import LATEST, RG, ST, WATERFALL, ctes, money, std
+from rollcall.registered.sql import LATEST, RG, ST, WATERFALL, ctes, money, person
 from rollcall.registered.students import SQL as STUDENT_SQL
 from rollcall.schema import COLUMN_DICTIONARY, DELIMITERS, REGISTRY_DEFAULT_COLUMNS, REGISTRY_RENAMES, REGISTRY_SCAN_COLUMNS
 from rollcall.sinks import files as sink
@@ -331,15 +331,15 @@ QUERIES = {
 
 SCANNED = [(c, REGISTRY_RENAMES.get(c, c)) for c in REGISTRY_SCAN_COLUMNS]
 SCAN_SQL = with_views(
-    "registry", _read_sql(SCANNED).replace(" from registry", f', {std()} as "CPF_PADRONIZADO" from registry'))
+    "registry", _read_sql(SCANNED).replace(" from registry", f', {person()} as "CPF_PADRONIZADO" from registry'))
 NUMBERED = ", ".join(f"struct_pack(posicao := {i}, coluna := '{c}', valor := nullif({e}, ''))" for i, (c, e) in enumerate(RAW.items(), 1))
 DETAIL = f"detail as ({TRAILER_LINES.replace('{orders}', 'orders')}), trailer as ({TRAILERS})"
 
 
 MONTH = ctes(
     f"ids as ({STUDENT_SQL['eligible_students']})",
-    f"st as (select matricula, nm_aluno, cpf, {std()} as cpf_std from student where matricula in (select matricula from ids))",
-    f"er as (select *, {std()} as cpf_std from registry where renda_media<=660)",
+    f"st as (select matricula, nm_aluno, cpf, {person()} as cpf_std from student where matricula in (select matricula from ids))",
+    f"er as (select *, {person()} as cpf_std from registry where renda_media<=660)",
 )
 MONTH_VIEWS = "enrolment school_class school_calendar school student registry"
 METRICS_BODY = """select (select count(*) from st) as alunos_total, (select count(cpf_std) from st) as alunos_com_cpf,
@@ -353,13 +353,13 @@ BENEFICIARY_SQL = {
     "removidas_cpf_duplicado": "select * from gone",
     "acumulada": "select * from acc",
     "inativos": "select * from previous_accumulated where matricula not in (select matricula from mapped)",
-    "cpfs_unicos_mapeados": "select distinct cpf from mapped where cpf is not null",
-    "cpfs_unicos_acumulada": "select distinct cpf from acc where cpf is not null",
+    "cpfs_unicos_mapeados": f"select distinct {person()} as p from mapped where p is not null",
+    "cpfs_unicos_acumulada": f"select distinct {person()} as p from acc where p is not null",
     "funil": "select 1",
     "layout": "select * from wanted join rg on rg.row_id=wanted.cad_row_id and rg.renda_media<=660",
 }
 ELIGIBLE_ST = f"""ids as ({STUDENT_SQL['eligible_students']}),
-  st as (select *, {std()} as cpf_std from student where matricula in (select matricula from ids))"""
+  st as (select *, {person()} as cpf_std from student where matricula in (select matricula from ids))"""
 BENEFICIARY_CTES = ctes(ELIGIBLE_ST, RG, WATERFALL, LATEST, CONFLICTS, f"""
   gone as (select matricula from cf where nm_aluno<>nome_cad),
   kept as (select * from wf where matricula not in (select matricula from gone)),
@@ -368,10 +368,10 @@ BENEFICIARY_CTES = ctes(ELIGIBLE_ST, RG, WATERFALL, LATEST, CONFLICTS, f"""
       select matricula, cad_cpf as cpf, 'AUTOMATICO' as origem from kept where cad_cpf is not null
       union all select matricula, cpf, 'MANUAL' from manual_roster)) where rn=1),
   acc as (select matricula, cpf, mesano from (
-    select *, row_number() over (partition by matricula order by mesano desc, cpf) as rn
+    select *, row_number() over (partition by matricula order by {person()} is null, mesano desc, cpf) as rn
     from (select * from previous_accumulated union all select matricula, cpf, mesano from mapped)) where rn=1),
   manual as (select m.matricula, m.cpf as manual_cpf, latest.row_id from mapped m
-    left join latest on latest.cpf_std = {std("m.cpf")} where origem = 'MANUAL'),
+    left join latest on latest.cpf_std = {person("m.cpf")} where origem = 'MANUAL'),
   wanted as (select matricula, coalesce(manual.row_id, kept.cad_row_id) as cad_row_id, manual_cpf
     from kept full join manual using (matricula))""")
 RUN_LAYOUT = f"""select wanted.matricula as "MATRICULA", coalesce(manual_cpf, rg.cpf_std, heads.cpf_resp) as "COD_CPF", rg.nome as "NOME_BENEFICIARIO",
@@ -398,7 +398,7 @@ SQL = {
     "registry_read_version": with_views(
         "registry",
         _read_sql([(COLUMN_DICTIONARY[a], a) for a in REGISTRY_DEFAULT_COLUMNS]).replace(" from registry", " from one"),
-        f"""one as (select * from (select *, {std()} as cpf_std, row_number() over (partition by {std()}
+        f"""one as (select * from (select *, {person()} as cpf_std, row_number() over (partition by {person()}
           order by dat_atual_fam desc, nis) as rn from registry) where cpf_std is null or rn=1)"""),
     "registry_read_all_rows": with_views("registry", _read_sql(
         [(COLUMN_DICTIONARY[a], a) for a in ("COD_NIS", "COD_CPF", "BAIRRO")])),

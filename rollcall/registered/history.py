@@ -8,7 +8,7 @@ from rollcall.fixtures import view, views, with_views
 from rollcall.operators import history as his
 from rollcall.operators import reconcile as rec
 from rollcall.registered.matching import mapped_cpf
-from rollcall.registered.sql import RG, ST, WATERFALL, ctes
+from rollcall.registered.sql import RG, ST, WATERFALL, ctes, person
 
 COMPARED = ["cpf", "origem_cpf"]
 
@@ -62,7 +62,7 @@ QUERIES = {
 
 DIGITS = "nullif(regexp_replace(cpf, '[^0-9]', '', 'g'), '')"
 ACCUMULATED = f"""acc as (select * from (select *, row_number() over (partition by matricula
-    order by {DIGITS} is null, mesano desc, cpf) as rn
+    order by {person()} is null, mesano desc, cpf) as rn
   from (select * from previous_accumulated union all select * from current_active)) where rn=1)"""
 COMPARISON = """cmp as (select coalesce(a.matricula, b.matricula) as matricula,
     case when b.matricula is null then 'only_a' when a.matricula is null then 'only_b'
@@ -73,8 +73,8 @@ COMPARISON = """cmp as (select coalesce(a.matricula, b.matricula) as matricula,
 
 
 def _unique(source: str) -> str:
-    return f"""select matricula, cpf, mesano from (select *, row_number() over (partition by {DIGITS} order by mesano desc, matricula) as k
-      from {source} where {DIGITS} is not null) where k=1"""
+    return f"""select matricula, cpf, mesano from (select *, row_number() over (partition by {person()} order by mesano desc, matricula) as k
+      from {source} where {person()} is not null) where k=1"""
 
 
 SQL = {

@@ -11,7 +11,7 @@ from rollcall.functions.text import normalise_name
 from rollcall.operators import layout, matching
 from rollcall.operators import registry as reg
 from rollcall.operators.columns import ensure_standard_cpf
-from rollcall.registered.sql import LATEST, RG, ST, WATERFALL, ctes, std
+from rollcall.registered.sql import LATEST, RG, ST, WATERFALL, ctes, person, std
 from rollcall.schema import INCOME_CUT
 from rollcall.workdir import settle
 
@@ -336,7 +336,7 @@ SQL = {
           rg.renda_media as "RENDA_MEDIA_FAM", rg.cep as "CEP" from st join rg on st.cpf_std=rg.cpf_std""", BOTH),
     "ensure_cpf": with_views(
         "registry",
-        f"""select row_id, cpf as "Num_Cpf_Titular", {std()} as "CPF_PADRONIZADO" from registry"""),
+        f"""select row_id, cpf as "Num_Cpf_Titular", {person()} as "CPF_PADRONIZADO" from registry"""),
     "matricula_merge": with_views(
         "student registry",
         """select s.matricula as nro_int_aluno_estado, r.row_id, r.renda_media

@@ -11,15 +11,22 @@ def money(cents: str) -> str:
     return f"concat(cast(cast(floor({cents}/100) as bigint) as string),'.',lpad(cast({cents}%100 as string),2,'0'))"
 
 
-ST = f"st as (select *, {std()} as cpf_std from student)"
-RG = f"rg as (select *, {std()} as cpf_std from registry)"
+# one digit eleven times, or only zeros: an id that stands for no person
+REPEATED = ", ".join(f"'{str(d) * 11}'" for d in range(10))
+
+
+def person(column: str = "cpf") -> str:
+    digits = std(column)
+    return f"(case when not regexp_full_match({digits}, '0+') and {digits} not in ({REPEATED}) then {digits} end)"
+
+
+ST = f"st as (select *, {person()} as cpf_std from student)"
+RG = f"rg as (select *, {person()} as cpf_std from registry)"
 NEWEST = "order by dat_atual_fam desc, row_id"
 LATEST = f"""latest as (select * from (select *, row_number() over (partition by cpf_std {NEWEST}) as rn from rg)
   where cpf_std is not null and rn=1)"""
-# one digit eleven times: an id that stands for no person
-REPEATED = ", ".join(f"'{str(d) * 11}'" for d in range(10))
 WATERFALL = f"""
-k1 as (select cpf_std, row_id from rg where cpf_std is not null and not regexp_full_match(cpf_std, '0+') and cpf_std not in ({REPEATED})
+k1 as (select cpf_std, row_id from rg where cpf_std is not null
   qualify row_number() over (partition by cpf_std {NEWEST})=1),
 k2 as (select nome, nome_mae, row_id, cpf_std from rg qualify row_number() over (partition by nome, nome_mae {NEWEST})=1),
 k3 as (select nome, dta_nasc, row_id, cpf_std from rg qualify row_number() over (partition by nome, dta_nasc {NEWEST})=1),

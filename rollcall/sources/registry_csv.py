@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollcall.functions.cpf import cpf_digits
+from rollcall.functions.cpf import person_cpf
 from rollcall.functions.period import iso_date
 from rollcall.functions.text import latin1_to_cp1252
 from rollcall.operators.columns import STANDARD_CPF, quoted, rename_columns, select_aliases
@@ -58,7 +58,7 @@ def scan_registry(
         raise ValueError(f"registry file lacks columns {missing}")
     df = rename_columns(raw.select(*[quoted(c) for c in columns]), renames)
     cpf = renames.get(CPF_COLUMN, CPF_COLUMN)
-    return df.withColumn(STANDARD_CPF, cpf_digits(quoted(cpf))) if cpf in df.columns else df
+    return df.withColumn(STANDARD_CPF, person_cpf(quoted(cpf))) if cpf in df.columns else df
 
 
 def read_registry_version(
@@ -78,7 +78,7 @@ def read_registry_version(
     if not keep_duplicates:
         keyed = raw.select(
             "*",
-            cpf_digits(quoted(CPF_COLUMN)).alias("_cpf"),
+            person_cpf(quoted(CPF_COLUMN)).alias("_cpf"),
             F.xxhash64(*[quoted(c) for c in raw.columns]).alias("_hash"),
         )
         newest = iso_date(quoted(UPDATED_COLUMN)).desc_nulls_last()
@@ -138,7 +138,7 @@ def typed_registry(raw: DataFrame, row_id: Column | None = None) -> DataFrame:
     return raw.select(
         (F.monotonically_increasing_id() if row_id is None else row_id).alias("row_id"),
         *[quoted(source).alias(name) for name, source in text.items() if source in raw.columns],
-        cpf_digits(quoted(CPF_COLUMN)).alias("cpf_std"),
+        person_cpf(quoted(CPF_COLUMN)).alias("cpf_std"),
         iso_date(quoted("p.dta_nasc_pessoa")).alias("dta_nasc"),
         quoted("p.cod_parentesco_rf_pessoa").try_cast("int").alias("cod_parentesco"),
         quoted("d.vlr_renda_media_fam").try_cast("double").alias("renda_media"),
