@@ -44,8 +44,8 @@ from rollcall.workdir import discard, settle
 
 CLASSES = 64
 FREQUENT = 16
-ROUNDS = 3
-SLICE_BYTES = 16 << 20
+ROUNDS = 2
+SLICE_BYTES = 12 << 20
 PART_BYTES = 2 << 20
 PRIOR = 0.1
 SMOOTHING = 4.0
@@ -124,6 +124,15 @@ def encoded(docs: DataFrame) -> DataFrame:
     return settle(docs.select(doc_id.alias("doc_id"), out.alias("held"), F.col("text").cast("string").alias("text")).mapInArrow(run, SLICES), "slices")
 
 
+def _counted(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, rising, and how often each is there; in a table where that is not much larger than the keys."""
+    if most > 4 * len(keys):
+        return np.unique(keys, return_counts=True)
+    table = np.bincount(keys, minlength=1)
+    seen = np.flatnonzero(table)
+    return seen, table[seen]
+
+
 class Slice:
     """A slice with the classes of those of its words that have one."""
 
@@ -145,13 +154,16 @@ class Slice:
         A further row without a word has the counts of class pairs.
         """
         tokens = self.tokens[np.repeat(~self.held, self.sizes)]
-        here = self.classes[tokens]
-        before = np.concatenate([[END], here[:-1]])
-        pairs = np.bincount(before * n_classes + here, minlength=1)
+        here = self.classes.astype(np.int32)[tokens]
+        before = np.concatenate([np.array([END], np.int32), here[:-1]])
+        pairs = np.bincount(before * np.int32(n_classes) + here, minlength=1)
         chosen = np.flatnonzero((here != END) & (self.known[tokens] == frequent))
-        base = tokens[chosen].astype(np.int64) * (2 * n_classes)
-        keys, times = np.unique(np.concatenate([base + here[chosen + 1], base + n_classes + before[chosen]]), return_counts=True)
-        word, code = keys // (2 * n_classes), keys % (2 * n_classes)
+        wanted = np.flatnonzero((self.known == frequent) & (self.words != END_HASH))
+        number = np.zeros(len(self.words), np.int64)
+        number[wanted] = np.arange(len(wanted)) * (2 * n_classes)
+        base = number[tokens[chosen]]
+        keys, times = _counted(np.concatenate([base + here[chosen + 1], base + n_classes + before[chosen]]), len(wanted) * 2 * n_classes)
+        word, code = wanted[keys // (2 * n_classes)], keys % (2 * n_classes)
         starts = np.flatnonzero(np.diff(word, prepend=-1))
         seen = np.flatnonzero(pairs)
         offsets = pa.array(np.concatenate([starts, [len(word)], [len(word) + len(seen)]]).astype(np.int32))
@@ -168,11 +180,15 @@ def grouped(slices: DataFrame, classed: DataFrame, function, schema: str) -> Dat
     return slices.groupBy("slice").cogroup(renamed.groupBy("of_slice")).applyInArrow(lambda left, right: function(left, right), schema)
 
 
-def matrix(contexts: DataFrame, n_classes: int) -> np.ndarray:
-    """Counts of class pairs from the rows without a word."""
-    pairs = contexts.filter("word is null").select(F.explode(F.arrays_zip("codes", "times")).alias("p"))
+def entries(contexts: DataFrame) -> DataFrame:
+    """One row per word, code and slice."""
+    return contexts.select("word", F.explode(F.arrays_zip(F.col("codes").alias("code"), F.col("times").alias("times"))).alias("p")).select("word", "p.*")
+
+
+def matrix(counted: DataFrame, n_classes: int) -> np.ndarray:
+    """Counts of class pairs from rows with ``code`` and ``times``."""
     found = np.zeros(n_classes * n_classes)
-    for code, n in pairs.groupBy("p.codes").agg(F.sum("p.times")).collect():
+    for code, n in counted.groupBy("code").agg(F.sum("times")).collect():
         found[code] = n
     return found.reshape(n_classes, n_classes)
 
@@ -232,20 +248,18 @@ def learnt(slices: DataFrame, places: DataFrame, vocabulary: DataFrame, n_classe
 
     def around(wanted: bool) -> DataFrame:
         classed = known.join(classes, "word").select("slice", "at", "class")
-        return settle(grouped(tokens, classed, lambda left, right: Slice(left, right).contexts(total, wanted), CONTEXTS), "contexts")
+        return grouped(tokens, classed, lambda left, right: Slice(left, right).contexts(total, wanted), CONTEXTS)
 
     for _ in range(rounds):
-        contexts = around(True)
-        each = contexts.filter("word is not null").select("word", F.explode(F.arrays_zip("codes", "times")).alias("p"))
-        summed = each.groupBy("word", F.col("p.codes").alias("code")).agg(F.sum("p.times").alias("times"))
-        gathered = summed.groupBy("word").agg(F.collect_list(entry).alias("contexts"))
-        classes = settle(moved(gathered.join(classes, "word"), matrix(contexts, total)), "classes")
-        discard(contexts)
-    contexts = around(False)
+        summed = settle(entries(around(True)).groupBy("word", "code").agg(F.sum("times").alias("times")), "contexts")
+        gathered = summed.filter("word is not null").groupBy("word").agg(F.collect_list(entry).alias("contexts"))
+        classes = settle(moved(gathered.join(classes, "word"), matrix(summed.filter("word is null"), total)), "classes")
+        discard(summed)
+    contexts = settle(around(False), "contexts")
     each = F.arrays_zip(F.col("codes").alias("code"), F.col("times").alias("times"))
     gathered = contexts.filter("word is not null").groupBy("word").agg(F.flatten(F.collect_list(each)).alias("contexts"))
     rare = gathered.withColumn("n", F.aggregate(F.filter("contexts", lambda c: c["code"] < total), F.lit(0).cast("long"), lambda s, c: s + c["times"]))
-    every = settle(classes.unionByName(moved(rare.withColumn("class", F.lit(OTHER)), matrix(contexts, total))), "classes")
+    every = settle(classes.unionByName(moved(rare.withColumn("class", F.lit(OTHER)), matrix(entries(contexts.filter("word is null")), total))), "classes")
     discard(contexts)
     discard(known)
     return every
