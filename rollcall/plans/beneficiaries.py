@@ -15,6 +15,7 @@ from rollcall.operators.registry import with_standard_cpf
 from rollcall.operators.students import eligible_students
 from rollcall.schema import INCOME_CUT
 from rollcall.sinks.files import write_csv, write_parquet
+from rollcall.sinks.publish import publish
 from rollcall.workdir import settle
 
 
@@ -70,3 +71,12 @@ def run_beneficiaries(
     layout = beneficiary_layout(rows, registry, tables["enrolment"], tables["school"], cut)
     paths["layout"] = write_csv(layout, f"{out}/{period}/layout", bom=True)
     return paths
+
+
+def publish_beneficiaries(
+    spark: SparkSession, tables: Mapping[str, DataFrame], period: str, out: str, cut: float = INCOME_CUT
+) -> dict[str, str]:
+    """``run_beneficiaries`` into a folder of its own, published as a whole."""
+    paths: dict[str, str] = {}
+    publish(spark, out, period, lambda folder: paths.update(run_beneficiaries(spark, tables, period, folder, cut)))
+    return paths

@@ -21,6 +21,7 @@ from rollcall.operators.registry import income_filter, with_standard_cpf
 from rollcall.operators.students import eligible_students
 from rollcall.schema import INCOME_CUT
 from rollcall.sinks.files import write_csv, write_period
+from rollcall.sinks.publish import publish, published_folder
 from rollcall.workdir import settle
 
 
@@ -65,3 +66,15 @@ def run_month(
     write_csv(invalid_cpf_rows(registry), f"{out}/cpf_invalidos/{period}", bom=True)
     write_period(stamped(metrics), f"{out}/metricas", period=period)
     return spark.read.parquet(f"{out}/metricas").filter(F.col("mesano") == period)
+
+
+def publish_month(spark: SparkSession, tables: Mapping[str, DataFrame], period: str, out: str, **options) -> dict[str, str]:
+    """``run_month`` into a folder of its own, published as a whole; the published outputs by name.
+
+    Until the last output is written, and if the run dies, readers of the period keep what
+    was published before (``publish.published_folder``).
+    """
+    publish(spark, out, period, lambda folder: run_month(spark, tables, period, folder, **options))
+    folder = published_folder(spark, out, period)
+    paths = {name: f"{folder}/{name}" for name in ("matriculas", "pessoas_unicas", "nao_mapeados", "metricas")}
+    return paths | {"cpf_invalidos": f"{folder}/cpf_invalidos/{period}"}

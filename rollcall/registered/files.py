@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rollcall.fixtures import PERIOD, view, with_views
 from rollcall.operators import columns as col
-from rollcall.operators.history import union_versions
+from rollcall.operators.history import accumulate, union_versions
 from rollcall.plans.beneficiaries import run_beneficiaries
 from rollcall.plans.monthly import run_month
 from rollcall.registered.matching import ADDRESS, CONFLICTS, HEADS, LOCATED, PERSON, eligible_registry
@@ -19,6 +19,7 @@ from rollcall.registered.sql import LATEST, RG, ST, WATERFALL, ctes, money, pers
 from rollcall.registered.students import SQL as STUDENT_SQL
 from rollcall.schema import COLUMN_DICTIONARY, DELIMITERS, REGISTRY_DEFAULT_COLUMNS, REGISTRY_RENAMES, REGISTRY_SCAN_COLUMNS
 from rollcall.sinks import files as sink
+from rollcall.sinks import publish as publishing
 from rollcall.sources import files as src
 from rollcall.sources import registry_csv
 from rollcall.sources.roster import manual_roster_rejects, read_manual_roster
@@ -221,15 +222,50 @@ def outputs_by_period(spark, d):
     path = fresh_path(spark, "outputs")
     for name in ("previous_accumulated", "current_active"):
         sink.write_period(view(spark, d, name), path)
-    # A rerun of one period leaves the other as it is.
-    sink.write_period(view(spark, d, "current_active").filter("matricula % 2 = 1"), path)
+    # A rerun of one period replaces its rows and leaves the other as it is.
+    sink.write_period(view(spark, d, "current_active").withColumn("cpf", F.reverse("cpf")), path)
+    in_period = F.col("_metadata.file_path").contains(F.concat(F.lit("mesano="), F.col("mesano").cast("string")))
+    return spark.read.parquet(path).select("matricula", "cpf", F.col("mesano").cast("string").alias("mesano"), in_period.cast("int").alias("no_periodo"))
+
+
+def outputs_listed(spark, d):
+    path = fresh_path(spark, "outputs")
+    for name in ("previous_accumulated", "current_active"):
+        sink.write_period(view(spark, d, name), path)
     listed = [
-        sink.outputs_of_period(spark, path, p).agg(
-            F.sum("linhas").alias("linhas"), F.max(F.col("arquivo").contains(f"mesano={p}").cast("int")).alias("no_periodo")
-        ).withColumn("mesano", F.lit(p))
-        for p in ("202506", "202507")
+        sink.outputs_of_period(spark, path, p).agg(F.sum("linhas").alias("linhas")).withColumn("mesano", F.lit(p)) for p in ("202506", "202507")
     ]
-    return listed[0].unionByName(listed[1]).select("mesano", "linhas", "no_periodo")
+    return listed[0].unionByName(listed[1]).select("mesano", "linhas")
+
+
+def _published(spark, d):
+    """A period published with its active and accumulated bases, in a new folder."""
+    out, active = fresh_path(spark, "published"), view(spark, d, "current_active")
+    publishing.publish_tables(spark, out, PERIOD, {"ativos": active, "acumulada": accumulate(view(spark, d, "previous_accumulated"), active)})
+    return out, active
+
+
+def published_rerun(spark, d):
+    out, active = _published(spark, d)
+    changed = active.withColumn("cpf", F.reverse("cpf"))
+    publishing.publish_tables(spark, out, PERIOD, {"ativos": changed, "acumulada": accumulate(view(spark, d, "previous_accumulated"), changed)})
+    publishing.sweep(spark, out, PERIOD)
+    names = ("ativos", "acumulada")
+    return union_versions(*[publishing.read_published(spark, out, PERIOD, n).withColumn("saida", F.lit(n)) for n in names])
+
+
+def published_after_failure(spark, d):
+    out, active = _published(spark, d)
+    changed = active.withColumn("cpf", F.reverse("cpf"))
+    broken = changed.withColumn("cpf", F.coalesce(F.raise_error(F.lit("lost")).cast("string"), "cpf"))
+    try:
+        # the first output of the rerun is written as a whole, the second one fails
+        publishing.publish_tables(spark, out, PERIOD, {"ativos": changed, "acumulada": broken})
+    except Exception as error:
+        if "lost" not in str(error):
+            raise
+    names = ("ativos", "acumulada")
+    return union_versions(*[publishing.read_published(spark, out, PERIOD, n).withColumn("saida", F.lit(n)) for n in names])
 
 
 # --- jobs ----------------------------------------------------------------------------
@@ -323,7 +359,7 @@ QUERIES = {
         alias_projection, alias_projection_inverse, rename_map, upper_columns, drop_columns,
         registry_csv_scan, registry_cached, registry_read_version, registry_read_all_rows, registry_typed,
         registry_union_versions, header_inspect, preview_sample, delimiter_profile, trailer_record, trailer_check,
-        sink_csv_roundtrip, sink_parquet_roundtrip, sink_bom_csv, sink_multi, outputs_by_period,
+        sink_csv_roundtrip, sink_parquet_roundtrip, sink_bom_csv, sink_multi, outputs_by_period, outputs_listed, published_rerun, published_after_failure,
         monthly_metrics, monthly_outputs, beneficiary_outputs, beneficiaries_mapped, beneficiaries_layout, manual_roster_read, manual_roster_rejected, registry_incremental,
         registry_incremental_csv,
     )
@@ -347,6 +383,16 @@ METRICS_BODY = """select (select count(*) from st) as alunos_total, (select coun
   (select count(*) from st join er on st.cpf_std=er.cpf_std) as merge_linhas,
   (select count(distinct st.cpf_std) from st join er on st.cpf_std=er.cpf_std) as pessoas_unicas"""
 
+def _published_sql(cpf: str) -> str:
+    return with_views(
+        "previous_accumulated current_active",
+        """select 'ativos' as saida, matricula, cpf, mesano from now
+          union all select 'acumulada', matricula, cpf, mesano from acc""",
+        f"""now as (select matricula, {cpf} as cpf, mesano from current_active),
+          acc as (select * from (select *, row_number() over (partition by matricula order by {person()} is null, mesano desc, cpf) as rn
+            from (select * from previous_accumulated union all select * from now)) where rn = 1)""")
+
+
 BENEFICIARY_SQL = {
     "mapeados": "select * from mapped",
     "nao_mapeados": "select * from wf where cad_row_id is null",
@@ -442,8 +488,14 @@ SQL = {
           union all select 'elegiveis', count(*) from registry where renda_media<=660"""),
     "outputs_by_period": with_views(
         "previous_accumulated current_active",
-        """select '202506' as mesano, count(*) as linhas, 1 as no_periodo from previous_accumulated
-          union all select '202507', count(*), 1 from current_active where matricula%2=1"""),
+        """select matricula, cpf, mesano, 1 as no_periodo from previous_accumulated
+          union all select matricula, reverse(cpf), mesano, 1 from current_active"""),
+    "outputs_listed": with_views(
+        "previous_accumulated current_active",
+        """select '202506' as mesano, count(*) as linhas from previous_accumulated
+          union all select '202507', count(*) from current_active"""),
+    "published_rerun": _published_sql("reverse(cpf)"),
+    "published_after_failure": _published_sql("cpf"),
     "monthly_metrics": with_views(MONTH_VIEWS, METRICS_BODY, MONTH),
     "monthly_outputs": with_views(
         MONTH_VIEWS,

@@ -31,12 +31,34 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{work_root(spark)}/rollcall/{name}-{uuid.uuid4().hex}"
 
 
+def _located(spark: SparkSession, path: str):
+    """The file system that ``path`` belongs to, and the path as it knows it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether ``path`` exists on the file system it belongs to."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    return target.getFileSystem(conf).exists(target)
+    system, target = _located(spark, path)
+    return system.exists(target)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, hidden ones and Spark's own left out; none if there is no such folder."""
+    system, target = _located(spark, path)
+    names = [status.getPath().getName() for status in system.listStatus(target)] if system.exists(target) else []
+    return sorted(n for n in names if n[0] not in "._")
+
+
+def make_empty_file(spark: SparkSession, path: str) -> None:
+    """A new file without content; it is there as a whole or not at all."""
+    system, target = _located(spark, path)
+    system.create(target, False).close()
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    system, target = _located(spark, path)
+    system.delete(target, True)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -60,5 +82,4 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 def discard(table: DataFrame) -> None:
     """Delete a table that ``settle`` wrote, once nothing reads it any more."""
-    target = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(table.settled_path)
-    target.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    delete_path(table.sparkSession, table.settled_path)
