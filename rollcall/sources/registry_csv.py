@@ -12,6 +12,7 @@ from rollcall.functions.period import iso_date
 from rollcall.functions.text import latin1_to_cp1252
 from rollcall.operators.columns import STANDARD_CPF, quoted, rename_columns, select_aliases
 from rollcall.operators.keys import first_per_key
+from rollcall.operators.row_ids import with_content_ids
 from rollcall.schema import REGISTRY_DEFAULT_COLUMNS, REGISTRY_RENAMES, REGISTRY_SCAN_COLUMNS
 from rollcall.workdir import path_exists
 
@@ -112,9 +113,11 @@ def typed_registry(raw: DataFrame, row_id: Column | None = None) -> DataFrame:
 
     Income becomes a number here, once, so later income filters reach the Parquet scan.
     ``row_id`` is a number that is unique in the file, if it has one; the social number is
-    not, a person may be there several times. By default rows are numbered as they are
-    read: write such a table before using it, so that the numbers stay.
+    not, a person may be there several times. By default ids are made from the rows' content
+    (``row_ids.with_content_ids``), so they are the same in every scan, split and batch.
     """
+    if row_id is None:
+        raw = with_content_ids(raw, "_row_id")
     text = {
         "cpf": CPF_COLUMN,
         "nome": "p.nom_pessoa",
@@ -136,7 +139,7 @@ def typed_registry(raw: DataFrame, row_id: Column | None = None) -> DataFrame:
         "num_tel_contato2": "d.num_tel_contato_2_fam",
     }
     return raw.select(
-        (F.monotonically_increasing_id() if row_id is None else row_id).alias("row_id"),
+        (F.col("_row_id") if row_id is None else row_id).alias("row_id"),
         *[quoted(source).alias(name) for name, source in text.items() if source in raw.columns],
         person_cpf(quoted(CPF_COLUMN)).alias("cpf_std"),
         iso_date(quoted("p.dta_nasc_pessoa")).alias("dta_nasc"),

@@ -24,22 +24,20 @@ def start_ingest(
 ) -> StreamingQuery:
     """Read the files not yet seen and add each batch's newest rows to ``base``.
 
-    ``prepare`` makes ``row_id``, ``cpf_std`` and ``dat_atual_fam`` of the file's columns,
-    for raw CSV files with ``registry_csv.typed_registry`` and a ``row_id`` column (it only
-    settles ties of the update date here). A batch only writes its own
+    ``prepare`` makes ``row_id``, ``cpf_std`` and ``dat_atual_fam`` of a batch's columns, for
+    raw CSV files with ``registry_csv.typed_registry``, whose row ids don't depend on the batch. A batch only writes its own
     partition, replaced when the batch is run again after a failure, so every row counts
     once and no earlier data is rewritten. ``read_base`` settles which row is newest over
     all batches.
     """
     def add_batch(batch: DataFrame, batch_id: int) -> None:
-        latest_per_person(batch).write.mode("overwrite").parquet(f"{base}/lote={batch_id}")
+        latest_per_person(prepare(batch)).write.mode("overwrite").parquet(f"{base}/lote={batch_id}")
 
     # a CSV file whose header differs from the schema is an error, never read by position
     reader = spark.readStream.format(file_format).schema(schema).options(enforceSchema=False, **options)
     arriving = reader.option("maxFilesPerTrigger", files_per_batch).load(source)
     return (
-        prepare(arriving)
-        .writeStream.foreachBatch(add_batch)
+        arriving.writeStream.foreachBatch(add_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -50,6 +50,17 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(n for n in names if n[0] not in "._")
 
 
+def read_first_line(spark: SparkSession, path: str, encoding: str) -> str:
+    """The first line of a text file, empty if it has none; the rest is not read."""
+    system, target = _located(spark, path)
+    java = spark.sparkContext._jvm.java.io
+    reader = java.BufferedReader(java.InputStreamReader(system.open(target), encoding))
+    try:
+        return reader.readLine() or ""
+    finally:
+        reader.close()
+
+
 def make_empty_file(spark: SparkSession, path: str) -> None:
     """A new file without content; it is there as a whole or not at all."""
     system, target = _located(spark, path)
