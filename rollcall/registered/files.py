@@ -12,7 +12,8 @@ from rollcall.fixtures import PERIOD, view, with_views
 from rollcall.operators import columns as col
 from rollcall.operators.history import accumulate, union_versions
 from rollcall.plans.beneficiaries import run_beneficiaries
-from rollcall.plans.monthly import run_month
+from rollcall.operators.row_ids import with_content_ids
+from rollcall.plans.monthly import publish_month, run_month
 from rollcall.registered.matching import ADDRESS, CONFLICTS, HEADS, LOCATED, PERSON, eligible_registry
 from rollcall.registered.matching import SQL as MATCHING_SQL
 from rollcall.registered.sql import LATEST, RG, ST, WATERFALL, ctes, money, person
@@ -21,7 +22,7 @@ from rollcall.schema import COLUMN_DICTIONARY, DELIMITERS, REGISTRY_DEFAULT_COLU
 from rollcall.sinks import files as sink
 from rollcall.sinks import publish as publishing
 from rollcall.sources import files as src
-from rollcall.sources import registry_csv
+from rollcall.sources import registry_csv, registry_files
 from rollcall.sources.roster import manual_roster_rejects, read_manual_roster
 from rollcall.streaming import incremental
 from rollcall.workdir import fresh_path
@@ -184,6 +185,72 @@ def trailer_check(spark, d):
     return checked.select(_batch(), "linhas", "soma", "linhas_declaradas", "soma_declarada", "confere")
 
 
+# --- registry files with faulty lines and several layouts ----------------------------
+
+# Every fiftieth line is too long, the next too short, the next has an open quote.
+FAULTY = f"""case when row_id%50=1 then concat({LINE},';mais;um') when row_id%50=2 then concat(nis,';',nome,';',nis)
+  when row_id%50=3 then concat('"',{LINE}) else {LINE} end"""
+FAULT = "case row_id%50 when 1 then 'campos_a_mais' when 2 then 'campos_a_menos' when 3 then 'aspas' end"
+FIELDS = f"case row_id%50 when 1 then {len(RAW) + 2} when 2 then 3 end"
+
+
+def _faulty_files(spark, d):
+    """The registry in four files, each with its header first."""
+    rows = view(spark, d, "registry").select((F.col("row_id") % 4).alias("lote"), F.col("row_id").alias("ordem"), F.expr(FAULTY).alias("value"))
+    header = spark.range(4).select(F.col("id").alias("lote"), F.lit(-1).cast("bigint").alias("ordem"), F.lit(";".join(RAW)).alias("value"))
+    path = fresh_path(spark, "faulty")
+    lines = header.unionByName(rows).repartition("lote").sortWithinPartitions("lote", "ordem").drop("ordem")
+    lines.write.partitionBy("lote").option("encoding", "ISO-8859-1").text(path)
+    return path
+
+
+def _divided(spark, d):
+    return registry_files.divide_registry(spark, _faulty_files(spark, d), encoding="UTF-8")
+
+
+def registry_rejects(spark, d):
+    return _divided(spark, d).rejects.select("linha", "motivo", "campos")
+
+
+def registry_accepted(spark, d):
+    return registry_csv.typed_registry(_divided(spark, d).rows, col.quoted("p.num_nis_pessoa_atual").cast("bigint")).select(
+        "row_id", "cpf_std", "nome", "bairro", "dta_nasc", "renda_media"
+    )
+
+
+def registry_reject_counts(spark, d):
+    return _divided(spark, d).counts()
+
+
+def registry_mixed_headers(spark, d):
+    folder, raw = fresh_path(spark, "mixed"), raw_registry(spark, d)
+    low, middle, high = (raw.filter(f"`p.grau_instrucao` {part}") for part in ("<= '3'", "between '4' and '6'", "> '6'"))
+    sink.write_csv(low, f"{folder}/junho", encoding="ISO-8859-1")
+    # one file with its columns the other way round, one without two of them
+    sink.write_csv(middle.select(*[col.quoted(c) for c in reversed(raw.columns)]), f"{folder}/julho", encoding="ISO-8859-1")
+    sink.write_csv(high.drop("d.fx_rfpc", "p.nom_completo_pai_pessoa"), f"{folder}/agosto", encoding="ISO-8859-1")
+    return col.select_aliases(registry_files.divide_registry(spark, folder).rows, ["COD_NIS", "COD_CPF", "NOME", "NOME_PAI", "FX_RFPC", "BAIRRO"])
+
+
+def registry_row_ids(spark, d):
+    """Ids of the same rows, every third of them twice, in two orders and numbers of tasks."""
+    raw = raw_registry(spark, d)
+    raw = raw.unionByName(raw.filter("cast(`p.num_nis_pessoa_atual` as bigint) % 3 = 0"))
+    one, other = (with_content_ids(df).select("row_id").withColumn("lido", F.lit(n)) for n, df in enumerate((raw, raw.repartition(7, F.rand(1)))))
+    per_id = one.unionByName(other).groupBy("row_id").agg(F.sum("lido").alias("na_segunda"), F.count(F.lit(1)).alias("vezes"))
+    same = (F.col("na_segunda") == 1) & (F.col("vezes") == 2)
+    return per_id.agg(F.count(F.lit(1)).alias("ids"), F.count_if(same).alias("iguais"))
+
+
+def registry_to_month(spark, d):
+    """From CSV files over the typed table to the month's metrics."""
+    source = _csv(spark, d)
+    people = registry_files.build_registry_table(spark, fresh_path(spark, "registry_table"), source)
+    tables = {n: view(spark, d, n) for n in MONTH_TABLES if n != "registry"} | {"registry": people}
+    paths = publish_month(spark, tables, PERIOD, fresh_path(spark, "month"))
+    return spark.read.parquet(paths["metricas"]).drop("mesano")
+
+
 # --- sinks ---------------------------------------------------------------------------
 
 def _result(spark, d):
@@ -358,7 +425,8 @@ QUERIES = {
     for f in (
         alias_projection, alias_projection_inverse, rename_map, upper_columns, drop_columns,
         registry_csv_scan, registry_cached, registry_read_version, registry_read_all_rows, registry_typed,
-        registry_union_versions, header_inspect, preview_sample, delimiter_profile, trailer_record, trailer_check,
+        registry_union_versions, registry_rejects, registry_accepted, registry_reject_counts, registry_mixed_headers, registry_row_ids,
+        registry_to_month, header_inspect, preview_sample, delimiter_profile, trailer_record, trailer_check,
         sink_csv_roundtrip, sink_parquet_roundtrip, sink_bom_csv, sink_multi, outputs_by_period, outputs_listed, published_rerun, published_after_failure,
         monthly_metrics, monthly_outputs, beneficiary_outputs, beneficiaries_mapped, beneficiaries_layout, manual_roster_read, manual_roster_rejected, registry_incremental,
         registry_incremental_csv,
@@ -455,6 +523,20 @@ SQL = {
         "registry",
         """select nis as "COD_NIS", nullif(cpf,'') as "COD_CPF", nome as "NOME", case when grau_instrucao<='5' then fx_rfpc end as "FX_RFPC"
           from registry"""),
+    "registry_rejects": with_views("registry", f"select {FAULTY} as linha, {FAULT} as motivo, cast({FIELDS} as int) as campos from registry where row_id%50 in (1,2,3)"),
+    "registry_accepted": with_views(
+        "registry", "select row_id, cpf_std, nome, bairro, dta_nasc, renda_media from rg where row_id%50 not in (1,2,3)", RG),
+    "registry_reject_counts": with_views(
+        "registry", f"select coalesce({FAULT}, 'aceita') as motivo, count(*) as linhas from registry group by 1"),
+    "registry_mixed_headers": with_views(
+        "registry",
+        """select nis as "COD_NIS", nullif(cpf,'') as "COD_CPF", nome as "NOME", case when grau_instrucao<='6' then nome_pai end as "NOME_PAI",
+          case when grau_instrucao<='6' then fx_rfpc end as "FX_RFPC", bairro as "BAIRRO" from registry"""),
+    "registry_row_ids": with_views(
+        "registry",
+        """select count(*) as ids, count(*) as iguais from (select row_id from registry union all
+          select row_id from registry where cast(nis as bigint) % 3 = 0)"""),
+    "registry_to_month": with_views(MONTH_VIEWS, METRICS_BODY, MONTH),
     "header_inspect": with_views(
         "registry",
         f"""select cast(linha as int) as linha, c.posicao, c.coluna, c.valor from (select linha, unnest([{NUMBERED}]) as c from (
