@@ -43,9 +43,9 @@ from rollcall.llm.shingles import word_hashes
 from rollcall.workdir import discard, settle
 
 CLASSES = 64
-FREQUENT = 16
+FREQUENT = 64
 ROUNDS = 2
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 8 << 20
 PART_BYTES = 2 << 20
 PRIOR = 0.1
 SMOOTHING = 4.0
