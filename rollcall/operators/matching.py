@@ -48,8 +48,13 @@ def merge_newest(
     Registry rows of other ids are left out before any is ranked.
     """
     known = cut_to(registry, wanted_keys(students, "cpf_std"), "cpf_std")
-    left, right = suffix_collisions(students, latest_with_cpf(known), ["cpf_std"], suffixes)
-    return join_per_key(left, right, "cpf_std", "inner", "matricula")
+    return merge_with_latest(students, settle(latest_with_cpf(known), "per-key"), suffixes)
+
+
+def merge_with_latest(students: DataFrame, latest: DataFrame, suffixes: tuple[str, str] = ("_ALUNO", "_CADUNICO")) -> DataFrame:
+    """``merge_newest`` with a table that has one row per ``cpf_std`` already (``registry_by_id``)."""
+    left, right = suffix_collisions(students, latest, ["cpf_std"], suffixes)
+    return left.join(right, "cpf_std")
 
 
 def merge_minimal(students: DataFrame, registry: DataFrame) -> DataFrame:
@@ -77,9 +82,12 @@ def unique_persons(students: DataFrame, registry: DataFrame) -> DataFrame:
     Registry rows of ids that no student has are left out before any is ranked.
     """
     registry = cut_to(registry, wanted_keys(students, "cpf_std"), "cpf_std")
-    person = first_per_key(students, F.col("cpf_std"), [F.asc("matricula")])
-    left, right = suffix_collisions(person, latest_with_cpf(registry), ["cpf_std"], ("_ALUNO", "_CADUNICO"))
-    return left.join(right, "cpf_std")
+    return unique_with_latest(students, latest_with_cpf(registry))
+
+
+def unique_with_latest(students: DataFrame, latest: DataFrame) -> DataFrame:
+    """``unique_persons`` with a table that has one row per ``cpf_std`` already (``registry_by_id``)."""
+    return merge_with_latest(first_per_key(students, F.col("cpf_std"), [F.asc("matricula")]), latest)
 
 
 def merge_metrics(students: DataFrame, registry: DataFrame) -> DataFrame:
@@ -107,14 +115,20 @@ def merge_metrics(students: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def require_cpfs(metrics: DataFrame) -> DataFrame:
-    """The metrics, or an error when a side has no usable id at all."""
+    """The metrics as a written table, or an error when a side has no usable id at all."""
+    metrics = settle(metrics, "metrics")
     row = metrics.first()
-    for column, side in (("alunos_com_cpf", "students"), ("cad_com_cpf", "registry")):
-        if row[column] == 0:
-            raise ValueError(f"no usable CPF on the {side} side")
+    require_ids({"com_cpf": row.alunos_com_cpf}, {"com_cpf": row.cad_com_cpf})
     return metrics
 
 
+def require_ids(students: Mapping[str, int], registry: Mapping[str, int]) -> None:
+    """An error when a side, by the counts observed as it was written, has no usable id at all."""
+    for counts, side in ((students, "students"), (registry, "registry")):
+        if counts["com_cpf"] == 0:
+            raise ValueError(f"no usable CPF on the {side} side")
+
+
 def missing_cpf_sample(df: DataFrame, key: str, n: int = 10) -> DataFrame:
     """The first ``n`` rows without a usable id, by ``key``."""
     return df.filter(F.col("cpf_std").isNull()).orderBy(key).limit(n)
@@ -237,22 +251,41 @@ def unmatched(students: DataFrame, registry: DataFrame) -> DataFrame:
     return join_per_key(students, known, "cpf_std", "left_anti", "matricula")
 
 
+def unmatched_with_latest(students: DataFrame, latest: DataFrame) -> DataFrame:
+    """``unmatched`` with a table that has one row per ``cpf_std`` already (``registry_by_id``)."""
+    without = students.filter(F.col("cpf_std").isNull())
+    return students.dropna(subset=["cpf_std"]).join(latest.select("cpf_std"), "cpf_std", "left_anti").unionByName(without)
+
+
 def cpf_conflicts(students: DataFrame, registry: DataFrame) -> DataFrame:
     """Students who share their id with a student of another name.
 
     ``manter`` says whether the student's name is the one the registry has for the id.
     """
-    shared = settle(
+    shared = settle(shared_ids(students), "shared")
+    known = cut_to(registry.select("cpf_std", "nome", "dat_atual_fam", "row_id"), wanted_keys(shared, "cpf_std"), "cpf_std")
+    return _conflicts(students, shared, latest_with_cpf(known))
+
+
+def conflicts_with_latest(students: DataFrame, latest: DataFrame) -> DataFrame:
+    """``cpf_conflicts`` with a table that has one row per ``cpf_std`` already (``registry_by_id``)."""
+    return _conflicts(students, shared_ids(students), latest)
+
+
+def shared_ids(students: DataFrame) -> DataFrame:
+    """Ids that students of different names have."""
+    return (
         students.filter(F.col("cpf_std").isNotNull())
         .select("cpf_std", normalise_name(F.col("nm_aluno")).alias("nome_norm"))
         .groupBy("cpf_std")
         .agg(F.countDistinct("nome_norm").alias("nomes"))
         .filter("nomes > 1")
-        .select("cpf_std"),
-        "shared",
+        .select("cpf_std")
     )
-    known = cut_to(registry.select("cpf_std", "nome", "dat_atual_fam", "row_id"), wanted_keys(shared, "cpf_std"), "cpf_std")
-    person = shared.join(latest_with_cpf(known).select("cpf_std", F.col("nome").alias("nome_cad")), "cpf_std")
+
+
+def _conflicts(students: DataFrame, shared: DataFrame, latest: DataFrame) -> DataFrame:
+    person = shared.join(latest.select("cpf_std", F.col("nome").alias("nome_cad")), "cpf_std")
     rows = join_per_key(students, person, "cpf_std", "inner", "matricula")
     same = normalise_name(F.col("nm_aluno")) == normalise_name(F.col("nome_cad"))
     return rows.withColumn("manter", F.coalesce(same, F.lit(False)))

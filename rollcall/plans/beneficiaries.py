@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.functions.period import reference_date
 from rollcall.operators import history
+from rollcall.operators.keys import cut_to, join_written, wanted_keys
 from rollcall.operators.layout import beneficiary_layout, enrich_matched, with_manual_rows
 from rollcall.operators.matching import cpf_conflicts, eligibility_funnel, match_waterfall
+from rollcall.operators.reconcile import final_analysis
 from rollcall.operators.registry import with_standard_cpf
 from rollcall.operators.students import eligible_students
 from rollcall.schema import INCOME_CUT
 from rollcall.sinks.files import write_csv, write_parquet
-from rollcall.sinks.publish import publish
+from rollcall.sinks.publish import publish, publish_tables
 from rollcall.workdir import settle
 
 
@@ -80,3 +82,28 @@ def publish_beneficiaries(
     paths: dict[str, str] = {}
     publish(spark, out, period, lambda folder: paths.update(run_beneficiaries(spark, tables, period, folder, cut)))
     return paths
+
+
+COMPARED_COLUMNS = ("COD_CPF", "ORIGEM_CPF", "CPF_RESP", "VLR_RENDA_MEDIA")
+
+
+def publish_final_analysis(layout: DataFrame, other: DataFrame, period: str, out: str, columns: Sequence[str] = COMPARED_COLUMNS) -> str:
+    """The layout of a run against another output of the same period, published as a whole."""
+    return publish_tables(layout.sparkSession, out, period, final_analysis(layout, other, "MATRICULA", columns))
+
+
+def layout_debug(matched: DataFrame, registry: DataFrame, layout: DataFrame, cut: float = INCOME_CUT) -> DataFrame:
+    """Why each student of ``matched`` is in the layout or not: ``no_layout``, ``sem_cadastro`` or ``renda``.
+
+    ``matched`` has ``matricula``, ``regra`` and ``cad_row_id``; the registry is cut to its rows.
+    """
+    rows = settle(matched.select("matricula", "regra", "cad_row_id"), "matched")
+    people = registry.select(F.col("row_id").alias("cad_row_id"), F.col("renda_media").alias("renda"))
+    people = cut_to(people, wanted_keys(rows, "cad_row_id"), "cad_row_id")
+    there = layout.select(F.col("MATRICULA").alias("matricula"), F.lit(True).alias("_there"))
+    joined = join_written(rows, people, "cad_row_id", "left", "matricula").join(there, "matricula", "left")
+    reason = (
+        F.when(F.col("_there"), "no_layout").when(F.col("regra").isNull(), "sem_cadastro")
+        .when(F.coalesce(F.col("renda") > cut, F.lit(True)), "renda").otherwise("retirado")
+    )
+    return joined.select("matricula", "regra", "renda", reason.alias("situacao"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.functions.period import reference_date
@@ -13,7 +13,7 @@ from rollcall.operators.matching import (
     merge_metrics,
     merge_newest,
     merge_on,
-    require_cpfs,
+    require_ids,
     unique_persons,
     unmatched,
 )
@@ -39,7 +39,8 @@ def run_month(
     with ``all_registry_rows`` one per pair of student and registry row.
 
     Eligible students with their documents and the income-filtered registry are each
-    written once to the cluster's shared folder; all outputs read those tables, so nothing
+    written once to the cluster's shared folder, with their rows and ids counted as they are
+    written, which tells whether there is anything to match; all outputs read those tables, so nothing
     is computed twice and a lost executor costs only its own tasks.
     """
     ref_date = F.lit(reference_date(period))
@@ -50,11 +51,15 @@ def run_month(
     documents = with_standard_cpf(tables["student"].join(eligible, "matricula", "left_semi"))
     people = income_filter(with_standard_cpf(tables["registry"]), cut)
 
-    students = settle(documents.select("matricula", "nm_aluno", "cpf", "cpf_std"), "students")
+    counts = F.count(F.lit(1)).alias("total"), F.count("cpf_std").alias("com_cpf")
+    seen_students, seen_registry = Observation(), Observation()
+    students = settle(documents.select("matricula", "nm_aluno", "cpf", "cpf_std").observe(seen_students, *counts), "students")
     registry = settle(
-        people.select("row_id", "cpf", "cpf_std", "nome", "dta_nasc", "renda_media", "cep", "dat_atual_fam"), "registry"
+        people.select("row_id", "cpf", "cpf_std", "nome", "dta_nasc", "renda_media", "cep", "dat_atual_fam").observe(seen_registry, *counts),
+        "registry",
     )
-    metrics = require_cpfs(merge_metrics(students, registry))
+    require_ids(seen_students.get, seen_registry.get)
+    metrics = merge_metrics(students, registry)
 
     def stamped(df: DataFrame) -> DataFrame:
         return df.withColumn("mesano", F.lit(period))

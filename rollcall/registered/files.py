@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from rollcall.fixtures import PERIOD, view, with_views
 from rollcall.operators import columns as col
 from rollcall.operators.history import accumulate, union_versions
-from rollcall.plans.beneficiaries import run_beneficiaries
+from rollcall.plans.beneficiaries import layout_debug, publish_final_analysis, run_beneficiaries
 from rollcall.operators.row_ids import with_content_ids
 from rollcall.plans.monthly import publish_month, run_month
-from rollcall.registered.matching import ADDRESS, CONFLICTS, HEADS, LOCATED, PERSON, eligible_registry
+from rollcall.registered.matching import ADDRESS, CONFLICTS, HEADS, LOCATED, PERSON, beneficiary_layout, eligible_registry, waterfall
+from rollcall.registered.matching import registry as view_registry
 from rollcall.registered.matching import SQL as MATCHING_SQL
 from rollcall.registered.sql import LATEST, RG, ST, WATERFALL, ctes, money, person
 from rollcall.registered.students import SQL as STUDENT_SQL
@@ -24,8 +25,9 @@ from rollcall.sinks import publish as publishing
 from rollcall.sources import files as src
 from rollcall.sources import registry_csv, registry_files
 from rollcall.sources.roster import manual_roster_rejects, read_manual_roster
+from rollcall.streaming import buckets as bucketed
 from rollcall.streaming import incremental
-from rollcall.workdir import fresh_path
+from rollcall.workdir import fresh_path, settle
 
 # Raw registry column -> expression over the registry view, in both SQL dialects.
 RAW = {
@@ -242,6 +244,14 @@ def registry_row_ids(spark, d):
     return per_id.agg(F.count(F.lit(1)).alias("ids"), F.count_if(same).alias("iguais"))
 
 
+def registry_head(spark, d):
+    """The first three rows of the first of many files, without reading the others."""
+    path = fresh_path(spark, "head")
+    raw_registry(spark, d).orderBy(col.quoted("p.num_nis_pessoa_atual")).write.option("sep", ";").option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    first = registry_files.list_files(spark, path).filter("bytes > 0").orderBy("arquivo").first().arquivo
+    return src.head_rows(spark, first, 3).select("linha", *[col.quoted(c).alias(a) for a, c in HEAD.items()])
+
+
 def registry_to_month(spark, d):
     """From CSV files over the typed table to the month's metrics."""
     source = _csv(spark, d)
@@ -251,6 +261,9 @@ def registry_to_month(spark, d):
     return spark.read.parquet(paths["metricas"]).drop("mesano")
 
 
+HEAD = {"nis": "p.num_nis_pessoa_atual", "nome": "p.nom_pessoa", "bairro": "d.nom_localidade_fam", "titulo": "d.nom_titulo_logradouro_fam"}
+
+
 # --- sinks ---------------------------------------------------------------------------
 
 def _result(spark, d):
@@ -385,6 +398,35 @@ def beneficiaries_layout(spark, d):
     return rows.select(*[F.col(c).cast(typed.get(c, "string")).alias(c) for c in (n.removeprefix("\ufeff") for n in rows.columns)])
 
 
+def _second_output(layout):
+    """An output of another program: some students left out, some with another responsible or income."""
+    kept = layout.filter("MATRICULA % 12 <> 0")
+    return kept.withColumns({
+        "ORIGEM_CPF": F.when(F.col("MATRICULA") % 50 == 1, "RESPONSAVEL").otherwise(F.col("ORIGEM_CPF")),
+        "VLR_RENDA_MEDIA": F.when(F.col("MATRICULA") % 35 == 2, F.lit(None)).otherwise(F.col("VLR_RENDA_MEDIA")),
+    })
+
+
+def _analysis(spark, d, output):
+    layout, out = settle(beneficiary_layout(spark, d), "layout"), fresh_path(spark, "analysis")
+    publish_final_analysis(layout, _second_output(layout), PERIOD, out)
+    return publishing.read_published(spark, out, PERIOD, output)
+
+
+def final_analysis(spark, d):
+    return _analysis(spark, d, "resumo")
+
+
+def final_analysis_columns(spark, d):
+    return _analysis(spark, d, "diferencas")
+
+
+def beneficiary_debug(spark, d):
+    matched = settle(waterfall(spark, d).select("matricula", "regra", "cad_row_id"), "matched")
+    layout = beneficiary_layout(spark, d).filter("MATRICULA % 12 <> 0")  # students taken out by hand
+    return layout_debug(matched, view_registry(spark, d), layout)
+
+
 def manual_roster_read(spark, d):
     path = sink.write_csv(view(spark, d, "manual_roster"), fresh_path(spark, "manual_roster"))
     return read_manual_roster(spark, path)
@@ -408,6 +450,17 @@ def registry_incremental(spark, d):
     return incremental.read_base(spark, base).select(*PERSON)
 
 
+def registry_incremental_buckets(spark, d):
+    columns = ["row_id", "cpf", "nome", "dat_atual_fam", "renda_media"]
+    source, base, checkpoint = (fresh_path(spark, n) for n in ("arriving", "base", "checkpoint"))
+    rows = view(spark, d, "registry").select(*columns, (F.col("row_id") % 3).alias("chegada"))
+    schema = "row_id bigint, cpf string, nome string, dat_atual_fam date, renda_media double"
+    for arrival in range(3):
+        rows.filter(F.col("chegada") == arrival).drop("chegada").write.mode("append").parquet(source)
+        bucketed.start_bucket_ingest(spark, source, schema, base, checkpoint, buckets=16).awaitTermination()
+    return bucketed.read_buckets(spark, base).select(*PERSON)
+
+
 def registry_incremental_csv(spark, d):
     source, base, checkpoint = (fresh_path(spark, n) for n in ("arriving_csv", "base", "checkpoint"))
     rows = raw_registry(spark, d)
@@ -426,7 +479,7 @@ QUERIES = {
         alias_projection, alias_projection_inverse, rename_map, upper_columns, drop_columns,
         registry_csv_scan, registry_cached, registry_read_version, registry_read_all_rows, registry_typed,
         registry_union_versions, registry_rejects, registry_accepted, registry_reject_counts, registry_mixed_headers, registry_row_ids,
-        registry_to_month, header_inspect, preview_sample, delimiter_profile, trailer_record, trailer_check,
+        registry_to_month, registry_head, final_analysis, final_analysis_columns, beneficiary_debug, registry_incremental_buckets, header_inspect, preview_sample, delimiter_profile, trailer_record, trailer_check,
         sink_csv_roundtrip, sink_parquet_roundtrip, sink_bom_csv, sink_multi, outputs_by_period, outputs_listed, published_rerun, published_after_failure,
         monthly_metrics, monthly_outputs, beneficiary_outputs, beneficiaries_mapped, beneficiaries_layout, manual_roster_read, manual_roster_rejected, registry_incremental,
         registry_incremental_csv,
@@ -461,6 +514,13 @@ def _published_sql(cpf: str) -> str:
             from (select * from previous_accumulated union all select * from now)) where rn = 1)""")
 
 
+LAYOUT_SQL = MATCHING_SQL["beneficiary_layout"]
+ANALYSIS = ctes(ST, RG, WATERFALL, HEADS, LOCATED, f"""layout as ({LAYOUT_SQL[LAYOUT_SQL.rindex('select wf.matricula as "MATRICULA"'):]}),
+  cmp as (select *, case when "MATRICULA" % 12 = 0 then 'only_a' when origin or income then 'differs' else 'same' end as status from (
+    select *, "MATRICULA" % 12 <> 0 and "MATRICULA" % 50 = 1 and "ORIGEM_CPF" <> 'RESPONSAVEL' as origin,
+      "MATRICULA" % 12 <> 0 and "MATRICULA" % 35 = 2 and "VLR_RENDA_MEDIA" is not null as income from layout))""")
+
+
 BENEFICIARY_SQL = {
     "mapeados": "select * from mapped",
     "nao_mapeados": "select * from wf where cad_row_id is null",
@@ -536,6 +596,22 @@ SQL = {
         "registry",
         """select count(*) as ids, count(*) as iguais from (select row_id from registry union all
           select row_id from registry where cast(nis as bigint) % 3 = 0)"""),
+    "registry_head": with_views(
+        "registry",
+        """select cast(row_number() over (order by nis) as int) as linha, nis, nome, bairro, titulo_end as titulo from registry order by nis limit 3"""),
+    "final_analysis": with_views(
+        "student registry enrolment school",
+        """select status, count(*) as linhas, round(count(*) / (select count(*) from cmp), 6) as parte from cmp group by status""", ANALYSIS),
+    "final_analysis_columns": with_views(
+        "student registry enrolment school",
+        """select "MATRICULA", 'ORIGEM_CPF' as coluna, "ORIGEM_CPF" as valor_a, 'RESPONSAVEL' as valor_b from cmp where origin
+          union all select "MATRICULA", 'VLR_RENDA_MEDIA', cast("VLR_RENDA_MEDIA" as varchar), null from cmp where income""", ANALYSIS),
+    "beneficiary_debug": with_views(
+        "student registry",
+        """select wf.matricula, wf.regra, rg.renda_media as renda, case when wf.regra is null then 'sem_cadastro' when rg.renda_media > 660 then 'renda'
+            when wf.matricula % 12 = 0 then 'retirado' else 'no_layout' end as situacao
+          from wf left join rg on rg.row_id = wf.cad_row_id""", ctes(ST, RG, WATERFALL)),
+    "registry_incremental_buckets": MATCHING_SQL["registry_latest"],
     "registry_to_month": with_views(MONTH_VIEWS, METRICS_BODY, MONTH),
     "header_inspect": with_views(
         "registry",

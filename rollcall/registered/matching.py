@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rollcall.fixtures import view, views, with_views
@@ -13,7 +15,8 @@ from rollcall.operators import registry as reg
 from rollcall.operators.columns import ensure_standard_cpf
 from rollcall.registered.sql import LATEST, RG, ST, WATERFALL, ctes, person, std
 from rollcall.schema import INCOME_CUT
-from rollcall.workdir import settle
+from rollcall.sources.registry_by_id import store_by_id
+from rollcall.workdir import fresh_path, settle
 
 
 def students(spark, d):
@@ -169,6 +172,32 @@ def invalid_cpf_counts(spark, d):
     return matching.invalid_cpf_counts(students(spark, d), registry(spark, d))
 
 
+# --- the registry laid out by id -----------------------------------------------------
+
+def _by_id(spark, d, people):
+    return store_by_id(people, f"registry_{uuid.uuid4().hex}", fresh_path(spark, "by_id"), buckets=8)
+
+
+def unique_persons_by_id(spark, d):
+    latest = _by_id(spark, d, eligible_registry(spark, d).select("cpf_std", "row_id", "nome", "renda_media", "dat_atual_fam"))
+    return matching.unique_with_latest(students(spark, d).select("cpf_std", "matricula", "nm_aluno"), latest).select(*UNIQUE)
+
+
+def cpf_merge_latest_by_id(spark, d):
+    latest = _by_id(spark, d, eligible_registry(spark, d).select("cpf_std", "row_id", "nome", "renda_media", "dat_atual_fam"))
+    return matching.merge_with_latest(students(spark, d).select("cpf_std", "matricula", "nm_aluno"), latest).drop("dat_atual_fam")
+
+
+def unmatched_by_id(spark, d):
+    latest = _by_id(spark, d, eligible_registry(spark, d).select("cpf_std", "row_id", "dat_atual_fam"))
+    return matching.unmatched_with_latest(students(spark, d).select("matricula", "nm_aluno", "cpf_std"), latest)
+
+
+def cpf_conflicts_by_id(spark, d):
+    latest = _by_id(spark, d, registry(spark, d).select("cpf_std", "row_id", "nome", "dat_atual_fam"))
+    return matching.conflicts_with_latest(students(spark, d).select("matricula", "nm_aluno", "cpf_std"), latest).select(*CONFLICT, "manter")
+
+
 # --- waterfall and what follows from it ----------------------------------------------
 
 WF = ["matricula", "nm_aluno", "cpf_std", "regra", "cad_row_id", "cad_cpf"]
@@ -252,6 +281,7 @@ QUERIES = {
         registry_latest, registry_superseded, cpf_duplicates, income_filter, income_filter_counts,
         cpf_merge, cpf_merge_latest, cpf_merge_min, ensure_cpf, matricula_merge, merge_metrics, unique_persons,
         missing_cpf_sample, invalid_cpf_rows, invalid_cpf_counts,
+        unique_persons_by_id, cpf_merge_latest_by_id, unmatched_by_id, cpf_conflicts_by_id,
         match_waterfall, match_rule_counts, unmapped_rows, unmatched_by_cpf, eligibility_funnel,
         cpf_conflict_kept, cpf_conflict_removed, enriched_mapped, family_responsible, municipality_fix, beneficiary_layout,
     )
@@ -410,3 +440,9 @@ SQL = {
           left join heads on heads.cod_fam=rg.cod_fam left join located on located.matricula=wf.matricula""",
         ctes(BOTH, WATERFALL, HEADS, LOCATED)),
 }
+
+for _name in ("unique_persons", "cpf_merge_latest"):
+    SQL[f"{_name}_by_id"] = SQL[_name]
+SQL["unmatched_by_id"] = SQL["unmatched_by_cpf"]
+SQL["cpf_conflicts_by_id"] = with_views(
+    "student registry", "select *, nm_aluno=nome_cad as manter from cf", ctes(BOTH, LATEST, CONFLICTS))

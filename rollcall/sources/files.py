@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rollcall.functions.text import split_fields
 from rollcall.operators.columns import quoted
 from rollcall.schema import DELIMITERS
+from rollcall.workdir import read_head
 
 
 def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -101,3 +102,19 @@ def trailer_check(
     ok = F.col("linhas").eqNullSafe(F.col("linhas_declaradas")) & F.col("soma").eqNullSafe(F.col("soma_declarada"))
     ok = ok & F.coalesce(F.col("valores_ilegiveis") == 0, F.lit(True))
     return declared.join(detail, "arquivo", "left").withColumn("confere", ok.cast("int"))
+
+
+def head_rows(spark: SparkSession, path: str, n: int = 200, sep: str = ";", encoding: str = "ISO-8859-1") -> DataFrame:
+    """The first ``n`` rows of a delimited file in file order, all columns as text and ``linha`` from 1.
+
+    Only these lines are read, whatever the size of the file: they pass the driver, so ``n``
+    should stay small. Blank lines are no rows, empty fields are null, a quoted field ends in its line.
+    """
+    lines = read_head(spark, path, encoding, n + 1)
+    if not lines:
+        return spark.createDataFrame([], "linha int")
+    rows = spark.createDataFrame([(i, line) for i, line in enumerate((x for x in lines[1:] if x.strip()), 1)], "linha int, value string")
+    names = spark.createDataFrame([(lines[0].removeprefix("\ufeff"),)], "value string").select(split_fields(F.col("value"), sep)).first()[0]
+    fields = split_fields(F.col("value"), sep)
+    cells = [F.nullif(F.get("_fields", F.lit(i)), F.lit("")).alias(name) for i, name in enumerate(names)]
+    return rows.select("linha", fields.alias("_fields")).select("linha", *cells)

@@ -14,7 +14,7 @@ from rollcall.operators.columns import quoted
 from rollcall.operators.history import union_versions
 from rollcall.sinks.publish import publish, published_folder, read_published
 from rollcall.sources.registry_csv import typed_registry
-from rollcall.workdir import read_first_line, settle
+from rollcall.workdir import read_head, settle
 
 LINE, FILE = "_linha", "_arquivo"
 HEADER_READERS = 16
@@ -30,7 +30,7 @@ def files_by_header(spark: SparkSession, path: str | Sequence[str], sep: str = "
     """The files of each layout by its column names. One line is read of each file, empty files are left out."""
     files = [row.arquivo for row in list_files(spark, path).filter("bytes > 0").orderBy("arquivo").toLocalIterator()]
     with ThreadPoolExecutor(HEADER_READERS) as pool:
-        firsts = list(pool.map(lambda file: read_first_line(spark, file, encoding), files))
+        firsts = list(pool.map(lambda file: "".join(read_head(spark, file, encoding)), files))
     layouts: dict[tuple[str, ...], list[str]] = {}
     for file, first in zip(files, firsts, strict=True):
         names = tuple(name.strip().strip('"') for name in first.removeprefix("﻿").split(sep))

@@ -50,13 +50,16 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(n for n in names if n[0] not in "._")
 
 
-def read_first_line(spark: SparkSession, path: str, encoding: str) -> str:
-    """The first line of a text file, empty if it has none; the rest is not read."""
+def read_head(spark: SparkSession, path: str, encoding: str, n: int = 1) -> list[str]:
+    """Up to ``n`` first lines of a text file; the rest is not read."""
     system, target = _located(spark, path)
     java = spark.sparkContext._jvm.java.io
     reader = java.BufferedReader(java.InputStreamReader(system.open(target), encoding))
     try:
-        return reader.readLine() or ""
+        lines = []
+        while len(lines) < n and (line := reader.readLine()) is not None:
+            lines.append(line)
+        return lines
     finally:
         reader.close()
 
