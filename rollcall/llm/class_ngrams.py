@@ -251,7 +251,9 @@ def learnt(slices: DataFrame, places: DataFrame, vocabulary: DataFrame, n_classe
         return grouped(tokens, classed, lambda left, right: Slice(left, right).contexts(total, wanted), CONTEXTS)
 
     for _ in range(rounds):
-        summed = settle(entries(around(True)).groupBy("word", "code").agg(F.sum("times").alias("times")), "contexts")
+        contexts = settle(around(True), "contexts")
+        summed = settle(entries(contexts).groupBy("word", "code").agg(F.sum("times").alias("times")), "summed")
+        discard(contexts)
         gathered = summed.filter("word is not null").groupBy("word").agg(F.collect_list(entry).alias("contexts"))
         classes = settle(moved(gathered.join(classes, "word"), matrix(summed.filter("word is null"), total)), "classes")
         discard(summed)
