@@ -17,15 +17,16 @@ Links are found without writing out the pairs of a group. Equal sets are one cla
 its smallest id. Keys are reduced by partial aggregates to those with two classes or more,
 with the smallest as pivot. First each class is verified against its smallest pivot only,
 and the verified ones become components. Keys whose members are in one component are done,
-since only reachability is asked for. Of the others, 32, 128, ... members per key
-are compared with the members in other components, until no key is open or all its members
-were compared. The comparing join itself sets sizes and ``SKETCH``-bit parity sketches of
+since only reachability is asked for. Of the others, 32, 128, ... members pivots per key
+are compared with the members in other components, each pivot in one round only, until no key is
+open or all its members were compared. The comparing join itself sets sizes and ``SKETCH``-bit parity sketches of
 whole sets against the bound d, so members of a key that only share a passage make no row;
 what is left is verified on whole sets. So no link between different components is missed.
 A key that stays open costs a comparison of sketches for each two of its members.
 
-The only collected data are two bit maps of fixed size (``BITS``) that spare shuffling keys
-and texts without any partner; they are exact in what they let through later, as joins follow.
+Texts are read again for the pairs of a round that are left, and for these only. The only
+collected data are bit maps that spare shuffling keys without any partner; they have 16 bits
+per key, at most ``MOST_BITS``, and are exact in what they let through, as joins follow.
 
 Null and text without words have an empty set, linked with nothing. Rows with the same id
 count as one document. Rows with a null id are linked with nothing; their component is null.
@@ -44,10 +45,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.llm.shingles import mix, shingle_sets
-from rollcall.workdir import settle
+from rollcall.operators.keys import cut_to, wanted_keys
+from rollcall.workdir import discard, settle
 
 SPREAD = 1.5
-BITS = 1 << 26
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
 FIRST_PIVOTS = 32
 OUT_ROWS = 100_000
 # Bits of a whole set's sketch, in words of 64. More bits only spare comparisons of sets with more than about 3,000 shingles.
@@ -117,29 +119,30 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _positions(values: np.ndarray) -> np.ndarray:
-    return mix(values.astype(np.int64).view(np.uint64)) & np.uint64(BITS - 1)
+def _positions(values: np.ndarray, bits: int) -> np.ndarray:
+    return mix(values.astype(np.int64).view(np.uint64)) & np.uint64(bits - 1)
 
 
 def bit_map(values: DataFrame, column: str) -> np.ndarray:
-    """A bit per hash of the column's values, ``BITS`` in all: says no only where there is none."""
+    """A bit per hash of the column's values, 16 times as many as values: says no only where there is none."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * values.count()).bit_length()))
 
     def run(batches):
         for batch in batches:
-            at = _positions(batch.column(0).to_numpy(zero_copy_only=False))
+            at = _positions(batch.column(0).to_numpy(zero_copy_only=False), bits)
             yield pa.RecordBatch.from_arrays(
                 [pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "bit"]
             )
 
     words = values.select(F.col(column).cast("long").alias("v")).mapInArrow(run, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(BITS >> 6, np.uint64)
+    out = np.zeros(bits >> 6, np.uint64)
     if words.num_rows:
         out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     return out
 
 
 def _maybe(known: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = _positions(values)
+    at = _positions(values, 64 * len(known))
     return (known[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
@@ -210,20 +213,8 @@ def keys(rows: DataFrame, words: int, percent: int, known=None) -> DataFrame:
     return rows.mapInArrow(run, "key long, doc_id long, band int, sure int")
 
 
-def chosen(rows: DataFrame, known) -> DataFrame:
-    """Rows whose id may be in the broadcast bit map."""
-
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(0)
-            keep = _maybe(known.value, ids.fill_null(0).to_numpy(zero_copy_only=False)) & ~ids.is_null().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(keep))
-
-    return rows.mapInArrow(run, rows.schema)
-
-
-def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (``a``, ``b``) whose sets are alike; a written table."""
+def verified(pairs: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (``a``, ``b``, a written table) whose sets are alike, by their texts in ``rows``; a written table."""
 
     def run(batches):
         last, first = None, None
@@ -236,9 +227,15 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
                 keep.append(alike(first, second, percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    if pairs.isEmpty():
+        return pairs
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
+    texts = settle(cut_to(rows, wanted_keys(ids, "doc_id"), "doc_id"), "texts")
     one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text"))
     two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
-    return settle(pairs.join(two, "b").join(one, "a").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long").distinct(), "links")
+    links = settle(pairs.join(two, "b").join(one, "a").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long").distinct(), "links")
+    discard(texts)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -300,41 +297,47 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85) -> DataF
     ranked = keys(rows, words, percent, known).join(shared, "key").join(heads.select(F.col("head").alias("doc_id")), "doc_id", "left_semi").distinct()
     members = settle(ranked.withColumn("place", F.row_number().over(frequent_first)).filter("place >= sure").select("key", "doc_id"), "members")
     pivots_of = settle(members.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("high")).filter("pivot < high").select("key", "pivot"), "pivots")
-    members = settle(members.join(pivots_of, "key"), "members")
-    first = settle(members.filter("pivot < doc_id").groupBy("doc_id").agg(F.min("pivot").alias("a")).select("a", F.col("doc_id").alias("b")), "pairs")
-    # every member, not only those of ``first``: a pivot of all its keys may meet a partner in a later round only
-    involved = settle(members.select("doc_id").distinct(), "involved")
-    wanted = spark.sparkContext.broadcast(bit_map(involved, "doc_id"))
-    texts = settle(chosen(rows, wanted).join(involved, "doc_id", "left_semi"), "texts")
-    labels = components(verified(first, texts, words, percent))
-    tested = first
-    pivots = FIRST_PIVOTS
+    reduced, members = members, settle(members.join(pivots_of, "key"), "members")
+    for table in (reduced, shared, pivots_of):
+        discard(table)
+    sketches = sizes.filter("n_shingles > 0").select("doc_id", F.col("n_shingles").alias("n"), "sketch")
+    nearest = members.filter("pivot < doc_id").groupBy("doc_id").agg(F.min("pivot").alias("a")).select("a", F.col("doc_id").alias("b"))
+    for c in ("a", "b"):
+        nearest = nearest.join(sketches.select(F.col("doc_id").alias(c), F.col("n").alias(f"{c}_n"), F.col("sketch").alias(f"{c}_sketch")), c)
+    tested = settle(nearest.filter(may_link("a", "b", percent)).select("a", "b").distinct(), "pairs")
+    labels = components(verified(tested, rows, words, percent))
+    before, pivots = 0, FIRST_PIVOTS
     while True:
         placed = members.select("key", "doc_id").join(labels.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
         placed = settle(placed, "placed")
-        open_keys = settle(placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low < high").select("key", "n"), "open")
+        open_keys = settle(placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).filter("low < high").filter(F.col("n") > before).select("key", "n"), "open")
         most = open_keys.agg(F.max("n")).first()[0]
         if most is None:
             break
-        sketches = sizes.filter("n_shingles > 0").select("doc_id", "n_shingles", "sketch")
-        members_open = settle(placed.join(open_keys, "key").join(sketches, "doc_id"), "candidates")
-        share = F.pmod(F.xxhash64("key", "doc_id"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * pivots / F.col("n")
+        members_open = settle(placed.join(open_keys, "key").join(sketches.withColumnRenamed("n", "n_shingles"), "doc_id"), "candidates")
+
+        def among(number: int) -> Column:
+            """Whether a member is one of about ``number`` pivots of its key, all of them where it has no more members."""
+            share = F.pmod(F.xxhash64("key", "doc_id"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * number / F.col("n")
+            return (F.col("n") <= number) | share
 
         def side(rows: DataFrame, x: str) -> DataFrame:
             return rows.select("key", F.col("doc_id").alias(x), *[F.col(c).alias(f"{x}_{name}") for c, name in (("root", "root"), ("n_shingles", "n"), ("sketch", "sketch"))])
 
-        left = side(members_open.filter((F.col("n") <= pivots) | share), "x").withColumnRenamed("key", "x_key")
+        left = side(members_open.filter(among(pivots) & ~among(before)), "x").withColumnRenamed("key", "x_key")
         apart = (F.col("x_key") == F.col("key")) & (F.col("x_root") != F.col("y_root"))
         met = left.join(side(members_open, "y"), apart & may_link("x", "y", percent))
         pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         pairs = settle(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = verified(pairs, texts, words, percent)
+        links = verified(pairs, rows, words, percent)
+        for table in (placed, open_keys, members_open):
+            discard(table)
         if not links.isEmpty():
             labels = merged(labels, links)
         tested = tested.union(pairs.select("a", "b"))
         if pivots >= most:
             break
-        pivots *= 4
+        before, pivots = pivots, 4 * pivots
     by_head = heads.join(labels.select(F.col("node").alias("head"), "root"), "head", "left").select("n_shingles", "one", "two", F.coalesce("root", "head").alias("component"))
     of_set = sets.join(by_head, ["n_shingles", "one", "two"]).groupBy("doc_id").agg(F.min("component").alias("component"))
     return sizes.select("doc_id", "n_shingles").join(of_set, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
