@@ -45,7 +45,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollcall.llm.shingles import mix, shingle_sets
-from rollcall.operators.keys import cut_to, wanted_keys
+from rollcall.operators.keys import MOST_SENT_KEYS, cut_to, wanted_keys
+from rollcall.operators.row_ids import with_content_ids
 from rollcall.workdir import discard, settle
 
 SPREAD = 1.5
@@ -344,17 +345,22 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85) -> DataF
 
 
 def first_of_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with all columns, of each group of near duplicates only the document with the smallest id.
+    """``docs`` with all columns, of each group of near duplicates only the row with the smallest id.
 
-    Rows that repeat an id are one document; one of them stays. Rows with a null id stay.
+    Every row is a document of its own and is decided on by its own text, also where ids repeat
+    or are null; a null id comes after all others, among equal ids the smaller hash of the row
+    stays. Of equal rows one stays. Rows without words are in no group and all stay.
     """
-    spark = docs.sparkSession
-    found = settle(near_duplicates(docs, words, percent), "groups")
-    gone = settle(found.filter("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    bits = spark.sparkContext.broadcast(bit_map(gone, "doc_id"))
-    maybe = F.pandas_udf(lambda ids: ids.notna() & _maybe(bits.value, ids.fillna(0).to_numpy(np.int64)), "boolean")
-    marked = docs.withColumn("_maybe", maybe(F.col("doc_id").cast("long")))
-    kept = marked.filter("not _maybe").drop("_maybe").unionByName(marked.filter("_maybe").drop("_maybe").join(gone, "doc_id", "left_anti").select(docs.columns))
-    if found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    marked = with_content_ids(docs, "_uid")
+    rows = marked.select(F.col("_uid").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = near_duplicates(rows, words, percent).select(F.col("doc_id").alias("_uid"), "component_id")
+    # tables of their own, so that a group with a large part of all rows can be split by the joins
+    found = settle(found, "found")
+    large = settle(found.filter("_uid <> component_id").select("component_id").distinct(), "large")
+    several = settle(found.join(large, "component_id"), "groups")
+    ids = cut_to(marked.select("_uid", F.col("doc_id").cast("long").alias("_id")), wanted_keys(several, "_uid"), "_uid")
+    best = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_uid"))).alias("_best")
+    members = settle(several.join(ids, "_uid"), "groups")
+    staying = settle(members.groupBy("component_id").agg(best), "staying")
+    gone = settle(members.join(staying, "component_id").filter(F.col("_uid") != F.col("_best._uid")).select("_uid"), "gone")
+    return marked.join(F.broadcast(gone) if gone.count() <= MOST_SENT_KEYS else gone, "_uid", "left_anti").select(docs.columns)

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.llm.order import running_start, shuffled
+from rollcall.operators.row_ids import with_content_ids
 from rollcall.workdir import settle
 
 SHARDS = 8
@@ -96,11 +97,12 @@ def propagate(links: DataFrame, share: list[int]) -> DataFrame:
 
 def assign_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``doc_id``, ``size``, ``text_crc32``, ``law`` (rows), ``shard``, ``slot`` and ``grown_shard`` (null)."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = with_content_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "uid")
+    text = F.coalesce("text", F.lit(""))
     meta = settle(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), F.md5(text).alias("hub")
-        ).withColumn("uid", F.monotonically_increasing_id()),
+        rows.select(
+            "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).cast("long").alias("text_crc32"), F.md5(text).alias("hub"), "uid"
+        ),
         "meta",
     )
     total = meta.count()

@@ -13,8 +13,9 @@ rows is spread over many tasks; slots find their source by an equal join on grid
 documents their slots by an equal join on (source, block). No point passes the driver but
 the water level of the targets (two sums a round). Work is linear in documents and slots.
 
-Null text has size 0, a null source is a source of its own (the last), rows are told apart
-by their place in the table, so repeated rows and ids are separate documents. An empty table
+Null text has size 0, a null source is a source of its own (the last). Rows are told apart by
+ids made from their content, equal rows by a rank, so repeated rows and ids are separate
+documents, and reruns agree however the table is split. An empty table
 gives an empty mix. Only ``doc_id``, ``source`` and ``text`` are read; further columns are
 left out. Without any words all targets are 0.
 """
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from rollcall.llm.order import running_start, shuffled
 from rollcall.llm.quality_rules import words
+from rollcall.operators.row_ids import with_content_ids
 from rollcall.workdir import settle
 
 WEIGHTS = (1, 2, 3)
@@ -48,14 +50,9 @@ def fraction(n: Column) -> Column:
 
 def sizes(docs: DataFrame) -> DataFrame:
     """One row per document with its number of words; a written table."""
-    return settle(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.col("source").cast("string").alias("source"),
-            F.size(words(F.coalesce(F.col("text").cast("string"), F.lit("")))).cast("long").alias("size"),
-        ).withColumn("uid", F.monotonically_increasing_id()),
-        "sizes",
-    )
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    size = F.size(words(F.coalesce(F.col("text"), F.lit("")))).cast("long").alias("size")
+    return settle(with_content_ids(rows, "uid").select("doc_id", "source", size, "uid"), "sizes")
 
 
 def targets(meta: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -149,7 +146,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     A document that is taken by half or more of its words in an epoch counts for that epoch.
     """
-    kept = settle(docs.withColumn("_uid", F.monotonically_increasing_id()), "mixed")
+    kept = settle(with_content_ids(docs, "_uid"), "mixed")
     meta = settle(kept.select("doc_id", F.col("source").cast("string").alias("source"), F.size(words(F.coalesce(F.col("text").cast("string"), F.lit("")))).cast("long").alias("size"), F.col("_uid").alias("uid")), "sizes")
     taken = mix(meta, targets(meta)).groupBy("uid", "epoch").agg(F.sum(F.col("end") - F.col("first")).alias("taken"))
     times = taken.join(meta.select("uid", "size"), "uid").filter(2 * F.col("taken") >= F.col("size")).groupBy("uid").agg(F.count("*").cast("int").alias("_times"))

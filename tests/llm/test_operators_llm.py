@@ -132,7 +132,20 @@ def test_near_duplicates_by_brute_force(docs):
         assert rows_of(parity_join.near_duplicates(docs, size, percent)) == sorted(expected, key=str)
     kept = parity_join.first_of_groups(docs, 5, 80)
     assert kept.columns == docs.columns
-    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(map(str, [None, *{find(i) for i in ids}]))
+    # every row is decided on by its own text, whatever its id
+    rows = [(i, t, {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or ({tuple(w)} if w else set())) for i, t, *_ in corpus() for w in [WORD.findall((t or "").translate(LOWER))]]
+    group = list(range(len(rows)))
+    for _ in rows:  # labels spread until nothing changes
+        for a in range(len(rows)):
+            for b in range(len(rows)):
+                x, y = rows[a][2], rows[b][2]
+                if x and 100 * len(x & y) >= 80 * len(x | y):
+                    group[a] = min(group[a], group[b])
+    staying = collections.defaultdict(list)
+    for (i, t, _), g in zip(rows, group, strict=True):
+        staying[g].append((i is None, i or 0, t))
+    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(str(None if none else i) for none, i, _ in map(min, staying.values()))
+    assert not {r.text for r in kept.filter("doc_id = 12").collect()} - {t for i, t, *_ in corpus() if i == 12}
 
 
 def test_near_duplicates_of_a_pivot_of_all_its_keys(spark):
@@ -253,6 +266,9 @@ def test_mix(docs):
     assert all(abs(taken[n] - t) <= 1 for n, t in by_size.items())
     assert rows_of(source_mix.report(docs)) == sorted(map(tuple, got), key=str)
     assert source_mix.mixed_documents(docs).columns == docs.columns
+    # reruns agree however the table is split
+    for operator in (source_mix.report, sharding.assign_shards, source_mix.mixed_documents):
+        assert rows_of(operator(docs.coalesce(1))) == rows_of(operator(docs.repartition(8)))
 
 
 def test_personal_data(spark, docs):
@@ -364,3 +380,10 @@ def test_pages_with_large_parts():
     found = html_extraction.blocks(f"<body><main><p>{a}</p><ul>{links}</ul></main><div class=x><p>{b}</p></div></body>")
     assert html_extraction.main_blocks(found) == [a]
     assert html_extraction.main_blocks(html_extraction.blocks("<p><a href=x>only a link</a></p>")) == []
+
+
+def test_rows_that_repeat_an_id_or_have_none(spark):
+    one, other = prose(70, 40), prose(71, 40)
+    rows = [(1, one), (1, other), (2, edited(one, 1, 1)), (None, other), (None, other), (None, prose(72, 40)), (3, None), (3, None), (4, "")]
+    got = parity_join.first_of_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert rows_of(got) == sorted([(1, one), (1, other), (None, prose(72, 40)), (3, None), (3, None), (4, "")], key=str)
