@@ -370,6 +370,11 @@ def monthly_outputs(spark, d):
     return union_versions(*counts)
 
 
+def monthly_students(spark, d):
+    out, _ = _month(spark, d)
+    return spark.read.parquet(f"{out}/matriculas").select("matricula", "cpf_std", "row_id", "nome", "renda_media")
+
+
 BENEFICIARY_TABLES = ("student", "registry", "enrolment", "school", "school_class", "school_calendar", "manual_roster", "previous_accumulated")
 
 
@@ -392,6 +397,14 @@ def beneficiaries_mapped(spark, d):
     return spark.read.parquet(_beneficiaries(spark, d)["mapeados"])
 
 
+def beneficiaries_funnel(spark, d):
+    return spark.read.parquet(_beneficiaries(spark, d)["funil"])
+
+
+def beneficiaries_accumulated(spark, d):
+    return spark.read.parquet(_beneficiaries(spark, d)["acumulada"]).select("matricula", "cpf", "mesano")
+
+
 def beneficiaries_layout(spark, d):
     rows = spark.read.csv(_beneficiaries(spark, d)["layout"], sep=";", header=True, escape='"')
     typed = {"MATRICULA": "bigint", "DT_NASC_BENEFICIARIO": "date", "VLR_RENDA_MEDIA": "double"}
@@ -481,7 +494,8 @@ QUERIES = {
         registry_union_versions, registry_rejects, registry_accepted, registry_reject_counts, registry_mixed_headers, registry_row_ids,
         registry_to_month, registry_head, final_analysis, final_analysis_columns, beneficiary_debug, registry_incremental_buckets, header_inspect, preview_sample, delimiter_profile, trailer_record, trailer_check,
         sink_csv_roundtrip, sink_parquet_roundtrip, sink_bom_csv, sink_multi, outputs_by_period, outputs_listed, published_rerun, published_after_failure,
-        monthly_metrics, monthly_outputs, beneficiary_outputs, beneficiaries_mapped, beneficiaries_layout, manual_roster_read, manual_roster_rejected, registry_incremental,
+        monthly_metrics, monthly_outputs, monthly_students, beneficiary_outputs, beneficiaries_mapped, beneficiaries_funnel,
+        beneficiaries_accumulated, beneficiaries_layout, manual_roster_read, manual_roster_rejected, registry_incremental,
         registry_incremental_csv,
     )
 }
@@ -529,7 +543,7 @@ BENEFICIARY_SQL = {
     "inativos": "select * from previous_accumulated where matricula not in (select matricula from mapped)",
     "cpfs_unicos_mapeados": f"select distinct {person()} as p from mapped where p is not null",
     "cpfs_unicos_acumulada": f"select distinct {person()} as p from acc where p is not null",
-    "funil": "select 1",
+    "funil": "select 1",  # one row; its contents are in beneficiaries_funnel
     "layout": "select * from wanted join rg on rg.row_id=wanted.cad_row_id and rg.renda_media<=660",
 }
 ELIGIBLE_ST = f"""ids as ({STUDENT_SQL['eligible_students']}),
@@ -661,6 +675,17 @@ SQL = {
           union all select 'pessoas_unicas', pessoas_unicas from ({METRICS_BODY})
           union all select 'nao_mapeados', count(*) from st where not exists (select 1 from er where er.cpf_std=st.cpf_std)
           union all select 'cpf_invalidos', count(*) from er where cpf_std is null""", MONTH),
+    "monthly_students": with_views(
+        MONTH_VIEWS,
+        """select st.matricula, st.cpf_std, el.row_id, el.nome, el.renda_media from st join (
+            select * from er where cpf_std is not null qualify row_number() over (partition by cpf_std order by dat_atual_fam desc, row_id) = 1) el
+          on st.cpf_std = el.cpf_std""", MONTH),
+    "beneficiaries_funnel": with_views(
+        BENEFICIARY_TABLES,
+        """select count(*) as lidos, count(wf.cad_row_id) as mapeados, count(*) - count(wf.cad_row_id) as nao_mapeados,
+          count(*) filter (rg.renda_media <= 660) as elegiveis, count(wf.cad_row_id) - count(*) filter (rg.renda_media <= 660) as removidos
+          from wf left join rg on rg.row_id = wf.cad_row_id""", BENEFICIARY_CTES),
+    "beneficiaries_accumulated": with_views(BENEFICIARY_TABLES, "select matricula, cpf, mesano from acc", BENEFICIARY_CTES),
     "beneficiary_outputs": with_views(
         BENEFICIARY_TABLES, "\nunion all ".join(
             f"select '{name}' as saida, count(*) as linhas from ({query})" for name, query in BENEFICIARY_SQL.items()),

@@ -147,6 +147,12 @@ def matricula_merge(spark, d):
     return matching.merge_by_cpf_or_enrolment(ids, None, people)
 
 
+def document_merge(spark, d):
+    docs = view(spark, d, "student").select(F.col("matricula").alias("nro_int_aluno_estado"), F.concat(F.lit(" "), "cpf").alias("cpf"))
+    people = view(spark, d, "registry").select("cpf", "row_id", "renda_media")
+    return matching.merge_by_cpf_or_enrolment(docs.select("nro_int_aluno_estado"), docs, people)
+
+
 def merge_metrics(spark, d):
     return matching.require_cpfs(matching.merge_metrics(students(spark, d), eligible_registry(spark, d)))
 
@@ -279,7 +285,7 @@ QUERIES = {
     for f in (
         cpf_digits, cpf_trim, cpf_canonical, cpf_quality, cpf_quality_counts, name_normalise, period_ref_date,
         registry_latest, registry_superseded, cpf_duplicates, income_filter, income_filter_counts,
-        cpf_merge, cpf_merge_latest, cpf_merge_min, ensure_cpf, matricula_merge, merge_metrics, unique_persons,
+        cpf_merge, cpf_merge_latest, cpf_merge_min, ensure_cpf, matricula_merge, document_merge, merge_metrics, unique_persons,
         missing_cpf_sample, invalid_cpf_rows, invalid_cpf_counts,
         unique_persons_by_id, cpf_merge_latest_by_id, unmatched_by_id, cpf_conflicts_by_id,
         match_waterfall, match_rule_counts, unmapped_rows, unmatched_by_cpf, eligibility_funnel,
@@ -371,6 +377,10 @@ SQL = {
         "student registry",
         """select s.matricula as nro_int_aluno_estado, r.row_id, r.renda_media
           from student s join registry r on s.matricula=cast(substring(r.nome,10,9) as bigint)"""),
+    "document_merge": with_views(
+        "student registry",
+        """select s.matricula as nro_int_aluno_estado, trim(s.cpf) as cpf, r.row_id, r.renda_media
+          from student s join registry r on nullif(trim(s.cpf), '') = nullif(trim(r.cpf), '')"""),
     "merge_metrics": with_views(
         "student registry",
         """select (select count(*) from st) as alunos_total, (select count(cpf_std) from st) as alunos_com_cpf,
