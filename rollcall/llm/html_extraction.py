@@ -1,8 +1,11 @@
 """Main text of web pages by tag-path ratios.
 
 A tolerant reader cuts a page into blocks of text, each with the path of tags from the root
-to it. Elements that are never article text (scripts, navigation, forms, elements named as
-adverts, comments, notices and the like) are left out as they are read. For every path the
+to it. Elements that are never article text (scripts, navigation, asides) are left out as they
+are read. Forms and elements named as adverts, comments, notices and the like are left out
+when the page is known: one that holds the page's main element or first-level heading, or most
+of its text where no article, main element or such heading stands outside of them all, is no
+advert whatever its name. Names of paragraphs and other small parts count as whole words only. For every path the
 text length and punctuation of all its blocks are aggregated; the ratios per block are
 smoothed over neighbouring blocks, fused into one score, and paths whose score reaches half
 a standard deviation of the page's scores are content. The smallest element around all
@@ -41,7 +44,7 @@ ENDS = {
 }
 SCOPE = frozenset("table td th caption button object".split())
 # Elements that hold no article text, and words in class, id or role that say the same.
-DROPPED = frozenset("script style nav aside footer header form noscript template button select textarea iframe svg math canvas menu dialog head title object audio video".split())
+DROPPED = frozenset("script style nav aside footer header noscript template button select textarea iframe svg math canvas menu dialog head title object audio video".split())
 NAMED = frozenset(
     "ad ads adbox advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion banner sidebar aside comment comments commentlist disqus "
     "reply replies respond cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup signin login menu navbar nav navigation "
@@ -68,6 +71,9 @@ SCHEMA = "page_id long, url string, text string, n_chars long, n_blocks int, n_k
 SMOOTH = (0.25, 0.5, 0.25)
 THRESHOLD = 0.5
 HOLDS = 0.6
+MOST = 0.5
+# What tells where the article is.
+SIGNS = frozenset("article main h1".split())
 
 
 def _named(attributes: str) -> set[str]:
@@ -81,38 +87,79 @@ def _named(attributes: str) -> set[str]:
 
 
 def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element is left out whatever it holds."""
     if tag in KEPT:
         return False
     if tag in DROPPED:
         return not (tag == "header" and in_article)
-    if not attributes:
+    return bool(attributes) and bool(HIDDEN.search(attributes))
+
+
+def _doubtful(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element is left out unless the page has its article there."""
+    if tag in KEPT:
+        return False
+    if tag == "form":
+        return True
+    if "=" not in attributes:
         return False
-    words = _named(attributes) if "=" in attributes else set()
-    return bool(words & NAMED) or bool(words & PAGE_HEAD and not in_article) or bool(HIDDEN.search(attributes))
+    if tag in PARTS and tag != "section":
+        # a paragraph on copyright law is no copyright notice
+        words = {w.lower() for m in NAMES.finditer(attributes) for w in html.unescape(m[2] or m[3] or m[4] or "").split()}
+        return bool(words & NAMED)
+    words = _named(attributes)
+    return bool(words & NAMED) or bool(words & PAGE_HEAD and not in_article)
 
 
 def blocks(page: str) -> list[tuple[tuple[int, ...], str, str, int]]:
     """Blocks in page order: ids of the elements around it, tag path, text, characters in links."""
-    found: list[tuple[tuple[int, ...], str, str, int]] = []
-    stack: list[tuple[str, int, bool, str]] = []  # tag, element id, whether it is an article, class in paths
+    found, doubted = _read(page)
+    if not doubted:
+        return [block[:4] for block in found]
+    total = sum(len(text) for _, _, text, *_ in found)
+    held: dict[int, int] = defaultdict(int)
+    signed: set[int] = set()  # doubtful elements around a main element or first-level heading
+    signs_outside = False
+    for elements, path, text, _, doubtful in found:
+        tags = {t.partition(".")[0] for t in path.split("/")}
+        for n in doubtful:
+            held[n] += len(text)
+        signs_outside |= not doubtful and bool(tags & SIGNS)
+        # a heading within a doubtful element is a sign for the elements around it
+        signed.update(n for n in doubtful if any(t in ("h1", "main") and e > n for t, e in zip(path.split("/"), elements, strict=True)))
+    kept = {n for n in held if n in signed or (not signs_outside and held[n] >= MOST * total)}
+    return [block[:4] for block in found if kept.issuperset(block[4])]
+
+
+def _read(page: str) -> tuple[list[tuple[tuple[int, ...], str, str, int, tuple[int, ...]]], bool]:
+    """All blocks with the ids of the doubtful elements around them, and whether there are any."""
+    found: list[tuple[tuple[int, ...], str, str, int, tuple[int, ...]]] = []
+    stack: list[tuple[str, int, bool, str, bool]] = []  # tag, element id, whether it is an article, class in paths, whether it is doubtful
     text: list[str] = []
-    linked = at = number = 0
+    linked = at = number = links = articles = doubts = paragraphs = 0
     dropping = 0  # height of the stack at which leaving out ends; 0: not leaving out
+    ever = False
 
     def flush() -> None:
         nonlocal linked
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                around = [(t + label, n) for t, n, _, label in stack if t not in INLINE]
-                found.append((tuple(n for _, n in around), "/".join(t for t, _ in around), whole, min(linked, len(whole))))
+                around = [(t + label, n) for t, n, _, label, _ in stack if t not in INLINE]
+                unsure = tuple(n for _, n, _, _, doubtful in stack if doubtful) if doubts else ()
+                found.append((tuple(n for _, n in around), "/".join(t for t, _ in around), whole, min(linked, len(whole)), unsure))
             text.clear()
         linked = 0
 
     def cut(height: int) -> None:
-        nonlocal dropping
+        nonlocal dropping, links, articles, doubts, paragraphs
         if any(t not in INLINE for t, *_ in stack[height:]) and not dropping:
             flush()
+        for tag, _, article, _, doubtful in stack[height:]:
+            links -= tag == "a"
+            articles -= article
+            doubts -= doubtful
+            paragraphs -= tag == "p"
         del stack[height:]
         if dropping and len(stack) < dropping:
             dropping = 0
@@ -121,7 +168,7 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], str, str, int]]:
         nonlocal linked
         if piece and not dropping:
             text.append(piece)
-            if any(t == "a" for t, *_ in stack):
+            if links:
                 linked += len(piece.strip())
 
     position = 0
@@ -147,7 +194,7 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], str, str, int]]:
             if tag not in INLINE and not dropping:
                 flush()
             continue
-        if tag not in INLINE and tag not in VOID:
+        if paragraphs and tag not in INLINE and tag not in VOID:
             # a block ends an open paragraph
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == "p":
@@ -173,19 +220,20 @@ def blocks(page: str) -> list[tuple[tuple[int, ...], str, str, int]]:
             continue
         if attributes.rstrip().endswith("/") and tag in ("svg", "path"):
             continue
-        in_article = any(inside for _, _, inside, _ in stack)
-        if not dropping and _dropped(tag, attributes, in_article):
-            if tag not in INLINE:
-                flush()
-            dropping = len(stack) + 1
-        elif tag not in INLINE and not dropping:
+        doubtful = not dropping and _doubtful(tag, attributes, bool(articles))
+        if not dropping and tag not in INLINE:
             flush()
+        if not dropping and (_dropped(tag, attributes, bool(articles)) or doubtful and tag in INLINE):
+            dropping, doubtful = len(stack) + 1, False
         number += 1
-        stack.append((tag, number, tag in ("article", "main"), "." + ".".join(sorted(_named(attributes))) if tag in GENERIC and "=" in attributes else ""))
+        ever = ever or doubtful
+        article = tag in ("article", "main")
+        links, articles, doubts, paragraphs = links + (tag == "a"), articles + article, doubts + doubtful, paragraphs + (tag == "p")
+        stack.append((tag, number, article, "." + ".".join(sorted(_named(attributes))) if tag in GENERIC and "=" in attributes else "", doubtful))
     say(page[at:])
     if not dropping:
         flush()
-    return found
+    return found, ever
 
 
 def scores(found: list[tuple[tuple[int, ...], str, str, int]]) -> dict[str, float]:
