@@ -5,9 +5,8 @@ more bits than the sets differ in shingles. Documents of a band of set sizes hav
 equally many blocks of 64 bits. Sets of sizes a and b at least p % alike differ in at most
 d = (100 - p)(a + b) / (100 + p) shingles, so of d + m blocks at least m are untouched and
 equal. A key is a block's number, parity bits and the XOR of its shingles' hashes; documents
-that share a key are candidates. Blocks with fewer than two shingles say little and would be
-hot: they are left out unless a document has m or more of them, in which case all its blocks
-are keys. A document that leaves out l blocks shares at least q = m - l keys with any linked
+that share a key are candidates. Blocks without shingles say nothing and would be hot: they
+are left out unless a document has m or more of them, in which case all its blocks are keys. A document that leaves out l blocks shares at least q = m - l keys with any linked
 one (the others at least one). The rarest of them is not among either document's q - 1 most
 frequent keys, so each document drops these: passages that many documents share make no
 candidates, and no link is lost. A document is in its own band and, where it can have
@@ -56,7 +55,7 @@ OUT_ROWS = 100_000
 # Bits of a whole set's sketch, in words of 64. More bits only spare comparisons of sets with more than about 3,000 shingles.
 SKETCH = 1024
 # Blocks beyond those that are needed, as a share of d; the more, the more frequent keys can be dropped.
-EXTRA = 0.35
+EXTRA = 0.2
 
 
 @lru_cache(maxsize=None)
@@ -70,8 +69,8 @@ def band(number: int, percent: int) -> tuple[int, int, int, int]:
     spare = 1
     for _ in range(4 if d else 0):
         per_block = low / (d + spare)
-        light = (d + spare) * math.exp(-per_block) * (1 + per_block)
-        spare = math.ceil(EXTRA * d) + min(max(2, d), 1 + math.ceil(light + 3 * math.sqrt(light)))
+        empty = (d + spare) * math.exp(-per_block)
+        spare = math.ceil(EXTRA * d) + min(max(2, d), 1 + math.ceil(empty + 3 * math.sqrt(empty)))
     return low, high, d, d + spare
 
 
@@ -91,14 +90,11 @@ def block_keys(shingles: np.ndarray, number: int, percent: int) -> tuple[np.ndar
     order = np.argsort(block, kind="stable")
     block, hashes, bits = block[order], shingles[order], np.uint64(1) << (place[order] & np.uint64(63))
     starts = np.flatnonzero(np.diff(block, prepend=-1))
-    numbers, counts = block[starts], np.diff(starts, append=len(block))
+    numbers = block[starts]
     value = np.bitwise_xor.reduceat(hashes, starts)
     parity = np.bitwise_xor.reduceat(bits, starts)
-    heavy = counts >= 2
-    sure = int(heavy.sum()) - d
-    if sure > 0:
-        numbers, value, parity = numbers[heavy], value[heavy], parity[heavy]
-    else:
+    sure = len(numbers) - d
+    if sure <= 0:
         every = np.zeros((2, blocks), np.uint64)
         every[0, numbers], every[1, numbers] = value, parity
         numbers, value, parity = np.arange(blocks), every[0], every[1]
