@@ -2,13 +2,22 @@
 
 A document's terms are its words, weighted by how often they occur. For each of ``SAMPLES``
 samples a term gets, from hashes of the term, two gamma(2, 1) draws r and c and a uniform
-draw b; with weight w, t = floor(ln w / r + b) and ln a = ln c - r (t + 1 - b). The term of
+draw b; with weight w, t = floor(ln w / r + b) and a = c exp(-r (t + 1 - b)). The term of
 the smallest a, with its t, is the sample. Two documents agree in a sample with the
 probability of their generalised Jaccard similarity, the sum of the smaller over the sum of
-the larger weights. ln a in fixed point and 32 bits of hash of (term, t) make one number, so
-a sample is a plain minimum, aggregated where the document is, ``BLOCK`` samples at a time so
-that the generated code stays small. The share of samples that agree has a standard error of
-at most 0.045 with 128 samples (0.035 at 0.8).
+the larger weights. A term and its t give a value of a that no other gives, so a sample is a
+plain minimum, aggregated where the document is, ``BLOCK`` samples at a time so that the
+generated code stays small. The share of samples that agree has a standard error of at most
+0.045 with 128 samples (0.035 at 0.8).
+
+The draws are taken as sums of exponential ones, which have just these distributions: with
+c = a1 + a2, u = a1 / c is uniform and independent of c, so with e1 a third exponential draw
+r = e1 - ln u is gamma(2, 1) and b = e1 / r uniform, all three independent. Then t = 0 gives
+a = a1, so that a word seen once, and any with w u < 1, needs a hash and no logarithm: the
+bits of a's distribution function 1 - exp(-a) are the hash itself. Because a is at least
+a1 exp(-e1) / w, a word for which this exceeds ``SURELY`` / n, n the document's words, keeps
+t = 0: the smallest a is exponential with rate n, so that this touches a sample with a
+probability of exp(-32).
 
 Successors by descending id are found without sorting all rows in one task: bucket bounds
 come from approximate quantiles of the ids (at most ``BUCKETS`` numbers), each bucket is
@@ -33,8 +42,7 @@ SAMPLES = 128
 BLOCK = 32
 BUCKETS = 1024
 FINE = 32
-SCALE = 1 << 23
-OFFSET = 128.0
+SURELY = 32.0
 
 
 def buckets(ids: DataFrame, most: int) -> list[int]:
@@ -90,32 +98,37 @@ def edited_text(text: Column, following: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """Hashes of the different words with their counts."""
+    """Hashes of the different words with their counts and the number of all words."""
     def counted(h: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: ~F.get(h, i).eqNullSafe(F.get(h, i - 1)))
-        return let(starts, lambda s: F.transform(s, lambda a, j: F.struct(F.get(h, a).alias("term"), (F.coalesce(F.get(s, j + 1), F.size(h)) - a).alias("count"))))
+        return let(starts, lambda s: F.transform(s, lambda a, j: F.struct(F.get(h, a).alias("term"), (F.coalesce(F.get(s, j + 1), F.size(h)) - a).alias("count"), F.size(h).alias("all"))))
 
     w = words(text)
     hashes = F.sort_array(F.transform(w, lambda x: F.xxhash64(x)))
-    return let(hashes, lambda h: F.when(F.size(h) > 0, counted(h)).otherwise(F.array().cast("array<struct<term:bigint,count:int>>")))
+    return let(hashes, lambda h: F.when(F.size(h) > 0, counted(h)).otherwise(F.array().cast("array<struct<term:bigint,count:int,all:int>>")))
 
 
-def uniform(bits: Column, part: int) -> Column:
-    """One of three uniform draws in (0, 1) out of 64 hash bits."""
-    return (F.shiftrightunsigned(bits, 21 * part).bitwiseAND((1 << 21) - 1).cast("double") + 0.5) / float(1 << 21)
+def uniform(bits: Column, n: int) -> Column:
+    """A number in (0, 1) from ``n`` bits."""
+    return (bits.cast("double") + 0.5) / float(1 << n)
 
 
 def draw(i: int) -> Column:
-    """Sample ``i`` of the column ``block`` of a term as one number: ln a in fixed point, then 32 bits for (term, t)."""
-    one = F.xxhash64(F.col("term"), F.col("block") * BLOCK + i)
+    """Sample ``i`` of a term's block, from the column ``seed`` of both: 63 bits of 1 - exp(-a)."""
+    count = F.col("count")
+    one = F.xxhash64(F.col("seed").bitwiseXOR(i))
     two = F.xxhash64(one)
-    r = -F.ln(uniform(one, 0) * uniform(one, 1))
-    ln_c = F.ln(-F.ln(uniform(one, 2) * uniform(two, 0)))
-    b = uniform(two, 1)
-    t = F.floor(F.col("ln_w") / r + b)
-    ln_a = ln_c - r * (t.cast("double") + 1.0 - b)
-    low = F.xxhash64(F.col("term"), t).bitwiseAND(0xFFFFFFFF)
-    return F.shiftleft(((ln_a + OFFSET) * float(SCALE)).cast("long"), 32).bitwiseOR(low)
+    at_once = F.shiftrightunsigned(one, 1)
+    below = uniform(F.shiftrightunsigned(one, 12), 52)
+    exp_e1 = uniform(F.shiftrightunsigned(two, 32), 32)
+    a1, a2 = -F.ln(1.0 - below), -F.ln(uniform(two.bitwiseAND(0xFFFFFFFF), 32))
+    one_by_u = 1.0 + a2 / a1
+    exp_r = exp_e1 / one_by_u
+    t = F.floor(F.ln(count / exp_e1) / -F.ln(exp_r))
+    a = (a1 + a2) * F.pow(exp_r, t + 1) / exp_e1
+    later = (-F.expm1(-a) * float(1 << 63)).cast("long")
+    too_large = below * exp_e1 * F.col("all") >= SURELY * count
+    return F.when((count == 1) | too_large | (one_by_u > count), at_once).otherwise(later)
 
 
 def fingerprint(rows: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -123,10 +136,11 @@ def fingerprint(rows: DataFrame, keys: list[str], samples: int = SAMPLES) -> Dat
 
     -1 stands for every sample of a text without words.
     """
-    each = rows.select(*keys, F.explode_outer(terms(F.col("text"))).alias("t")).select(*keys, F.col("t.term").alias("term"), F.ln(F.col("t.count").cast("double")).alias("ln_w"))
+    each = rows.select(*keys, F.explode_outer(terms(F.col("text"))).alias("t")).select(*keys, *[F.col(f"t.{c}").alias(c) for c in ("term", "count", "all")])
     blocks = each.select("*", F.explode(F.array(*[F.lit(b) for b in range(-(-samples // BLOCK))])).alias("block"))
+    blocks = blocks.select(*keys, "block", "count", "all", F.xxhash64("term", "block").alias("seed"))
     least = blocks.groupBy(*keys, "block").agg(*[F.min(draw(i)).alias(f"s{i}") for i in range(BLOCK)])
-    part = F.array(*[F.coalesce(F.col(f"s{i}").bitwiseAND(0xFFFFFFFF), F.lit(-1).cast("long")) for i in range(BLOCK)])
+    part = F.array(*[F.when(F.col(f"s{i}").isNull(), F.lit(-1).cast("long")).otherwise(F.xxhash64(f"s{i}").bitwiseAND(0xFFFFFFFF)) for i in range(BLOCK)])
     parts = least.select(*keys, F.struct("block", part.alias("part")).alias("p")).groupBy(*keys).agg(F.array_sort(F.collect_list("p")).alias("parts"))
     return parts.select(*keys, F.slice(F.flatten(F.transform("parts", lambda p: p["part"])), 1, samples).alias("signature"))
 
