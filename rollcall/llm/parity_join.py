@@ -36,6 +36,7 @@ and ``text`` are read, so further columns are left out.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -156,13 +157,19 @@ def may_link(x: str, y: str, percent: int) -> Column:
     return (100 * small >= percent * large) & ((100 + percent) * differing <= (100 - percent) * (small + large))
 
 
+def texts_of(column: pa.Array) -> Iterator[str | None]:
+    """The texts of a column, few at a time as Python strings."""
+    for at in range(0, len(column), 64):
+        yield from column.slice(at, 64).to_pylist()
+
+
 def set_sizes(rows: DataFrame, words: int) -> DataFrame:
     """``doc_id``, ``n_shingles``, two sums of hashes that tell sets apart (128 bits), and the set's ``sketch``."""
 
     def run(batches):
         for batch in batches:
             sizes, one, two, sketches = [], [], [], [np.zeros(0, np.int64)]
-            for s in shingle_sets(batch.column(1).to_pylist(), words):
+            for s in shingle_sets(texts_of(batch.column(1)), words):
                 sizes.append(len(s))
                 sketches.append(whole_sketch(s))
                 one.append(int(mix(s).sum(dtype=np.uint64)))
@@ -191,7 +198,7 @@ def keys(rows: DataFrame, words: int, percent: int, known=None) -> DataFrame:
     def run(batches):
         held, n = [], 0
         for batch in batches:
-            for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), words), strict=True):
+            for doc_id, s in zip(batch.column(0).to_pylist(), shingle_sets(texts_of(batch.column(1)), words), strict=True):
                 if doc_id is None or not len(s):
                     continue
                 for number in bands(len(s), percent):

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 18
 _random = np.random.Generator(np.random.PCG64(4))
 BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PLACE = _random.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -43,7 +43,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return mix(np.add.reduceat(weight, np.flatnonzero(first[letters])) ^ STEP), counts
 
 
-def shingle_sets(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
+def shingle_sets(texts: Iterable[str | None], size: int) -> Iterator[np.ndarray]:
     """For each text the sorted different hashes of its shingles of ``size`` words, lower-case in A-Z.
 
     A text of fewer words has its whole sequence as one; without words, none.
