@@ -16,9 +16,11 @@ Links are found without writing out the pairs of a group. Equal sets are one cla
 its smallest id. Keys are reduced by partial aggregates to those with two classes or more,
 with the smallest as pivot. First each class is verified against its smallest pivot only,
 and the verified ones become components. Keys whose members are in one component are done,
-since only reachability is asked for. Of the others, 32, 128, ... members pivots per key
-are compared with the members in other components, each pivot in one round only, until no key is
-open or all its members were compared. The comparing join itself sets sizes and ``SKETCH``-bit parity sketches of
+since only reachability is asked for. Of the others, 2, 16, 128, ... members per key are pivots and
+compared with the members in other components, each pivot in one round only, until no key is
+open or all its members were compared. Pivots are the members first in one order of all
+documents, so the many keys of a group of near copies have the same few, and the group is one
+component before more are asked: its pairs grow with its size, not with the square. The comparing join itself sets sizes and ``SKETCH``-bit parity sketches of
 whole sets against the bound d, so members of a key that only share a passage make no row;
 what is left is verified on whole sets. So no link between different components is missed.
 A key that stays open costs a comparison of sketches for each two of its members.
@@ -51,7 +53,7 @@ from rollcall.workdir import discard, settle
 
 SPREAD = 1.5
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 30
-FIRST_PIVOTS = 32
+FIRST_PIVOTS, MORE_PIVOTS = 2, 8
 OUT_ROWS = 100_000
 # Bits of a whole set's sketch, in words of 64. More bits only spare comparisons of sets with more than about 3,000 shingles.
 SKETCH = 1024
@@ -322,7 +324,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85) -> DataF
 
         def among(number: int) -> Column:
             """Whether a member is one of about ``number`` pivots of its key, all of them where it has no more members."""
-            share = F.pmod(F.xxhash64("key", "doc_id"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * number / F.col("n")
+            share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * number / F.col("n")
             return (F.col("n") <= number) | share
 
         def side(rows: DataFrame, x: str) -> DataFrame:
@@ -341,7 +343,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85) -> DataF
         tested = tested.union(pairs.select("a", "b"))
         if pivots >= most:
             break
-        before, pivots = pivots, 4 * pivots
+        before, pivots = pivots, MORE_PIVOTS * pivots
     by_head = heads.join(labels.select(F.col("node").alias("head"), "root"), "head", "left").select("n_shingles", "one", "two", F.coalesce("root", "head").alias("component"))
     of_set = sets.join(by_head, ["n_shingles", "one", "two"]).groupBy("doc_id").agg(F.min("component").alias("component"))
     return sizes.select("doc_id", "n_shingles").join(of_set, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
