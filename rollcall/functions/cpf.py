@@ -11,9 +11,18 @@ from pyspark.sql import functions as F
 CPF_LENGTH = 11
 
 
+def _or_null(text: Column) -> Column:
+    """``text``, null when empty.
+
+    It names ``text`` once: ``nullif`` and ``when`` name it twice, and filters on the result that
+    Spark moves into the scan would take out the digits of every row again for each name.
+    """
+    return F.get(F.array_remove(F.array(text), ""), F.lit(0))
+
+
 def cpf_digits(cpf: Column) -> Column:
     """Only the digits; null when there are none, so that such rows never join."""
-    return F.nullif(F.regexp_replace(cpf.cast("string"), "[^0-9]", ""), F.lit(""))
+    return _or_null(F.regexp_replace(cpf.cast("string"), "[^0-9]", ""))
 
 
 # Ids that stand for no person: only zeros, or one digit eleven times.
@@ -22,8 +31,8 @@ NO_PERSON = r"^(0+|([0-9])\2{10})$"
 
 def person_cpf(cpf: Column) -> Column:
     """The digits of an id that can stand for one person, else null: it then matches and merges nobody."""
-    digits = cpf_digits(cpf)
-    return F.when(~digits.rlike(NO_PERSON), digits)
+    digits = F.regexp_replace(cpf.cast("string"), "[^0-9]", "")
+    return _or_null(F.regexp_replace(digits, NO_PERSON, ""))
 
 
 def cpf_trimmed(cpf: Column) -> Column:

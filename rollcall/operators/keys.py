@@ -60,10 +60,11 @@ def cut_to(big: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
     Up to ``MOST_SENT_KEYS`` keys are counted and sent to the tasks that scan ``big``, which is
     then read once and not shuffled; with more of them the semi join shuffles the columns of
     ``big`` that are in use. Types of the key must be the same on both sides. A row with another
-    key of the same 64-bit hash stays: the join on the key itself that follows drops it.
+    key of the same 64-bit hash stays: the join on the key itself that follows drops it. Rows
+    without a key have a hash that no key has; a test for null of its own would compute the key twice.
     """
     few = wanted.count() <= MOST_SENT_KEYS
-    hashed = big.dropna(subset=list(columns)).withColumn("_wanted", F.xxhash64(*columns))
+    hashed = big.withColumn("_wanted", F.xxhash64(*columns))
     return hashed.join(F.broadcast(wanted) if few else wanted, "_wanted", "left_semi").drop("_wanted")
 
 

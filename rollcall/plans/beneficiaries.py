@@ -7,11 +7,12 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollcall.functions.cpf import person_cpf
 from rollcall.functions.period import reference_date
 from rollcall.operators import history
 from rollcall.operators.keys import cut_to, join_written, wanted_keys
 from rollcall.operators.layout import beneficiary_layout, enrich_matched, with_manual_rows
-from rollcall.operators.matching import cpf_conflicts, eligibility_funnel, match_waterfall
+from rollcall.operators.matching import cpf_conflicts, eligibility_funnel, match_waterfall, shared_ids
 from rollcall.operators.reconcile import final_analysis
 from rollcall.operators.registry import with_standard_cpf
 from rollcall.operators.students import eligible_students
@@ -44,9 +45,14 @@ def run_beneficiaries(
     students = settle(people.select("matricula", "nm_aluno", "nm_mae", "dt_nascimento", "cpf_std"), "eligible")
     registry = with_standard_cpf(tables["registry"])
 
+    # conflicts and manual ids want the newest rows of few ids: both take them from one scan
+    roster = tables["manual_roster"].select(person_cpf(F.col("cpf")).alias("cpf_std"))
+    ids = wanted_keys(shared_ids(students).unionByName(roster), "cpf_std")
+    by_id = settle(cut_to(registry.select("cpf_std", "nome", "row_id", "dat_atual_fam"), ids, "cpf_std"), "by-id")
+
     matched = settle(enrich_matched(match_waterfall(students, registry), registry, []), "matched")
     removed = settle(
-        cpf_conflicts(students, registry).filter("not manter").select("matricula", "nm_aluno", "cpf_std", "nome_cad"), "removed"
+        cpf_conflicts(students, by_id).filter("not manter").select("matricula", "nm_aluno", "cpf_std", "nome_cad"), "removed"
     )
     kept = settle(matched.join(removed.select("matricula"), "matricula", "left_anti"), "kept")
     automatic = kept.filter("cad_cpf is not null").select("matricula", F.col("cad_cpf").alias("cpf"))
@@ -69,7 +75,7 @@ def run_beneficiaries(
             "funil": eligibility_funnel(matched, registry, cut),
         }.items()
     }
-    rows = settle(with_manual_rows(kept, mapped, registry), "rows")
+    rows = settle(with_manual_rows(kept, mapped, by_id), "rows")
     layout = beneficiary_layout(rows, registry, tables["enrolment"], tables["school"], cut)
     paths["layout"] = write_csv(layout, f"{out}/{period}/layout", bom=True)
     return paths
