@@ -196,10 +196,16 @@ FAULT = "case row_id%50 when 1 then 'campos_a_mais' when 2 then 'campos_a_menos'
 FIELDS = f"case row_id%50 when 1 then {len(RAW) + 2} when 2 then 3 end"
 
 
+# Rows of one written file or one task: more rows make more of them, not larger ones.
+PART_ROWS = 250_000
+
+
 def _faulty_files(spark, d):
-    """The registry in four files, each with its header first."""
-    rows = view(spark, d, "registry").select((F.col("row_id") % 4).alias("lote"), F.col("row_id").alias("ordem"), F.expr(FAULTY).alias("value"))
-    header = spark.range(4).select(F.col("id").alias("lote"), F.lit(-1).cast("bigint").alias("ordem"), F.lit(";".join(RAW)).alias("value"))
+    """The registry in four files and one more for each ``PART_ROWS`` rows, each with its header first."""
+    people = view(spark, d, "registry")
+    files = 4 + people.count() // PART_ROWS
+    rows = people.select((F.col("row_id") % files).alias("lote"), F.col("row_id").alias("ordem"), F.expr(FAULTY).alias("value"))
+    header = spark.range(files).select(F.col("id").alias("lote"), F.lit(-1).cast("bigint").alias("ordem"), F.lit(";".join(RAW)).alias("value"))
     path = fresh_path(spark, "faulty")
     lines = header.unionByName(rows).repartition("lote").sortWithinPartitions("lote", "ordem").drop("ordem")
     lines.write.partitionBy("lote").option("encoding", "ISO-8859-1").text(path)
