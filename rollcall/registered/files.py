@@ -244,7 +244,8 @@ def registry_row_ids(spark, d):
     """Ids of the same rows, every third of them twice, in two orders and numbers of tasks."""
     raw = raw_registry(spark, d)
     raw = raw.unionByName(raw.filter("cast(`p.num_nis_pessoa_atual` as bigint) % 3 = 0"))
-    one, other = (with_content_ids(df).select("row_id").withColumn("lido", F.lit(n)) for n, df in enumerate((raw, raw.repartition(7, F.rand(1)))))
+    mixed = raw.repartition(7 + raw.count() // PART_ROWS, F.rand(1))
+    one, other = (with_content_ids(df).select("row_id").withColumn("lido", F.lit(n)) for n, df in enumerate((raw, mixed)))
     per_id = one.unionByName(other).groupBy("row_id").agg(F.sum("lido").alias("na_segunda"), F.count(F.lit(1)).alias("vezes"))
     same = (F.col("na_segunda") == 1) & (F.col("vezes") == 2)
     return per_id.agg(F.count(F.lit(1)).alias("ids"), F.count_if(same).alias("iguais"))
