@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rollcall.fixtures import PERIOD, view, with_views
+from rollcall.fixtures import PERIOD, view, views, with_views
 from rollcall.operators import columns as col
 from rollcall.operators.history import accumulate, union_versions
+from rollcall.operators.layout import beneficiary_layout as layout_of
 from rollcall.plans.beneficiaries import layout_debug, publish_final_analysis, run_beneficiaries
 from rollcall.operators.row_ids import with_content_ids
 from rollcall.plans.monthly import publish_month, run_month
@@ -443,7 +444,8 @@ def final_analysis_columns(spark, d):
 
 def beneficiary_debug(spark, d):
     matched = settle(waterfall(spark, d).select("matricula", "regra", "cad_row_id"), "matched")
-    layout = beneficiary_layout(spark, d).filter("MATRICULA % 12 <> 0")  # students taken out by hand
+    layout = layout_of(matched, view_registry(spark, d), *views(spark, d, "enrolment", "school"))
+    layout = layout.filter("MATRICULA % 12 <> 0")  # students taken out by hand
     return layout_debug(matched, view_registry(spark, d), layout)
 
 
