@@ -16,6 +16,10 @@ slice; those of frequent words are summed per word and class before they are gat
 gathered word has at most two entries per class, and a rare word fewer than 2 ``FREQUENT``.
 Only totals, the class matrix and the opening words reach the driver.
 
+A task's memory follows from these sizes, not from how many texts or slices its split has:
+texts come to Python in batches of ``BATCH_BYTES``, a slice's tokens are worked on ``STRIDE``
+at a time, and a slice is a row group of its own, so that readers hold one of them.
+
 Tokens are words, A-Z lower-cased, and one end per text, which also precedes the first word.
 Words not in training are one further event with the share that Good and Turing give it.
 Transitions are smoothed towards the classes' shares. All probabilities of a context add up to 1.
@@ -46,18 +50,32 @@ CLASSES = 64
 FREQUENT = 64
 ROUNDS = 2
 SLICE_BYTES = 8 << 20
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 18
+STRIDE = 1 << 17
+BATCH_BYTES = 1 << 20
 PRIOR = 0.1
 SMOOTHING = 4.0
 END, OTHER, FIRST = 0, 1, 2  # class of the end, of words without a class (later: unknown ones), first class of words
 END_HASH = 0
-GAIN_ROWS = 20_000
+GAIN_ROWS = 10_000
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 SLICES = "slice long, words array<long>, counts array<long>, tokens binary, sizes array<long>, ids array<long>, held array<boolean>"
 CONTEXTS = "word long, codes array<int>, times array<long>"
 RESOLVED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, emission double, classes binary"
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
+def _settle(df: DataFrame, name: str, **options) -> DataFrame:
+    """``settle`` with at most ``BATCH_BYTES`` (or one row) in each batch sent to Python."""
+    conf = df.sparkSession.conf
+    before = conf.get(ARROW_BYTES)
+    conf.set(ARROW_BYTES, str(BATCH_BYTES))
+    try:
+        return settle(df, name, **options)
+    finally:
+        conf.set(ARROW_BYTES, before)
+
+
 def _parts(data: bytes) -> Iterator[bytes]:
     """A text in parts of about ``PART_BYTES``, cut at white space."""
     at = 0
@@ -88,12 +106,21 @@ def _encoded(number: int, ids: list, held: list, texts: list[bytes]) -> pa.Recor
     is_end[np.cumsum(sizes) - 1] = True
     tokens = np.full(len(is_end), END_HASH, np.int64)
     tokens[~is_end] = hashes.view(np.int64)
-    words, places, often = np.unique(tokens, return_inverse=True, return_counts=True)
+    del hashes
+    rising = np.argsort(tokens)
+    tokens = tokens[rising]
+    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+    words, often = tokens[first], np.diff(first, append=len(tokens))
+    del tokens
     order = np.argsort(-often, kind="stable")  # frequent words get small numbers, which compress
     rank = np.empty(len(words), np.int32)
     rank[order] = np.arange(len(words), dtype=np.int32)
-    words, places = words[order], rank[places]
-    training = np.bincount(places[np.repeat(~np.array(held, bool), sizes)], minlength=len(words))
+    words, places = words[order], np.empty(len(rising), np.int32)
+    places[rising] = np.repeat(rank, often)
+    del rising
+    taught, training = np.repeat(~np.array(held, bool), sizes), np.zeros(len(words), np.int64)
+    for at in range(0, len(places), STRIDE):
+        training += np.bincount(places[at : at + STRIDE][taught[at : at + STRIDE]], minlength=len(words))
     return pa.RecordBatch.from_pylist([{
         "slice": number, "words": words, "counts": training, "tokens": places.view(np.uint8).reshape(-1, 4).T.tobytes(), "sizes": sizes, "ids": ids, "held": held,
     }], schema=pa.schema([
@@ -111,7 +138,7 @@ def encoded(docs: DataFrame) -> DataFrame:
             for doc_id, out, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids.append(doc_id)
                 held.append(out)
-                texts.append((text or "").encode())
+                texts.append(text or b"")
                 size += len(texts[-1]) + 1
                 if size >= SLICE_BYTES:
                     yield _encoded(number, ids, held, texts)
@@ -121,14 +148,22 @@ def encoded(docs: DataFrame) -> DataFrame:
 
     doc_id = F.col("doc_id").cast("long")
     out = F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 10 == 0
-    return settle(docs.select(doc_id.alias("doc_id"), out.alias("held"), F.col("text").cast("string").alias("text")).mapInArrow(run, SLICES), "slices")
+    read = docs.select(doc_id.alias("doc_id"), out.alias("held"), F.col("text").cast("string").cast("binary").alias("text"))
+    return _settle(read.mapInArrow(run, SLICES), "slices", **{"parquet.block.row.count.limit": 1})
+
+
+def listed(slices: DataFrame) -> DataFrame:
+    """One row per slice and different word: its place, the word and how often training has it there."""
+    return slices.select("slice", "counts", F.posexplode("words").alias("at", "word")).select("slice", "at", "word", F.get("counts", F.col("at")).alias("n"))
 
 
-def _counted(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The different keys, rising, and how often each is there; in a table where that is not much larger than the keys."""
-    if most > 4 * len(keys):
-        return np.unique(keys, return_counts=True)
-    table = np.bincount(keys, minlength=1)
+def _counted(keys: Iterator[np.ndarray], n_keys: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys below ``most``, rising, and how often each is there; in a table where that is not much larger than the keys."""
+    if most > 4 * n_keys:
+        return np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_counts=True)
+    table = np.zeros(most, np.int64)
+    for some in keys:
+        table += np.bincount(some, minlength=most)
     seen = np.flatnonzero(table)
     return seen, table[seen]
 
@@ -153,16 +188,25 @@ class Slice:
 
         A further row without a word has the counts of class pairs.
         """
-        tokens = self.tokens[np.repeat(~self.held, self.sizes)]
-        here = self.classes.astype(np.int32)[tokens]
-        before = np.concatenate([np.array([END], np.int32), here[:-1]])
-        pairs = np.bincount(before * np.int32(n_classes) + here, minlength=1)
-        chosen = np.flatnonzero((here != END) & (self.known[tokens] == frequent))
-        wanted = np.flatnonzero((self.known == frequent) & (self.words != END_HASH))
+        tokens, classes = self.tokens[np.repeat(~self.held, self.sizes)], self.classes.astype(np.int32)
+        chosen = (self.known == frequent) & (self.words != END_HASH)
+        wanted = np.flatnonzero(chosen)
         number = np.zeros(len(self.words), np.int64)
         number[wanted] = np.arange(len(wanted)) * (2 * n_classes)
-        base = number[tokens[chosen]]
-        keys, times = _counted(np.concatenate([base + here[chosen + 1], base + n_classes + before[chosen]]), len(wanted) * 2 * n_classes)
+        pairs, n_chosen = np.zeros(n_classes * n_classes, np.int64), 0
+        for at in range(0, len(tokens), STRIDE):
+            before = classes[tokens[at - 1 : at + STRIDE - 1]] if at else np.append(np.int32(END), classes[tokens[: STRIDE - 1]])
+            pairs += np.bincount(before[: len(tokens) - at] * np.int32(n_classes) + classes[tokens[at : at + STRIDE]], minlength=len(pairs))
+            n_chosen += np.count_nonzero(chosen[tokens[at : at + STRIDE]])
+
+        def keys() -> Iterator[np.ndarray]:
+            for at in range(0, len(tokens), STRIDE):
+                here = at + np.flatnonzero(chosen[tokens[at : at + STRIDE]])
+                base = number[tokens[here]]
+                yield base + classes[tokens[here + 1]]  # an end follows every word
+                yield base + n_classes + np.where(here > 0, classes[tokens[here - 1]], END)
+
+        keys, times = _counted(keys(), 2 * n_chosen, len(wanted) * 2 * n_classes)
         word, code = wanted[keys // (2 * n_classes)], keys % (2 * n_classes)
         starts = np.flatnonzero(np.diff(word, prepend=-1))
         seen = np.flatnonzero(pairs)
@@ -182,7 +226,7 @@ def grouped(slices: DataFrame, classed: DataFrame, function, schema: str) -> Dat
 
 def entries(contexts: DataFrame) -> DataFrame:
     """One row per word, code and slice."""
-    return contexts.select("word", F.explode(F.arrays_zip(F.col("codes").alias("code"), F.col("times").alias("times"))).alias("p")).select("word", "p.*")
+    return contexts.select("word", "times", F.posexplode("codes").alias("at", "code")).select("word", "code", F.get("times", F.col("at")).alias("times"))
 
 
 def matrix(counted: DataFrame, n_classes: int) -> np.ndarray:
@@ -212,26 +256,25 @@ def best_classes(pairs: np.ndarray, word: np.ndarray, code: np.ndarray, times: n
 
 
 def moved(words: DataFrame, pairs: np.ndarray) -> DataFrame:
-    """``word``, ``n`` and the new class of rows with ``word``, ``n``, ``class`` and their ``contexts``."""
+    """``word``, how often training has it as ``n``, and the new class of rows with ``word``, ``class``, and ``codes`` and ``times`` of their contexts."""
 
     def run(batches):
         for batch in batches:
-            entries = batch.column("contexts")
-            sizes = pa.compute.list_value_length(entries).to_numpy(zero_copy_only=False).astype(np.int64)
-            code, times = (entries.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            n, old = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "class"))
-            ends = np.cumsum(sizes)
+            if not len(batch):
+                continue
+            ends = np.cumsum(pa.compute.list_value_length(batch.column("codes")).to_numpy(zero_copy_only=False).astype(np.int64))
+            starts = np.concatenate([[0], ends[:-1]])
+            code, times = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("codes", "times"))
+            n, old = np.add.reduceat(np.where(code < len(pairs), times, 0), starts), batch.column("class").to_numpy(zero_copy_only=False)
             new, at = [], 0
             while at < len(batch):
-                done = ends[at] - sizes[at]
-                to = max(at + 1, int(np.searchsorted(ends, done + GAIN_ROWS, "right")))
-                part = slice(done, ends[to - 1])
-                new.append(best_classes(pairs, np.repeat(np.arange(to - at), sizes[at:to]), code[part], times[part], n[at:to], old[at:to].astype(np.int64)))
+                to = max(at + 1, int(np.searchsorted(ends, starts[at] + GAIN_ROWS, "right")))
+                part = slice(starts[at], ends[to - 1])
+                new.append(best_classes(pairs, np.repeat(np.arange(to - at), (ends - starts)[at:to]), code[part], times[part], n[at:to], old[at:to].astype(np.int64)))
                 at = to
-            if new:
-                yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(np.concatenate(new).astype(np.int32))], names=["word", "n", "class"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(n, pa.int64()), pa.array(np.concatenate(new).astype(np.int32))], names=["word", "n", "class"])
 
-    return words.select("word", "n", "class", "contexts").mapInArrow(run, "word long, n long, class int")
+    return words.select("word", "class", "codes", "times").mapInArrow(run, "word long, n long, class int")
 
 
 def learnt(slices: DataFrame, places: DataFrame, vocabulary: DataFrame, n_classes: int = CLASSES, frequent: int = FREQUENT, rounds: int = ROUNDS) -> DataFrame:
@@ -241,27 +284,24 @@ def learnt(slices: DataFrame, places: DataFrame, vocabulary: DataFrame, n_classe
     opening = [row.word for row in words.orderBy(F.desc("n"), "word").limit(n_classes).collect()]
     opened = spark.createDataFrame([(word, FIRST + i) for i, word in enumerate(opening)], "word long, class int")
     joined = words.join(F.broadcast(opened), "word", "left")  # at most n_classes rows
-    classes = settle(joined.filter((F.col("n") >= frequent) | F.col("class").isNotNull()).select("word", "n", F.coalesce("class", F.lit(OTHER)).alias("class")), "classes")
-    known = settle(places.select("slice", "at", "word").join(classes.select("word"), "word"), "known")
+    classes = _settle(joined.filter((F.col("n") >= frequent) | F.col("class").isNotNull()).select("word", "n", F.coalesce("class", F.lit(OTHER)).alias("class")), "classes")
+    known = _settle(places.select("slice", "at", "word").join(classes.select("word"), "word"), "known")
     tokens = slices.select("slice", "words", "tokens", "sizes", "held")
-    entry = F.struct(F.col("code").cast("int").alias("code"), F.col("times").alias("times"))
 
     def around(wanted: bool) -> DataFrame:
         classed = known.join(classes, "word").select("slice", "at", "class")
         return grouped(tokens, classed, lambda left, right: Slice(left, right).contexts(total, wanted), CONTEXTS)
 
     for _ in range(rounds):
-        contexts = settle(around(True), "contexts")
-        summed = settle(entries(contexts).groupBy("word", "code").agg(F.sum("times").alias("times")), "summed")
+        contexts = _settle(around(True), "contexts")
+        summed = _settle(entries(contexts).groupBy("word", "code").agg(F.sum("times").alias("times")), "summed")
         discard(contexts)
-        gathered = summed.filter("word is not null").groupBy("word").agg(F.collect_list(entry).alias("contexts"))
-        classes = settle(moved(gathered.join(classes, "word"), matrix(summed.filter("word is null"), total)), "classes")
+        gathered = summed.filter("word is not null").groupBy("word").agg(F.collect_list("code").alias("codes"), F.collect_list("times").alias("times"))
+        classes = _settle(moved(gathered.join(classes, "word"), matrix(summed.filter("word is null"), total)), "classes")
         discard(summed)
-    contexts = settle(around(False), "contexts")
-    each = F.arrays_zip(F.col("codes").alias("code"), F.col("times").alias("times"))
-    gathered = contexts.filter("word is not null").groupBy("word").agg(F.flatten(F.collect_list(each)).alias("contexts"))
-    rare = gathered.withColumn("n", F.aggregate(F.filter("contexts", lambda c: c["code"] < total), F.lit(0).cast("long"), lambda s, c: s + c["times"]))
-    every = settle(classes.unionByName(moved(rare.withColumn("class", F.lit(OTHER)), matrix(entries(contexts.filter("word is null")), total))), "classes")
+    contexts = _settle(around(False), "contexts")
+    rare = contexts.filter("word is not null").groupBy("word").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("codes", "times")))
+    every = _settle(classes.unionByName(moved(rare.withColumn("class", F.lit(OTHER)), matrix(entries(contexts.filter("word is null")), total))), "classes")
     discard(contexts)
     discard(known)
     return every
@@ -275,8 +315,8 @@ def unknown_share(train_tokens: int, singles: int) -> float:
 def score_documents(docs: DataFrame, n_classes: int = CLASSES, frequent: int = FREQUENT, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
     slices, total = encoded(docs), FIRST + n_classes
-    places = slices.select("slice", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select("slice", "at", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    vocabulary = settle(places.filter("n > 0").groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
+    places = listed(slices)
+    vocabulary = _settle(places.filter("n > 0").groupBy("word").agg(F.sum("n").alias("n")), "vocabulary")
     train_tokens, different, singles = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1)).first()
     classes = learnt(slices, places, vocabulary, n_classes, frequent, rounds)
     of_class = np.zeros(total)
@@ -303,8 +343,8 @@ def score_documents(docs: DataFrame, n_classes: int = CLASSES, frequent: int = F
             "classes": pa.array([classes[a : a + m].tobytes() for a, m in zip(first, part.sizes, strict=True)], pa.binary()),
         })
 
-    classed = settle(places.select("slice", "at", "word").join(classes, "word").select("slice", "at", "n", "class"), "classed")
-    resolved = settle(grouped(slices.drop("counts"), classed, resolve, RESOLVED), "resolved")
+    classed = _settle(places.select("slice", "at", "word").join(classes, "word").select("slice", "at", "n", "class"), "classed")
+    resolved = _settle(grouped(slices.drop("counts"), classed, resolve, RESOLVED), "resolved")
     discard(slices)
     discard(classed)
     steps = log_transitions(transitions(resolved.filter("not held_out"), total), of_class, unknown)

@@ -75,8 +75,8 @@ def delete_path(spark: SparkSession, path: str) -> None:
     system.delete(target, True)
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """The same rows as a table in the shared folder.
+def settle(df: DataFrame, name: str, **options) -> DataFrame:
+    """The same rows as a table in the shared folder; ``options`` go to its writer.
 
     For results used more than once: they are computed once, and a lost executor costs no
     more than its own tasks. The shuffle files of the write are deleted with its end, so a
@@ -86,7 +86,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path, before = fresh_path(spark, name), spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     table = spark.read.parquet(path)
